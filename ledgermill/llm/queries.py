@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .language_id import op10_language_id
+from .paragraph_dedup import op5_paragraph_dedup
 
 QUERIES = {
+    "op5_paragraph_dedup": op5_paragraph_dedup,
     "op10_language_id": op10_language_id,
 }
 
