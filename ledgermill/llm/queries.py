@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .language_id import op10_language_id
+from .line_dedup import op4_line_dedup
 from .paragraph_dedup import op5_paragraph_dedup
+from .weighted_minhash import op2_weighted_minhash
 
 QUERIES = {
+    "op2_weighted_minhash": op2_weighted_minhash,
+    "op4_line_dedup": op4_line_dedup,
     "op5_paragraph_dedup": op5_paragraph_dedup,
     "op10_language_id": op10_language_id,
 }
