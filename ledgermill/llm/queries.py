@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontaminate
+from .fingerprints import op9_fingerprints
 from .language_id import op10_language_id
 from .line_dedup import op4_line_dedup
 from .paragraph_dedup import op5_paragraph_dedup
+from .pieces import op3_pieces
 from .weighted_minhash import op2_weighted_minhash
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_weighted_minhash": op2_weighted_minhash,
+    "op3_pieces": op3_pieces,
     "op4_line_dedup": op4_line_dedup,
     "op5_paragraph_dedup": op5_paragraph_dedup,
+    "op9_fingerprints": op9_fingerprints,
     "op10_language_id": op10_language_id,
 }
 
