@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Blocks of at most this many members compare every pair of them; larger ones go by rounds of leaders.
+#: Blocks of at most this many members compare every pair of them; larger ones go by rounds of leaders and further bands.
 SMALL_BLOCK = 12
+#: How many of the next bands part a large block.
+STEPS = 3
 #: Bits of the filter that is broadcast before texts of chosen nodes are fetched.
 FILTER_BITS = 1 << 20
 
@@ -33,50 +35,57 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def links(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL_BLOCK) -> DataFrame:
-    """Verified pairs (a, b) of nodes that share a block; blocks has the columns (block, node).
+def links(keys: DataFrame, n_bands: int, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], small: int = SMALL_BLOCK) -> DataFrame:
+    """Verified pairs (a, b) of nodes that agree in a band; keys has the columns (node, bands), one row a node.
 
-    Up to `small` nodes, all pairs of a block are verified. A larger block goes by rounds: in round k about 2**k of its nodes, drawn by
-    a hash that differs from block to block, lead; each other node is verified against the leaders and leaves the block once it is
-    linked. Leaders, which have met all that were left, leave too. So a block of near copies costs one comparison a node, a block
-    of unlike nodes ends with every pair compared, and no task ever holds a block. Members of two leaders' followings are
-    compared where another block brings them together.
+    fetch gives the contents of chosen nodes, verify keeps the pairs that are alike by those contents.
+
+    Up to `small` nodes that agree in a band are compared pair by pair. A larger block goes by rounds. One of its nodes leads, the others
+    are compared with it, and leave if they are like it: a block of near copies ends here, at one comparison a node. The rest, with the leader
+    gone, is parted by each of the next `STEPS` bands, so that what stays together agrees in ever more bands; two nodes that agree in any
+    two bands that near meet again. Blocks that have used all bands go on with ever more leaders until no pair is left. No task holds
+    a block, and no round makes more pairs than its rows times `small`.
     """
-    blocks = blocks.distinct()
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
-    left = cut(blocks.join(sizes, "block").withColumn("draw", F.pmod(F.xxhash64("block", "node"), F.lit(1 << 40)) / F.lit(float(1 << 40))))
-    few = left.where(F.col("size") <= small).select("block", "node")
-    pairs = few.select("block", F.col("node").alias("a")).join(few.select("block", F.col("node").alias("b")), "block").where("a < b").select("a", "b")
-    left = left.where(F.col("size") > small)
-    found: DataFrame | None = None
-    known: DataFrame | None = None
-    leaders_at = 0
+    flat = keys.select("node", F.posexplode("bands").alias("at", "value")).select(F.xxhash64("at", "value").alias("block"), "node", "at")
+    sizes = flat.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
+    left = cut(flat.join(sizes, "block"))
+    contents = cut(fetch(left.select("node").distinct()))
+    few, left = left.where(F.col("size") <= small), left.where(F.col("size") > small).join(keys, "node").withColumn("end", F.col("at") + n_bands)
+    left = cut(left.select("block", "node", "at", "end", "size", "bands"))
+    pairs, known, found, depth = _all_pairs(few), None, None, 0
     while True:
-        led = None
-        if not left.isEmpty():
-            share = F.least(F.lit(1.0), F.lit(float(2**leaders_at) * 3) / F.col("size"))
-            lead = left.where(F.col("draw") < share).select("block", F.col("node").alias("leader"))
-            led = cut(left.select("block", "node").join(lead, "block").where("node != leader"))
-            met = led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-            pairs = met if leaders_at else pairs.union(met)
-        elif leaders_at:
-            break
+        many = not left.isEmpty()
+        if many:
+            done = F.col("at") + 1 >= F.col("end")
+            draw = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+            one = left.groupBy("block").agg(F.min_by("node", F.xxhash64("node", F.lit(depth))).alias("leader"))
+            more = left.where(done & (draw < F.lit(float(2**depth)) / F.col("size"))).select("block", F.col("node").alias("leader"))
+            leaders = one.union(more).distinct()
+            led = cut(left.select("block", "node").join(leaders, "block").where("node != leader").select("block", "node", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
+            pairs = pairs.union(led.select("a", "b"))
         pairs = pairs.distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        passed = cut(verify(pairs).select("a", "b"))
+        passed = cut(verify(pairs, contents).select("a", "b"))
         found = passed if found is None else found.union(passed)
         known = pairs if known is None else known.union(pairs)
-        if led is None:
-            break
-        linked = led.withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")}).join(found, ["a", "b"]).select("block", "node")
-        left = left.where(F.col("draw") >= share).join(linked.distinct(), ["block", "node"], "left_anti")
-        sizes = left.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
-        left = left.drop("size").join(sizes, "block").withColumn("draw", F.pmod(F.xxhash64("block", "node", F.lit(leaders_at + 1)), F.lit(1 << 40)) / F.lit(float(1 << 40)))
-        left = cut(left.select("block", "node", "size", "draw"))
-        leaders_at += 1
-    return found
+        if not many:
+            return found
+        linked = led.join(found, ["a", "b"]).select("block", "node").union(leaders.withColumnRenamed("leader", "node")).distinct()
+        rest = left.drop("size").join(linked, ["block", "node"], "left_anti")
+        step = F.explode(F.when(done, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.least(F.lit(STEPS), F.col("end") - 1 - F.col("at"))))).alias("step")
+        rest = rest.select("block", "node", "at", "end", "bands", step).withColumn("band", (F.col("at") + F.col("step")) % n_bands)
+        parted = F.when(F.col("step") == 0, F.col("block")).otherwise(F.xxhash64("block", "band", F.get("bands", F.col("band"))))
+        rest = rest.select(parted.alias("block"), "node", (F.col("at") + F.col("step")).alias("at"), "end", "bands")
+        sizes = rest.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
+        rest = cut(rest.join(sizes, "block").select("block", "node", "at", "end", "size", "bands"))
+        pairs, left, depth = _all_pairs(rest.where(F.col("size") <= small)), rest.where(F.col("size") > small), depth + 1
+
+
+def _all_pairs(blocks: DataFrame) -> DataFrame:
+    """The pairs of each block; only for blocks of bounded size."""
+    return blocks.select("block", F.col("node").alias("a")).join(blocks.select("block", F.col("node").alias("b")), "block").where("a < b").select("a", "b")
 
 
 def connected(edges: DataFrame) -> DataFrame:

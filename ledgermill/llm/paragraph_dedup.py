@@ -122,12 +122,9 @@ def duplicate_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc
     id_type = dict(lines.dtypes)["doc_id"]
     signed = grouping.map_arrow(lines, lambda batch: _signed(batch, min_words), f"doc_id {id_type}, paragraph int, n_words int, node binary, bands array<bigint>")
     signed = grouping.cut(signed)
-    nodes = signed.groupBy("node").agg(F.count("*").alias("n"), F.first("bands").alias("bands"))
-    blocks = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("block"), "node")
-    repeated = blocks.groupBy("block").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n > 1").select("block")
-    blocks = grouping.cut(blocks.join(repeated, "block", "left_semi"))
-    texts = grouping.cut(_texts(lines, blocks.select("node").distinct()))
-    roots = grouping.connected(grouping.links(blocks, lambda pairs: verified(pairs, texts, similarity)))
+    nodes = grouping.cut(signed.groupBy("node").agg(F.first("bands").alias("bands")))
+    pairs = grouping.links(nodes.select("node", "bands"), BANDS, lambda chosen: _texts(lines, chosen), lambda pairs, texts: verified(pairs, texts, similarity))
+    roots = grouping.connected(pairs)
     # What each group has, summed before any row meets its group.
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("paragraph"))
     sums = signed.groupBy("node").agg(F.count("*").alias("n"), F.min(first).alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -137,12 +137,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([part.column(0), grouping.node_ids(high, low), lists], ["doc_id", "node", "bands"])
 
     signed_rows = grouping.cut(grouping.map_arrow(rows, signed, f"doc_id {id_type}, node binary, bands array<bigint>"))
-    nodes = signed_rows.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-    blocks = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("block"), "node")
-    shared = blocks.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
-    blocks = grouping.cut(blocks.join(shared, "block", "left_semi"))
-    texts = grouping.cut(texts_of(rows.select("text"), blocks.select("node").distinct()))
-    roots = grouping.connected(grouping.links(blocks, lambda pairs: verified(pairs, texts, idf, similarity)))
+    nodes = grouping.cut(signed_rows.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
+    pairs = grouping.links(nodes.select("node", "bands"), BANDS, lambda chosen: texts_of(rows.select("text"), chosen), lambda pairs, texts: verified(pairs, texts, idf, similarity))
+    roots = grouping.connected(pairs)
     sums = nodes.select("node", "n", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = sums.groupBy("root").agg(F.sum("n").alias("class_size"), F.min("least").alias("class_id"))
     by_node = sums.select("node", "root").join(classes, "root")
