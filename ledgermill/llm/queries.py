@@ -8,6 +8,7 @@ from .language_id import op10_language_id
 from .line_dedup import op4_line_dedup
 from .paragraph_dedup import op5_paragraph_dedup
 from .pieces import op3_pieces
+from .toxicity import op6_toxicity
 from .weighted_minhash import op2_weighted_minhash
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_pieces": op3_pieces,
     "op4_line_dedup": op4_line_dedup,
     "op5_paragraph_dedup": op5_paragraph_dedup,
+    "op6_toxicity": op6_toxicity,
     "op9_fingerprints": op9_fingerprints,
     "op10_language_id": op10_language_id,
 }
