@@ -8,6 +8,7 @@ from .language_id import op10_language_id
 from .line_dedup import op4_line_dedup
 from .paragraph_dedup import op5_paragraph_dedup
 from .pieces import op3_pieces
+from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op6_toxicity
 from .weighted_minhash import op2_weighted_minhash
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_paragraph_dedup": op5_paragraph_dedup,
     "op6_toxicity": op6_toxicity,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_language_id": op10_language_id,
 }
