@@ -1,16 +1,17 @@
 """Removal of every byte that lies in a repeated 200-byte string, by interval expansion on Burrows-Wheeler transforms.
 
 A window is a string of `LENGTH` bytes. Its key is the least hash among its runs of `ANCHOR` bytes, so equal windows have equal keys
-wherever they stand, and the windows of a text fall into runs of one key, some 70 each. Three joins bring together what may be equal:
+wherever they stand, and the windows of a text fall into runs of one key, some 80 each. What may be equal is brought together by key:
 
-1. Keys (no text) are counted over all documents; runs whose key stands nowhere else are done with.
-2. The text of the other runs is cut out of the documents, at most two copies of a run's text from each task.
-3. Runs are dealt by key into bins of about `BIN_BYTES`. Each bin is one text with a separator of its own after every run. From its
+1. Keys (no text) are counted over all documents; runs whose key stands nowhere else are done with. So are those whose key always stands in
+   the same run of text (by a second hash): copies are summed before any text travels, and each window of such a run is repeated.
+2. The text of the other runs is cut out of the documents, once for each distinct run and task.
+3. Runs are dealt by key into bins of about `BIN_BYTES`. The distinct runs of a bin are one text with a separator after each. From its
    Burrows-Wheeler transform, classes of rows with equal prefixes are parted breadth-first by backward extension, so the common prefixes of
    neighbouring suffixes come out by increasing value; at LENGTH - 1 it stops, and neighbours not yet parted share LENGTH bytes or more.
 
-A key with more than `HOT` runs (a passage in a third of all documents) isn't put into one bin: its windows are counted by their own
-hash first, and two copies of each that is there twice go to the bins, dealt by that hash.
+A key with more than `HOT` runs (a passage in a third of all documents) isn't put into one bin: the windows of its distinct runs are counted
+by their own hash first, and two copies of each that stands in several go to the bins, dealt by that hash.
 
 Defined cases: a null text is an empty one; texts of under LENGTH bytes lose nothing; repeated rows are documents of their own, so they lose
 every byte that a window covers; null and repeated ids are allowed; other columns aren't read. An empty table gives an empty result.
@@ -31,7 +32,7 @@ from . import grouping
 from . import textarrays as ta
 from .pieces import _ranges
 
-LENGTH, ANCHOR = 200, 64
+LENGTH, ANCHOR = 200, 40
 #: Windows of a run; longer ones (a text that repeats itself closely) are parted.
 MAX_RUN = 256
 HOT = 2048
@@ -41,65 +42,68 @@ BLOCK = 1 << 20
 _SEED = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of each `width` successive values, by doubling."""
+def sliding(x: np.ndarray, width: int, pick: np.ufunc = np.minimum) -> np.ndarray:
+    """The least (or greatest) of each `width` successive values, by doubling."""
     have = 1
     while have * 2 <= width:
-        x = np.minimum(x[:-have], x[have:])
+        x = pick(x[:-have], x[have:])
         have *= 2
-    return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
+    return pick(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
 def runs(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one key: key, text (its row), first window (its byte in the text), number of windows, whether the key recurs.
+    """Runs of windows with one key: key, text (its row), first window (its byte in the text), number of windows, digest, whether the key recurs.
 
-    Where a key stands at one place of a run only, no two of the run's windows are equal.
+    The digest is a hash of the run's whole text. Where a key stands at one place of a run only, no two of the run's windows are equal.
     """
-    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3, np.zeros(0, bool))]
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64), np.zeros(0, bool))]
     width = length - anchor + 1
+    end_of = np.repeat(offs[1:], np.diff(offs))
+    row_of = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))
     for at in range(0, len(buf) - length + 1, BLOCK):
         part = buf[at : at + BLOCK + length - 1]
         sums = ta.prefix_sums(part)
-        starts = np.arange(len(part) - anchor + 1)
-        hashes = ta.range_hashes(sums, starts, starts + anchor)
-        key = sliding_minimum(hashes, width)
-        row = np.searchsorted(offs, np.arange(at, at + len(key)), "right") - 1
-        whole = np.arange(at, at + len(key)) + length <= offs[row + 1]
+        hashes = ta.mix((sums[anchor:] - sums[:-anchor]) * ta.powers(len(sums))[1][: len(sums) - anchor])
+        key = sliding(hashes, width)
+        row = row_of[at : at + len(key)]
+        whole = np.arange(at + length, at + length + len(key)) <= end_of[at : at + len(key)]
         first = whole.copy()
-        first[1:] &= (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | ~whole[:-1]
+        first[1:] &= (key[1:] != key[:-1]) | (row[1:] != row[:-1])
         begins = np.flatnonzero(first)
-        last = np.minimum.reduceat(np.where(whole, len(key), np.arange(len(key))), begins) if len(begins) else begins
-        ends = np.minimum(np.append(begins[1:], len(key)), last)
+        if not len(begins):
+            continue
+        stops = whole.copy()
+        stops[:-1] &= first[1:] | ~whole[1:]
+        ends = np.flatnonzero(stops) + 1
         pieces = -((begins - ends) // MAX_RUN)
         piece_at = np.repeat(begins, pieces) + MAX_RUN * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
         n = np.minimum(np.repeat(ends, pieces) - piece_at, MAX_RUN)
-        if not len(piece_at):
-            continue
-        reach = n + width - 1
-        hits = hashes[_ranges(piece_at, reach)] == np.repeat(key[piece_at], reach)
-        recurs = np.add.reduceat(hits, np.cumsum(reach) - reach, dtype=np.int64) > 1
-        out.append((key[piece_at], row[piece_at], piece_at + at - offs[row[piece_at]], n, recurs))
+        # A place is some window's least if the greatest key of the windows around it is its own hash; equal neighbours of these recur.
+        least = np.flatnonzero(sliding(np.pad(key, width - 1), width, np.maximum)[: len(hashes)] == hashes)
+        pairs = np.concatenate([[0], np.cumsum(hashes[least[1:]] == hashes[least[:-1]])])
+        low, high = np.searchsorted(least, piece_at), np.searchsorted(least, piece_at + n + width - 1) - 1
+        recurs = (high > low) & (pairs[np.minimum(high, len(pairs) - 1)] > pairs[np.minimum(low, len(pairs) - 1)])
+        digest = ta.range_hashes(sums, piece_at, piece_at + n + length - 1)
+        out.append((key[piece_at], row[piece_at].astype(np.int64), piece_at + at - offs[row[piece_at]], n, digest, recurs))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def suffix_order(symbols: np.ndarray, segment: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by prefix doubling; symbol 0 ends a segment, and the end of an earlier segment is the lesser.
-
-    segment numbers each place's segment, left is how many symbols its segment still has, the end included.
-    """
+def suffix_order(symbols: np.ndarray) -> np.ndarray:
+    """Suffixes in order, by prefix doubling; symbols are 0 to 510."""
     n = len(symbols)
-    key = np.zeros(n, np.int64)
-    wide = np.concatenate([symbols, np.zeros(6, symbols.dtype)]).astype(np.int64)
-    for j in range(7):
-        key = (key << 9) | np.where(left > j, wide[j : j + n], 0)
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)
-    slots = np.arange(n)
+    wide = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(6, np.int64)])
+    key = wide[:n].copy()
+    for j in range(1, 7):
+        key <<= 9
+        key |= wide[j : j + n]
+    order = np.argsort(key).astype(np.int32)
+    rank = np.empty(2 * n, np.int32)
+    rank[n:] = -1
+    slots = np.arange(n, dtype=np.int32)
     values, known = key[order], 7
-    size = int(segment[-1]) + 1 if n else 0
     while True:
         new = np.ones(len(slots), bool)
-        new[1:] = (values[1:] != values[:-1]) | (slots[1:] != slots[:-1] + 1)
+        new[1:] = values[1:] != values[:-1]
         group = np.flatnonzero(new)
         sizes = np.diff(np.append(group, len(slots)))
         rank[order[slots]] = np.repeat(slots[group], sizes)
@@ -107,10 +111,9 @@ def suffix_order(symbols: np.ndarray, segment: np.ndarray, left: np.ndarray) ->
         if not len(slots):
             return order
         own = order[slots]
-        after = np.where(left[own] > known, rank[np.minimum(own + known, n - 1)] + size, segment[own])
-        combined = rank[own] * (n + size) + after
-        by = np.argsort(combined, kind="stable")
-        order[slots], values = own[by], combined[by]
+        values = (rank[own].astype(np.int64) << 32) + rank[np.minimum(own + known, n)] + 1
+        by = np.argsort(values)
+        order[slots], values = own[by], values[by]
         known *= 2
 
 
@@ -128,9 +131,7 @@ def repeated_starts(segments: list[bytes], length: int = LENGTH) -> np.ndarray:
     inside = np.ones(n, bool)
     inside[ends] = False
     symbols[inside] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int16) + 1
-    segment = np.repeat(np.arange(len(segments)), sizes)
-    left = ends[segment] - np.arange(n) + 1
-    order = suffix_order(symbols, segment, left)
+    order = suffix_order(symbols)
     place = np.empty(n, np.int32)
     place[order] = np.arange(n, dtype=np.int32)
     transform = symbols[order - 1]
@@ -175,7 +176,8 @@ def repeated_starts(segments: list[bytes], length: int = LENGTH) -> np.ndarray:
         later = later[(later >= 0) & (label[later] != label[rows])]
         behind = rows[(earlier >= 0) & (label[earlier] != label[rows])]
         found = np.concatenate([back[later], back[behind]])
-        found = np.unique(found[common[found] < 0])
+        found = np.sort(found[common[found] < 0])
+        found = found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
         common[found] = level + 1
     shares = common < 0
     out = np.zeros(n, bool)
@@ -189,86 +191,81 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), "text")
 
 
+_KEYS = "key long, k1 long, k2 long, start int, n int, digest long, recurs boolean"
+
+
 def _keys(batch: pa.RecordBatch, length: int, anchor: int) -> Iterator[pa.RecordBatch]:
     for part in ta.chunks(batch):
-        key, row, start, n, recurs = runs(*ta.packed(part.column(2)), length, anchor)
+        key, row, start, n, digest, recurs = runs(*ta.packed(part.column(2)), length, anchor)
         rows = pa.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(rows), part.column(1).take(rows), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(recurs)], ["key", "k1", "k2", "start", "n", "recurs"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(rows), part.column(1).take(rows), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(recurs)], ["key", "k1", "k2", "start", "n", "digest", "recurs"])
 
 
 def _cut_out(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(key, segment, k1, k2, start, n, hot, bytes): the chosen runs; bytes for the first two of a segment in the task's memory, else null."""
+    """(key, digest, k1, k2, start, n, hot, bytes): the chosen runs, with their bytes where the task doesn't remember having given them."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, bool] = {}
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part in ta.chunks(batch):
-                if len(seen) > 1 << 18:  # more copies then, no other result
+                if len(seen) > 1 << 18:  # the bytes are given more often then
                     seen.clear()
                 buf, offs = ta.packed(part.column(2))
-                data = buf.tobytes()
-                chosen = part.column(3)
+                data, chosen = buf.tobytes(), part.column(3)
                 row = np.repeat(np.arange(part.num_rows), chosen.value_lengths().to_numpy(zero_copy_only=False))
                 of = chosen.flatten()
-                key, start, n, hot = (of.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                key, digest, start, n = (of.field(i).to_numpy(zero_copy_only=False) for i in range(4))
                 begin = offs[row] + start
-                hashes, texts = [], []
-                for a, b, k in zip(begin.tolist(), (begin + n + length - 1).tolist(), key.tolist()):
-                    own = data[a:b]
-                    digest = hashlib.blake2b(own, digest_size=12, key=k.to_bytes(8, "little", signed=True)).digest()
-                    hashes.append(digest)
-                    once = seen.get(digest)
-                    texts.append(None if once else own)
-                    if not once:
-                        seen[digest] = once is False
+                texts: list[bytes | None] = []
+                for a, b, *own in zip(begin.tolist(), (begin + n + length - 1).tolist(), key.tolist(), digest.tolist()):
+                    name = tuple(own)
+                    texts.append(None if name in seen else data[a:b])
+                    seen.add(name)
                 rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays([of.field(0), pa.array(hashes, pa.binary()), part.column(0).take(rows), part.column(1).take(rows), of.field(1), of.field(2), of.field(3), pa.array(texts, pa.binary())], ["key", "segment", "k1", "k2", "start", "n", "hot", "bytes"])
+                yield pa.RecordBatch.from_arrays([of.field(0), of.field(1), part.column(0).take(rows), part.column(1).take(rows), of.field(2), of.field(3), of.field(4), pa.array(texts, pa.binary())], ["key", "digest", "k1", "k2", "start", "n", "hot", "bytes"])
 
     return task
 
 
 def _bins(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(key, segment, start, n): runs of repeated windows in each segment, from rows (key, segment, bytes) sorted by key and segment."""
+    """(key, digest, start, n): stretches of repeated windows in each run, from rows (key, digest, bytes) sorted by key and digest."""
 
-    def expand(held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    def expand(held: list[list]) -> pa.RecordBatch:
         repeated = repeated_starts([x[2] for x in held], length)
-        at = np.flatnonzero(np.diff(np.concatenate([[False], repeated, [False]]).astype(np.int8)))
-        begin, end = at[::2], at[1::2]
         sizes = np.array([len(x[2]) + 1 for x in held], np.int64)
         firsts = np.cumsum(sizes) - sizes
+        for i in np.flatnonzero([x[3] > 1 for x in held]).tolist():  # copies of one run
+            repeated[firsts[i] : firsts[i] + sizes[i] - length] = True
+        at = np.flatnonzero(np.diff(np.concatenate([[False], repeated, [False]]).astype(np.int8)))
+        begin, end = at[::2], at[1::2]
         of = np.searchsorted(firsts, begin, "right") - 1
-        return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in of], pa.int64()), pa.array([held[i][1] for i in of], pa.binary()), pa.array((begin - firsts[of]).astype(np.int32)), pa.array((end - begin).astype(np.int32))], ["key", "segment", "start", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in of], pa.int64()), pa.array([held[i][1] for i in of], pa.int64()), pa.array((begin - firsts[of]).astype(np.int32)), pa.array((end - begin).astype(np.int32))], ["key", "digest", "start", "n"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, bytes]] = []
-        size, copies, before, key_at = 0, 0, (None, None), 0
+        held: list[list] = []
+        size = 0
         for batch in batches:
-            for key, segment, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if key != before[0]:
-                    if len(held) == key_at + 1 and not _repeats_itself(held[-1][2], length):
-                        size -= len(held.pop()[2])
-                    if size >= BIN_BYTES:
-                        yield expand(held)
-                        held, size = [], 0
-                    key_at = len(held)
-                copies = copies + 1 if (key, segment) == before else 1
-                before = (key, segment)
-                if copies <= 2:
-                    held.append((key, segment, own))
-                    size += len(own)
+            for key, digest, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                last = held[-1] if held else [None, None]
+                if key == last[0] and digest == last[1]:
+                    last[3] += 1
+                    if last[2] is None and own is not None:
+                        last[2] = own
+                        size += len(own)
+                    continue
+                if size >= BIN_BYTES and key != last[0]:
+                    yield expand(held)
+                    held, size = [], 0
+                held.append([key, digest, own, 1])
+                size += len(own or b"")
         if held:
             yield expand(held)
 
     return task
 
 
-def _repeats_itself(own: bytes, length: int) -> bool:
-    n = len(own) - length + 1
-    return len({own[i : i + length] for i in range(n)}) < n
-
-
 def _windows(length: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-    """(window, copy, key, segment, start): every window of hot segments, by a hash of its own."""
+    """(window, key, digest, start, many): every window of distinct hot runs, by a hash of its own; many is how often the run stands."""
 
     def task(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in ta.chunks(batch, "bytes"):
@@ -279,62 +276,61 @@ def _windows(length: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]
             row, starts = np.repeat(np.arange(len(sizes)), n), _ranges(np.cumsum(sizes) - sizes, n)
             hashes = ta.mix(ta.range_hashes(ta.prefix_sums(buf), starts, starts + length) ^ _SEED)
             rows = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *(part.column(i).take(rows) for i in range(3)), pa.array(_ranges(np.zeros(len(n), np.int64), n).astype(np.int32))], ["window", "copy", "key", "segment", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), part.column(0).take(rows), part.column(1).take(rows), pa.array(_ranges(np.zeros(len(n), np.int64), n).astype(np.int32)), part.column(2).take(rows)], ["window", "key", "digest", "start", "many"])
 
     return task
 
 
 def _chosen_windows(length: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    """(key, digest, bytes): chosen windows as runs of their own, keyed by their hash and told apart by where they stand."""
+
     def task(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in ta.chunks(batch, "bytes"):
-            rows = [(w, own[s : s + length]) for own, chosen in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for w, s in ((x["window"], x["start"]) for x in chosen)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([b""] * len(rows), pa.binary()), pa.array([x[1] for x in rows], pa.binary())], ["key", "segment", "bytes"])
+            rows = [(x["window"], x["place"], own[x["start"] : x["start"] + length]) for own, chosen in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for x in chosen]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.binary())], ["key", "digest", "bytes"])
 
     return task
 
 
-def _hot_repeats(hot: DataFrame, length: int) -> DataFrame:
-    """(key, segment, start, n) of the repeated windows of segments with hot keys; hot has key, segment, copy, bytes."""
-    windows = grouping.cut(grouping.map_arrow(hot.select("copy", "key", "segment", "bytes"), _windows(length), "window long, copy long, key long, segment binary, start int"))
-    place = F.struct("key", "segment", "copy", "start")
-    several = windows.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b")
-    two = several.select("window", F.explode(F.array("a", "b")).alias("at")).select("window", "at.*")
-    wanted = two.groupBy("key", "segment", "copy").agg(F.collect_list(F.struct("window", "start")).alias("chosen"))
-    texts = hot.join(wanted, ["key", "segment", "copy"]).select("bytes", "chosen")
-    dealt = grouping.map_arrow(texts, _chosen_windows(length), "key long, segment binary, bytes binary").repartition("key").sortWithinPartitions("key")
-    confirmed = dealt.mapInArrow(_bins_of_windows(length), "window long")
-    return windows.join(confirmed.distinct(), "window").select("key", "segment", "start", F.lit(1).alias("n")).distinct()
-
+_FOUND = "key long, digest long, start int, n int"
 
-def _bins_of_windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    bins = _bins(length)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in bins(batches):
-            yield pa.RecordBatch.from_arrays([found.column(0)], ["window"])
-
-    return task
+def _hot_repeats(hot: DataFrame, length: int) -> DataFrame:
+    """(key, digest, start, n) of the repeated windows of runs with hot keys; hot has key, digest, bytes."""
+    hot = grouping.cut(hot.groupBy("key", "digest").agg(F.count("*").alias("many"), F.max("bytes").alias("bytes")))
+    windows = grouping.cut(grouping.map_arrow(hot.select("key", "digest", "many", "bytes"), _windows(length), "window long, key long, digest long, start int, many long"))
+    place = F.struct("key", "digest", "start")
+    several = windows.groupBy("window").agg(F.sum("many").alias("many"), F.min(place).alias("a"), F.max(place).alias("b")).where("many > 1")
+    alone = several.where("a = b").select("a.*", F.lit(1).alias("n"))
+    two = several.where("a != b").select("window", F.explode(F.array("a", "b")).alias("at")).select("window", "at.*")
+    wanted = two.withColumn("place", F.xxhash64("key", "digest", "start")).groupBy("key", "digest").agg(F.collect_list(F.struct("window", "start", "place")).alias("chosen"))
+    texts = hot.join(wanted, ["key", "digest"]).select("bytes", "chosen")
+    dealt = grouping.map_arrow(texts, _chosen_windows(length), "key long, digest long, bytes binary").repartition("key").sortWithinPartitions("key", "digest")
+    confirmed = dealt.mapInArrow(_bins(length), _FOUND).select(F.col("key").alias("window")).distinct()
+    return windows.join(confirmed, "window").select("key", "digest", "start", F.lit(1).alias("n")).union(alone)
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """(k1, k2, spans): for each row's keys, the byte ranges [begin, end) that repeated windows cover, unsorted, overlapping."""
     docs = _keyed(docs, text, doc_id)
-    keys = grouping.cut(grouping.map_arrow(docs.select("k1", "k2", "text"), lambda b: _keys(b, length, anchor), "key long, k1 long, k2 long, start int, n int, recurs boolean"))
-    counts = keys.groupBy("key").agg(F.count("*").alias("size"), F.max("recurs").alias("recurs")).where("size > 1 or recurs")
-    runs_left = keys.drop("recurs").join(counts.select("key", (F.col("size") > hot).alias("hot")), "key")
-    chosen = runs_left.groupBy("k1", "k2").agg(F.collect_set(F.struct("key", "start", "n", "hot")).alias("chosen"))
+    keys = grouping.cut(grouping.map_arrow(docs.select("k1", "k2", "text"), lambda b: _keys(b, length, anchor), _KEYS))
+    counts = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("digest").alias("a"), F.max("digest").alias("b"), F.max("recurs").alias("recurs")).where("size > 1 or recurs")
+    shared = keys.drop("recurs").join(counts.select("key", (F.col("size") > hot).alias("hot"), F.expr("a = b and size > 1").alias("same")), "key")
+    shared = grouping.cut(shared)
+    span = lambda at, n: F.struct(at.alias("begin"), (at + n - 1 + length).alias("end"))
+    copies = shared.where("same").select("k1", "k2", span(F.col("start"), F.col("n")).alias("span"))
+    chosen = shared.where("not same").groupBy("k1", "k2").agg(F.collect_set(F.struct("key", "digest", "start", "n", "hot")).alias("chosen"))
     texts = docs.select("k1", "k2", "text").join(chosen, ["k1", "k2"])
-    occurrences = grouping.cut(texts.mapInArrow(_cut_out(length), "key long, segment binary, k1 long, k2 long, start int, n int, hot boolean, bytes binary"))
-    with_text = occurrences.where("bytes is not null")
-    cool = with_text.where("not hot").select("key", "segment", "bytes").repartition("key").sortWithinPartitions("key", "segment")
-    found = cool.mapInArrow(_bins(length), "key long, segment binary, start int, n int").dropDuplicates(["key", "segment", "start"])
-    much = with_text.where("hot").select("key", "segment", F.xxhash64("k1", "k2", "start").alias("copy"), "bytes")
+    occurrences = grouping.cut(texts.mapInArrow(_cut_out(length), "key long, digest long, k1 long, k2 long, start int, n int, hot boolean, bytes binary"))
+    cool = occurrences.where("not hot").select("key", "digest", "bytes").repartition("key").sortWithinPartitions("key", "digest")
+    found = cool.mapInArrow(_bins(length), _FOUND)
+    much = occurrences.where("hot").select("key", "digest", "bytes")
     if not much.isEmpty():
         found = found.union(_hot_repeats(much, length))
-    per_segment = found.groupBy("key", "segment").agg(F.collect_list(F.struct(F.col("start").alias("at"), F.col("n").alias("many"))).alias("found"))
-    placed = occurrences.select("key", "segment", "k1", "k2", "start").join(per_segment, ["key", "segment"])
-    placed = placed.select("k1", "k2", F.explode(F.transform("found", lambda x: F.struct((F.col("start") + x["at"]).alias("begin"), (F.col("start") + x["at"] + x["many"] - 1 + length).alias("end")))).alias("span"))
-    return placed.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
+    per_run = found.groupBy("key", "digest").agg(F.collect_set(F.struct(F.col("start").alias("at"), F.col("n").alias("many"))).alias("found"))
+    placed = occurrences.select("key", "digest", "k1", "k2", "start").join(per_run, ["key", "digest"])
+    placed = placed.select("k1", "k2", F.explode(F.transform("found", lambda x: span(F.col("start") + x["at"], x["many"]))).alias("span"))
+    return placed.union(copies).groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
 
 
 def _without(part: pa.RecordBatch) -> tuple[list[bytes], list[int], list[int], list[int]]:
