@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op1_decontaminate
 from .fingerprints import op9_fingerprints
 from .language_id import op10_language_id
+from .language_model import op7_language_model
 from .line_dedup import op4_line_dedup
 from .paragraph_dedup import op5_paragraph_dedup
 from .pieces import op3_pieces
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_paragraph_dedup": op5_paragraph_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_language_model": op7_language_model,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_language_id": op10_language_id,
