@@ -301,13 +301,18 @@ def _hot_repeats(hot: DataFrame, length: int) -> DataFrame:
     windows = grouping.cut(grouping.map_arrow(hot.select("key", "digest", "many", "bytes"), _windows(length), "window long, key long, digest long, start int, many long"))
     place = F.struct("key", "digest", "start")
     several = windows.groupBy("window").agg(F.sum("many").alias("many"), F.min(place).alias("a"), F.max(place).alias("b")).where("many > 1")
-    alone = several.where("a = b").select("a.*", F.lit(1).alias("n"))
+    alone = several.where("a = b").select("a.*")
     two = several.where("a != b").select("window", F.explode(F.array("a", "b")).alias("at")).select("window", "at.*")
     wanted = two.withColumn("place", F.xxhash64("key", "digest", "start")).groupBy("key", "digest").agg(F.collect_list(F.struct("window", "start", "place")).alias("chosen"))
     texts = hot.join(wanted, ["key", "digest"]).select("bytes", "chosen")
     dealt = grouping.map_arrow(texts, _chosen_windows(length), "key long, digest long, bytes binary").repartition("key").sortWithinPartitions("key", "digest")
     confirmed = dealt.mapInArrow(_bins(length), _FOUND).select(F.col("key").alias("window")).distinct()
-    return windows.join(confirmed, "window").select("key", "digest", "start", F.lit(1).alias("n")).union(alone)
+    single = windows.join(confirmed, "window").select("key", "digest", "start").union(alone)
+    starts = single.groupBy("key", "digest").agg(F.sort_array(F.collect_set("start")).alias("s"))
+    firsts = F.filter("s", lambda x, i: (i == 0) | (F.get("s", i - 1) != x - 1))
+    lasts = F.filter("s", lambda x, i: (i == F.size("s") - 1) | (F.get("s", i + 1) != x + 1))
+    stretches = F.inline(F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("n"))))
+    return starts.select("key", "digest", stretches)
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
