@@ -22,6 +22,8 @@ WORD_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]]
 #: Bytes that part the tokens of the language model: space and \\t to \\r.
 SPACE_BYTES = np.zeros(256, bool)
 SPACE_BYTES[[32, *range(9, 14)]] = True
+_ASCII_LOWER = np.arange(256, dtype=np.uint8)
+_ASCII_LOWER[65:91] += 32
 _BYTE_CODES = (np.arange(1, 257, dtype=U) * U(0xBF58476D1CE4E5B9)) ^ U(0x94D049BB133111EB)
 
 
@@ -62,12 +64,12 @@ def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 def packed(column: pa.Array, lower: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offset of each row; a null is an empty text."""
     column = column.fill_null("").cast(pa.large_string())
-    if lower:
-        column = pc.utf8_lower(column) if lower == "utf8" else pc.ascii_lower(column)
+    if lower == "utf8":
+        column = pc.utf8_lower(column)
     _, offsets, data = column.buffers()
     offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     buf = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
-    return buf, offs - (offs[0] if len(offs) else 0)
+    return (_ASCII_LOWER[buf] if lower == "ascii" else buf), offs - (offs[0] if len(offs) else 0)
 
 
 def chunks(batch: pa.RecordBatch, name: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
