@@ -11,7 +11,7 @@ counted once. So the model sees in training what texts beyond the training rows
 Training is data-parallel: in each of `ROUNDS` rounds every task takes a share of the training texts (by a hash of the text) from the round's
 parameters through truncated backpropagation, Adam steps over `LANES` streams; the tasks' parameters, weighted by their tokens, are averaged.
 All training texts are trained on once. Parameters have a fixed size; the counts grow with the corpus and stay in Spark: the most frequent
-`TABLE_WORDS` words are broadcast (16 bytes each), others are joined to the texts they stand in.
+words, `TABLE_WORDS` at most, are broadcast (24 bytes each), others are joined to the texts they stand in.
 
 Scoring lays whole texts end to end in lanes and carries the state across windows of `SCORE_WINDOW` tokens until the text ends.
 
@@ -37,7 +37,7 @@ from .language_id import crc_remainder
 from .pieces import _ranges
 
 STATE, TOP_CLASSES, CLASS_WORDS, BANDS = 16, 31, 32, 33
-TABLE_WORDS = 1 << 20
+TABLE_WORDS = 1 << 19
 WINDOW, LANES, ROUNDS = 16, 256, 2
 SCORE_WINDOW, SCORE_LANES = 64, 512
 RATE = 0.01
@@ -98,21 +98,23 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 
 def gather_counts(counts: DataFrame, table_words: int = TABLE_WORDS) -> Counts:
-    """What is broadcast: the most frequent words (ties by hash), no more than table_words, and sums over all words."""
-    top = counts.orderBy(F.desc("n"), "word").limit(table_words).toPandas()
+    """What is broadcast: all words of counts from the least power of two that leaves no more than table_words of them, and sums over all words."""
+    by_band, types = np.zeros(BANDS + 64), np.zeros(BANDS + 64, np.int64)
+    for r in counts.groupBy(F.length(F.bin("n")).alias("band")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
+        by_band[min(r["band"], BANDS - 1)] += r["n"]
+        types[r["band"]] += r["types"]
+    least = np.flatnonzero(np.cumsum(types[::-1])[::-1] <= table_words)[0]  # types[0] is 0, so 1 or more unless all fit
+    top = counts.where(F.col("n") >= F.lit(1 << max(int(least) - 1, 0))).toPandas()
     n, words = top["n"].to_numpy(np.int64), top["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
-    band = F.length(F.bin("n")).alias("band")
-    sums = counts.groupBy(band).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
-    by_band, types = np.zeros(BANDS + 64), 0
-    for r in sums:
-        by_band[min(r["band"], BANDS - 1)] += r["n"]
-        types += r["types"]
-    total = int(by_band.sum())
-    for own, k in zip(n[:TOP].tolist(), band_of(n[:TOP]).tolist()):  # the most frequent words have classes of their own
-        by_band[k] -= own
-    once = int(by_band[1])
-    return Counts(words[order], n[order], np.argsort(np.argsort(-n, kind="stable"), kind="stable")[order], total, types, once, by_band[:BANDS], n[:TOP].astype(float))
+    n, words = n[order], words[order]
+    falling = np.argsort(-n, kind="stable")
+    ranks = np.empty(len(n), np.int64)
+    ranks[falling] = np.arange(len(n))
+    total, once = int(by_band.sum()), int(by_band[1])
+    own = n[falling[:TOP]]
+    np.subtract.at(by_band, band_of(own), own)  # the most frequent words have classes of their own
+    return Counts(words, n, ranks, total, int(types.sum()), once, by_band[:BANDS], own.astype(float))
 
 
 def band_of(n: np.ndarray) -> np.ndarray:
