@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import ledger_queries, matching_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {**ledger_queries.QUERIES, **matching_queries.QUERIES, **text_queries.QUERIES}
+ORACLE_SQL = {**ledger_queries.ORACLE_SQL, **matching_queries.ORACLE_SQL, **text_queries.ORACLE_SQL}
