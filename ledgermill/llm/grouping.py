@@ -2,43 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut, shared_folder  # noqa: F401
+
 #: Blocks of at most this many members compare every pair of them; larger ones go by rounds of leaders and further bands.
 SMALL_BLOCK = 12
 #: How many of the next bands part a large block.
 STEPS = 3
 #: Bits of the filter that is broadcast before texts of chosen nodes are fetched.
-FILTER_BITS = 1 << 20
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all executors share; a temporary one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.ledgermill.scratch", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.ledgermill.scratch", folder)
-    return folder
-
+FILTER_BITS = 1 << 23
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The frame, written once to the shared folder and read again: what follows survives the loss of executors."""
-    path = f"{shared_folder(frame.sparkSession)}/cut-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
-
-def links(keys: DataFrame, n_bands: int, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], small: int = SMALL_BLOCK) -> DataFrame:
+def links(keys: DataFrame, n_bands: int, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], small: int = SMALL_BLOCK, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Verified pairs (a, b) of nodes that agree in a band; keys has the columns (node, bands), one row a node.
 
-    fetch gives the contents of chosen nodes, verify keeps the pairs that are alike by those contents.
+    fetch gives the contents of chosen nodes, verify keeps the pairs that are alike by those contents; near, if given, tells from two nodes'
+    bands whether they are a candidate pair at all, so that others' contents aren't fetched.
 
     Up to `small` nodes that agree in a band are compared pair by pair. A larger block goes by rounds. One of its nodes leads, the others
     are compared with it, and leave if they are like it: a block of near copies ends here, at one comparison a node. The rest, with the leader
@@ -48,20 +33,24 @@ def links(keys: DataFrame, n_bands: int, fetch: Callable[[DataFrame], DataFrame]
     """
     flat = keys.select("node", F.posexplode("bands").alias("at", "value")).select(F.xxhash64("at", "value").alias("block"), "node", "at")
     sizes = flat.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
-    left = cut(flat.join(sizes, "block"))
-    contents = cut(fetch(left.select("node").distinct()))
-    few, left = left.where(F.col("size") <= small), left.where(F.col("size") > small).join(keys, "node").withColumn("end", F.col("at") + n_bands)
+    left = flat.join(sizes, "block").join(keys, "node").withColumn("end", F.col("at") + n_bands)
     left = cut(left.select("block", "node", "at", "end", "size", "bands"))
-    pairs, known, found, depth = _all_pairs(few), None, None, 0
+    pairs, left = cut(_all_pairs(left.where(F.col("size") <= small), near).distinct()), left.where(F.col("size") > small)
+    contents = cut(fetch(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(left.select("node")).distinct()))
+    known, found, depth = None, None, 0
     while True:
         many = not left.isEmpty()
         if many:
             done = F.col("at") + 1 >= F.col("end")
             draw = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-            one = left.groupBy("block").agg(F.min_by("node", F.xxhash64("node", F.lit(depth))).alias("leader"))
-            more = left.where(done & (draw < F.lit(float(2**depth)) / F.col("size"))).select("block", F.col("node").alias("leader"))
-            leaders = one.union(more).distinct()
-            led = cut(left.select("block", "node").join(leaders, "block").where("node != leader").select("block", "node", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
+            lead = F.struct(F.col("node").alias("leader"), F.col("bands").alias("lead_bands"))
+            one = left.groupBy("block").agg(F.min_by(lead, F.xxhash64("node", F.lit(depth))).alias("lead"))
+            more = left.where(done & (draw < F.lit(float(2**depth)) / F.col("size"))).select("block", lead.alias("lead"))
+            leaders = one.union(more).distinct().select("block", "lead.*")
+            met = left.select("block", "node", "bands").join(leaders, "block").where("node != leader")
+            if near:
+                met = met.where(near(F.col("bands"), F.col("lead_bands")))
+            led = cut(met.select("block", "node", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
             pairs = pairs.union(led.select("a", "b"))
         pairs = pairs.distinct()
         if known is not None:
@@ -72,7 +61,7 @@ def links(keys: DataFrame, n_bands: int, fetch: Callable[[DataFrame], DataFrame]
         known = pairs if known is None else known.union(pairs)
         if not many:
             return found
-        linked = led.join(found, ["a", "b"]).select("block", "node").union(leaders.withColumnRenamed("leader", "node")).distinct()
+        linked = led.join(found, ["a", "b"]).select("block", "node").union(leaders.select("block", F.col("leader").alias("node"))).distinct()
         rest = left.drop("size").join(linked, ["block", "node"], "left_anti")
         step = F.explode(F.when(done, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.least(F.lit(STEPS), F.col("end") - 1 - F.col("at"))))).alias("step")
         rest = rest.select("block", "node", "at", "end", "bands", step).withColumn("band", (F.col("at") + F.col("step")) % n_bands)
@@ -80,12 +69,14 @@ def links(keys: DataFrame, n_bands: int, fetch: Callable[[DataFrame], DataFrame]
         rest = rest.select(parted.alias("block"), "node", (F.col("at") + F.col("step")).alias("at"), "end", "bands")
         sizes = rest.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
         rest = cut(rest.join(sizes, "block").select("block", "node", "at", "end", "size", "bands"))
-        pairs, left, depth = _all_pairs(rest.where(F.col("size") <= small)), rest.where(F.col("size") > small), depth + 1
+        pairs, left, depth = _all_pairs(rest.where(F.col("size") <= small), near), rest.where(F.col("size") > small), depth + 1
 
 
-def _all_pairs(blocks: DataFrame) -> DataFrame:
+def _all_pairs(blocks: DataFrame, near: Callable[[Column, Column], Column] | None) -> DataFrame:
     """The pairs of each block; only for blocks of bounded size."""
-    return blocks.select("block", F.col("node").alias("a")).join(blocks.select("block", F.col("node").alias("b")), "block").where("a < b").select("a", "b")
+    side = lambda x: blocks.select("block", F.col("node").alias(x), *([F.col("bands").alias(f"{x}_bands")] if near else []))
+    met = side("a").join(side("b"), "block").where("a < b")
+    return (met.where(near(F.col("a_bands"), F.col("b_bands"))) if near else met).select("a", "b")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -122,6 +113,16 @@ def filter_bits(high: np.ndarray) -> np.ndarray:
     return ((high >> np.uint64(16)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
+def not_given(given: set[int], high: np.ndarray) -> np.ndarray:
+    """The places of nodes that a task hasn't given yet; it forgets what it gave when that is much, and gives some again then."""
+    if len(given) > 1 << 17:
+        given.clear()
+    _, first = np.unique(high, return_index=True)
+    new = [i for i in np.sort(first).tolist() if int(high[i]) not in given]
+    given.update(int(high[i]) for i in new)
+    return np.array(new, np.int64)
+
+
 def node_ids(high: np.ndarray, low: np.ndarray) -> pa.Array:
     """128-bit nodes as 16 bytes each."""
     data = np.stack([high, low], 1).astype(">u8").tobytes()

@@ -76,14 +76,16 @@ def _texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of the chosen nodes, one row each."""
     bits = rows.sparkSession.sparkContext.broadcast(grouping.node_filter(nodes))
 
-    def chosen(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in ta.chunks(batch):
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
+        for part in ta.text_batches(batches):
             hashes, _, _, first = ta.words(*ta.packed(part.column(2), "utf8"))
             high, low = contents(hashes, first)
             at = np.flatnonzero(bits.value[grouping.filter_bits(high)])
+            at = at[grouping.not_given(given, high[at])]
             yield pa.RecordBatch.from_arrays([grouping.node_ids(high[at], low[at]), part.column(2).take(pa.array(at))], ["node", "text"])
 
-    rows = grouping.map_arrow(rows, chosen, "node binary, text string")
+    rows = rows.mapInArrow(chosen, "node binary, text string")
     return rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
 
