@@ -124,15 +124,18 @@ def recurring_merchants(ledger: DataFrame) -> DataFrame:
     """Merchants by how steadily money goes to them: months, mean, mean absolute deviation of the months, stability, cadence."""
     months = burn(ledger).groupBy("merchant", category().alias("category"), month()).agg(F.sum(out_of()).cast(MONEY).alias("spent"))
     w = Window.partitionBy("merchant", "category")
-    marked = months.withColumns({"total": F.sum("spent").over(w), "n": F.count("*").over(w)})
-    mean = F.col("total").cast("double") / F.col("n")
+    marked = months.select("merchant", "category", F.col("spent").cast("decimal(18,2)").alias("spent"))
+    marked = marked.withColumns({"total": F.sum("spent").over(w).cast("decimal(18,2)"), "n": F.count("*").over(w).cast("decimal(6,0)")})
+    # Deviations are summed as decimals, n times as large, so the figures don't hang on the order of rows.
+    deviation = F.abs(F.col("spent") * F.col("n") - F.col("total"))
+    n = F.count("*")
     sums = marked.groupBy("merchant", "category").agg(
-        F.max("n").alias("n_months"), F.max("total").cast(MONEY).alias("total"), F.round(F.avg(F.abs(F.col("spent").cast("double") - mean)), 6).alias("mad"), F.max(mean).alias("mean")
+        n.alias("n_months"), F.max("total").cast(MONEY).alias("total"), (F.sum(deviation).cast("double") / (n * n)).alias("mad"), (F.max("total").cast("double") / n).alias("monthly_mean")
     )
-    stability = F.round(F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide("mad", "mean"), F.lit(0.0))), 4)
+    stability = F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide("mad", "monthly_mean"), F.lit(0.0)))
     out = sums.where((F.col("n_months") >= 2) | (F.col("total") >= 500)).withColumn("stability", stability)
     cadence = F.when((F.col("n_months") >= 3) & (F.col("stability") >= 0.65), "monthly").otherwise("irregular")
-    return out.select("merchant", "category", "n_months", "total", F.round("mean", 4).alias("monthly_mean"), F.round("mad", 4).alias("mad"), "stability", cadence.alias("cadence"), F.round(F.col("mean") * 12, 4).alias("annualized"))
+    return out.select("merchant", "category", "n_months", "total", "monthly_mean", "mad", "stability", cadence.alias("cadence"), (F.col("monthly_mean") * 12).alias("annualized"))
 
 
 def category_trends(ledger: DataFrame, floor: float = 75.0, change: float = 0.15, least_months: int = 4) -> DataFrame:

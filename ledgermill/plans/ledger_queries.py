@@ -44,12 +44,12 @@ def links_of(ledger: DataFrame) -> DataFrame:
     rows = ledger.select("id", "account_id", "amount", snapshots.month())
     first = rows.where("amount > 0").groupBy("account_id", "month").agg(F.min("id").alias("inflow_id"))
     out = rows.where("amount < 0").join(first, ["account_id", "month"])
-    return out.select(F.col("id").alias("outflow_id"), "inflow_id", (F.abs("amount") / 2).cast("decimal(18,2)").alias("amount"))
+    return out.select(F.col("id").alias("outflow_id"), "inflow_id", (F.expr("cast(abs(amount) * 100 as bigint) div 2").cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias("amount"))
 
 
 _LINKS = """,
 firsts AS (SELECT account_id, month, min(id) AS inflow_id FROM ledger WHERE amount > 0 GROUP BY account_id, month),
-links AS (SELECT l.id AS outflow_id, f.inflow_id, CAST(-l.amount / CAST(2 AS DECIMAL(18,0)) AS DECIMAL(18,2)) AS amount, l.amount AS whole, l.month FROM ledger l JOIN firsts f USING (account_id, month) WHERE l.amount < 0)"""
+links AS (SELECT l.id AS outflow_id, f.inflow_id, CAST(CAST(CAST(-l.amount * 100 AS BIGINT) // 2 AS DECIMAL(16,0)) * CAST(0.01 AS DECIMAL(2,2)) AS DECIMAL(18,2)) AS amount, l.amount AS whole, l.month FROM ledger l JOIN firsts f USING (account_id, month) WHERE l.amount < 0)"""
 
 
 def rules_of(ledger: DataFrame) -> DataFrame:
@@ -164,18 +164,18 @@ query(
 )(lambda l: snapshots.fifo_clearing(snapshots.business_months(l, None, BUSINESS, BUSINESS_BACK).select("month", F.col("business_spend").alias("spend"), F.col("business_received").alias("received")), "spend", "received"))
 query(
     "amortization_spread",
-    """, rules AS (SELECT id, CAST(round(CAST(-amount AS DECIMAL(18,2)) / 12, 2) AS DECIMAL(18,2)) AS m, date_trunc('month', txn_date) AS d, -amount AS whole FROM active WHERE economic_class = 'debt_service'),
+    """, rules AS (SELECT id, CAST(CAST((CAST(-amount * 100 AS BIGINT) * 2 + 12) // 24 AS DECIMAL(16,0)) * CAST(0.01 AS DECIMAL(2,2)) AS DECIMAL(18,2)) AS m, date_trunc('month', txn_date) AS d, -amount AS whole FROM active WHERE economic_class = 'debt_service'),
 e AS (SELECT strftime(d + to_months(CAST(k AS INTEGER)), '%Y-%m') AS month, m AS addition, 0 AS replaced FROM rules, range(12) t(k) UNION ALL SELECT strftime(d, '%Y-%m'), 0, whole FROM rules)
 SELECT month, CAST(sum(addition) AS DOUBLE) AS addition, CAST(sum(replaced) AS DOUBLE) AS replaced FROM e GROUP BY month""",
 )(lambda l: snapshots.amortization(rules_of(l), l))
 QUERIES["snapshot_with_links_and_rules"] = lambda spark, sf_dir: plain((lambda l: snapshots.snapshots(l, links_of(l), rules_of(l)))(ledger_orders(spark, sf_dir)))
 query(
     "recurring_merchants",
-    f""", m AS (SELECT merchant, category, month, CAST(sum(-amount) AS DOUBLE) AS spent FROM active WHERE {BURN} GROUP BY merchant, category, month),
-t AS (SELECT *, sum(spent) OVER w AS total, count(*) OVER w AS n, sum(spent) OVER w / count(*) OVER w AS mean FROM m WINDOW w AS (PARTITION BY merchant, category)),
-s AS (SELECT merchant, category, max(n) AS n_months, round(max(total), 2) AS total, round(avg(abs(spent - mean)), 6) AS mad, max(mean) AS mean FROM t GROUP BY merchant, category),
-f AS (SELECT *, round(greatest(0.0, 1 - coalesce(mad / nullif(mean, 0), 0)), 4) AS stability FROM s WHERE n_months >= 2 OR total >= 500)
-SELECT merchant, category, n_months, total, round(mean, 4) AS monthly_mean, round(mad, 4) AS mad, stability, CASE WHEN n_months >= 3 AND stability >= 0.65 THEN 'monthly' ELSE 'irregular' END AS cadence, round(mean * 12, 4) AS annualized FROM f""",
+    f""", m AS (SELECT merchant, category, month, CAST(sum(-amount) AS DECIMAL(18,2)) AS spent FROM active WHERE {BURN} GROUP BY merchant, category, month),
+t AS (SELECT *, CAST(sum(spent) OVER w AS DECIMAL(18,2)) AS total, CAST(count(*) OVER w AS DECIMAL(6,0)) AS n FROM m WINDOW w AS (PARTITION BY merchant, category)),
+s AS (SELECT merchant, category, count(*) AS n_months, max(total) AS total, CAST(sum(abs(spent * n - total)) AS DOUBLE) / (count(*) * count(*)) AS mad, CAST(max(total) AS DOUBLE) / count(*) AS mean FROM t GROUP BY merchant, category),
+f AS (SELECT *, greatest(0.0::DOUBLE, 1 - coalesce(mad / nullif(mean, 0), 0)) AS stability FROM s WHERE n_months >= 2 OR total >= 500)
+SELECT merchant, category, n_months, CAST(total AS DOUBLE) AS total, mean AS monthly_mean, mad, stability, CASE WHEN n_months >= 3 AND stability >= 0.65 THEN 'monthly' ELSE 'irregular' END AS cadence, mean * 12 AS annualized FROM f""",
 )(analytics.recurring_merchants)
 query(
     "category_trends",
@@ -222,7 +222,7 @@ r AS (SELECT 'peak' AS event, month, category, CAST(x AS DOUBLE) AS outflow, row
 query(
     "amortization_suggestions",
     f""", seen AS (SELECT merchant, count(DISTINCT month) AS n FROM active WHERE {BURN} GROUP BY merchant)
-SELECT id, CAST(-amount AS DOUBLE) AS annual_amount, CAST(round(CAST(-amount AS DECIMAL(18,2)) / 12, 2) AS DOUBLE) AS monthly_amount, month AS start_month, strftime(txn_date + to_months(11), '%Y-%m') AS end_month
+SELECT id, CAST(-amount AS DOUBLE) AS annual_amount, CAST(CAST(CAST((CAST(-amount * 100 AS BIGINT) * 2 + 12) // 24 AS DECIMAL(16,0)) * CAST(0.01 AS DECIMAL(2,2)) AS DECIMAL(18,2)) AS DOUBLE) AS monthly_amount, month AS start_month, strftime(txn_date + to_months(11), '%Y-%m') AS end_month
 FROM active LEFT JOIN seen USING (merchant) WHERE economic_class = 'household_spend' AND amount <= -1500 AND category <> 'BUILDING' AND coalesce(n, 1) - 1 < 3""",
 )(lambda l: analytics.amortization_suggestions(l, FIXED))
 query(
