@@ -10,7 +10,7 @@ wherever they stand, and the windows of a text fall into runs of one key, some 8
    Burrows-Wheeler transform, classes of rows with equal prefixes are parted breadth-first by backward extension, so the common prefixes of
    neighbouring suffixes come out by increasing value; at LENGTH - 1 it stops, and neighbours not yet parted share LENGTH bytes or more.
 
-A key with more than `HOT` runs (a passage in a third of all documents) isn't put into one bin: the windows of its distinct runs are counted
+A key with more than `HOT` distinct runs (a passage in a third of all documents) isn't put into one bin: the windows of its distinct runs are counted
 by their own hash first, and two copies of each that stands in several go to the bins, dealt by that hash.
 
 Defined cases: a null text is an empty one; texts of under LENGTH bytes lose nothing; repeated rows are documents of their own, so they lose
@@ -35,7 +35,7 @@ from .pieces import _ranges
 LENGTH, ANCHOR = 200, 40
 #: Windows of a run; longer ones (a text that repeats itself closely) are parted.
 MAX_RUN = 256
-HOT = 2048
+HOT = 6000
 BIN_BYTES = 1 << 20
 #: Windows that are hashed at once.
 BLOCK = 1 << 20
@@ -320,11 +320,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     docs = _keyed(docs, text, doc_id)
     keys = grouping.cut(grouping.map_arrow(docs.select("k1", "k2", "text"), lambda b: _keys(b, length, anchor), _KEYS))
     counts = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("digest").alias("a"), F.max("digest").alias("b"), F.max("recurs").alias("recurs")).where("size > 1 or recurs")
-    shared = keys.drop("recurs").join(counts.select("key", (F.col("size") > hot).alias("hot"), F.expr("a = b and size > 1").alias("same")), "key")
+    shared = keys.drop("recurs").join(counts.select("key", F.expr("a = b and size > 1").alias("same")), "key")
     shared = grouping.cut(shared)
     span = lambda at, n: F.struct(at.alias("begin"), (at + n - 1 + length).alias("end"))
     copies = shared.where("same").select("k1", "k2", span(F.col("start"), F.col("n")).alias("span"))
-    chosen = shared.where("not same").groupBy("k1", "k2").agg(F.collect_set(F.struct("key", "digest", "start", "n", "hot")).alias("chosen"))
+    mixed = shared.where("not same")
+    kinds = mixed.select("key", "digest").distinct().groupBy("key").agg(F.count("*").alias("kinds"))
+    mixed = mixed.join(kinds.where(F.col("kinds") > hot).select("key", F.lit(True).alias("hot")), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    chosen = mixed.groupBy("k1", "k2").agg(F.collect_set(F.struct("key", "digest", "start", "n", "hot")).alias("chosen"))
     texts = docs.select("k1", "k2", "text").join(chosen, ["k1", "k2"])
     occurrences = grouping.cut(texts.mapInArrow(_cut_out(length), "key long, digest long, k1 long, k2 long, start int, n int, hot boolean, bytes binary"))
     cool = occurrences.where("not hot").select("key", "digest", "bytes").repartition("key").sortWithinPartitions("key", "digest")
