@@ -86,7 +86,7 @@ def expected_calendar(income: DataFrame, by: list[str], closing_day: int = 28, l
     groups = months.groupBy(*by).agg(F.min("month").alias("first"), F.count("*").alias("n"), upper_median(F.col("observed")).cast(MONEY).alias("expected")).where("n >= 2")
     spine = groups.crossJoin(F.broadcast(latest.select(last.alias("last")))).where("first <= last").select(*by, "expected", F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("month"))
     met = spine.join(months, [*by, "month"], "left").withColumn("observed", F.coalesce("observed", F.lit(0)).cast(MONEY))
-    tolerance = F.greatest(F.lit(least), F.col("expected") * share).cast(MONEY)
+    tolerance = F.greatest(F.lit(least).cast(MONEY), (F.col("expected") * F.lit(share).cast("decimal(6,4)")).cast(MONEY)).cast(MONEY)
     return met.select(*by, F.date_format("month", "yyyy-MM").alias("month"), "expected", "observed", tolerance.alias("tolerance"), (F.col("observed") + tolerance >= F.col("expected")).alias("satisfied"))
 
 

@@ -123,7 +123,7 @@ query(
 x AS (SELECT max(txn_date) AS latest FROM ledger WHERE economic_class = 'income'), b AS (SELECT CASE WHEN day(latest) >= 28 THEN date_trunc('month', latest) ELSE date_trunc('month', latest) - to_months(1) END AS last FROM x),
 g AS (SELECT subcategory, min(d) AS first, list_sort(list(observed))[len(list(observed)) // 2 + 1] AS expected FROM m GROUP BY subcategory HAVING count(*) >= 2),
 s AS (SELECT subcategory, expected, CAST(unnest(generate_series(CAST(first AS TIMESTAMP), CAST(last AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS d FROM g, b),
-j AS (SELECT s.*, CAST(coalesce(observed, 0) AS DECIMAL(18,2)) AS observed, CAST(greatest(750, CAST(expected AS DOUBLE) * 0.18) AS DECIMAL(18,2)) AS tolerance FROM s LEFT JOIN m ON m.subcategory = s.subcategory AND CAST(m.d AS DATE) = s.d)
+j AS (SELECT s.*, CAST(coalesce(observed, 0) AS DECIMAL(18,2)) AS observed, greatest(CAST(750 AS DECIMAL(18,2)), CAST(CAST(expected AS DECIMAL(18,2)) * CAST(0.18 AS DECIMAL(6,4)) AS DECIMAL(18,2))) AS tolerance FROM s LEFT JOIN m ON m.subcategory = s.subcategory AND CAST(m.d AS DATE) = s.d)
 SELECT subcategory, strftime(d, '%Y-%m') AS month, CAST(expected AS DOUBLE) AS expected, CAST(observed AS DOUBLE) AS observed, CAST(tolerance AS DOUBLE) AS tolerance, observed + tolerance >= expected AS satisfied FROM j""",
 )(lambda l: detect.expected_calendar(l.where("economic_class = 'income'"), ["subcategory"]))
 
