@@ -424,7 +424,7 @@ def read_symbols(docs: DataFrame, counts: DataFrame, table: Counts) -> DataFrame
             known = c >= 0
             symbols = np.where(known, symbols_of(c, ranks), -1).astype(np.int16)
             beyond = ~known
-            sums = lambda x: pa.array(np.bincount(doc[known], x, len(n)))
+            sums = lambda x: pa.array(np.bincount(doc[known], x, len(n)).astype(float))
             in_band = np.where(ranks[known] < TOP, 0.0, in_band_log(c[known], t))
             lists = lambda values, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
             columns = [*part.columns[:4], lists(symbols, n), lists(hashes[beyond].view(np.int64), np.bincount(doc[beyond], minlength=len(n))), pa.array(np.bincount(doc[known], minlength=len(n))), sums(base_log(c[known], t)), sums(in_band)]
