@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import cut, shared_folder  # noqa: F401
 
-#: Blocks of at most this many members compare every pair of them; larger ones go by rounds of leaders and further bands.
+#: Blocks of at most this many members compare every pair of them at once; larger ones go by rounds of leaders, in tiles of so many members.
 SMALL_BLOCK = 12
-#: How many of the next bands part a large block.
-STEPS = 3
+#: How many times as many leaders each next round has.
+MORE_LEADERS = 8
 #: Bits of the filter that is broadcast before texts of chosen nodes are fetched.
 FILTER_BITS = 1 << 23
 
@@ -25,33 +25,41 @@ def links(keys: DataFrame, n_bands: int, fetch: Callable[[DataFrame], DataFrame]
     fetch gives the contents of chosen nodes, verify keeps the pairs that are alike by those contents; near, if given, tells from two nodes'
     bands whether they are a candidate pair at all, so that others' contents aren't fetched.
 
-    Up to `small` nodes that agree in a band are compared pair by pair. A larger block goes by rounds. One of its nodes leads, the others
-    are compared with it, and leave if they are like it: a block of near copies ends here, at one comparison a node. The rest, with the leader
-    gone, is parted by each of the next `STEPS` bands, so that what stays together agrees in ever more bands; two nodes that agree in any
-    two bands that near meet again. Blocks that have used all bands go on with ever more leaders until no pair is left. No task holds
-    a block, and no round makes more pairs than its rows times `small`.
+    The connected groups of the result are those of all pairs that agree in a band. Up to `small` nodes that agree in a band are compared pair
+    by pair. A larger block goes by rounds: leaders are compared with every node of the block that isn't known to be of their group, then
+    leave it, as all their pairs are settled. A pair of one group needs no comparison, so leaders come from outside the block's largest
+    group, and the block ends when one group is left: a block of near copies at one comparison a node. Each round has more
+    leaders, the last one all that are left. Leaders meet a block in tiles, so no task holds a block.
     """
-    flat = keys.select("node", F.posexplode("bands").alias("at", "value")).select(F.xxhash64("at", "value").alias("block"), "node", "at")
+    bands = ["bands"] if near else []
+    flat = keys.select("node", *bands, F.posexplode("bands").alias("at", "value")).select(F.xxhash64("at", "value").alias("block"), "node", *bands)
     sizes = flat.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
-    left = flat.join(sizes, "block").join(keys, "node").withColumn("end", F.col("at") + n_bands)
-    left = cut(left.select("block", "node", "at", "end", "size", "bands"))
-    pairs, left = cut(_all_pairs(left.where(F.col("size") <= small), near).distinct()), left.where(F.col("size") > small)
+    flat = cut(flat.join(sizes, "block"))
+    pairs, left = _all_pairs(flat.where(F.col("size") <= small), near), flat.where(F.col("size") > small).drop("size").withColumn("root", F.col("node"))
+    pairs = cut(pairs.distinct())
     contents = cut(fetch(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(left.select("node")).distinct()))
     known, found, depth = None, None, 0
     while True:
+        groups = left.groupBy("block", "root").agg(F.count("*").alias("n"))
+        tops = groups.groupBy("block").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("top")).where("top.n < size")
+        left = cut(left.join(tops, "block"))
         many = not left.isEmpty()
+        if not many and found is not None:
+            return found
         if many:
-            done = F.col("at") + 1 >= F.col("end")
-            draw = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-            lead = F.struct(F.col("node").alias("leader"), F.col("bands").alias("lead_bands"))
-            one = left.groupBy("block").agg(F.min_by(lead, F.xxhash64("node", F.lit(depth))).alias("lead"))
-            more = left.where(done & (draw < F.lit(float(2**depth)) / F.col("size"))).select("block", lead.alias("lead"))
-            leaders = one.union(more).distinct().select("block", "lead.*")
-            met = left.select("block", "node", "bands").join(leaders, "block").where("node != leader")
+            tiles = F.ceil(F.col("size") / small)
+            others = left.where("root != top.root").withColumn("order", F.xxhash64("node", F.lit(depth)))
+            lead = F.struct(F.col("node").alias("leader"), F.col("root").alias("lead_root"), tiles.alias("tiles"), *[F.col(x).alias("lead_bands") for x in bands])
+            draw = F.pmod("order", F.lit(1 << 40)) / F.lit(float(1 << 40))
+            all_lead = (F.col("size") <= small) | (draw < F.lit(float(MORE_LEADERS**depth)) / (F.col("size") - F.col("top.n")))
+            one = others.groupBy("block").agg(F.min_by(lead, "order").alias("lead"))
+            leaders = cut(one.union(others.where(all_lead).select("block", lead.alias("lead"))).distinct().select("block", "lead.*"))
+            members = left.withColumn("tile", F.pmod(F.xxhash64("node"), tiles))
+            met = members.join(leaders.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))), ["block", "tile"]).where("root != lead_root")
             if near:
                 met = met.where(near(F.col("bands"), F.col("lead_bands")))
-            led = cut(met.select("block", "node", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
-            pairs = pairs.union(led.select("a", "b"))
+            met = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+            pairs = met if found is not None else pairs.union(met)
         pairs = pairs.distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
@@ -61,15 +69,9 @@ def links(keys: DataFrame, n_bands: int, fetch: Callable[[DataFrame], DataFrame]
         known = pairs if known is None else known.union(pairs)
         if not many:
             return found
-        linked = led.join(found, ["a", "b"]).select("block", "node").union(leaders.select("block", F.col("leader").alias("node"))).distinct()
-        rest = left.drop("size").join(linked, ["block", "node"], "left_anti")
-        step = F.explode(F.when(done, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.least(F.lit(STEPS), F.col("end") - 1 - F.col("at"))))).alias("step")
-        rest = rest.select("block", "node", "at", "end", "bands", step).withColumn("band", (F.col("at") + F.col("step")) % n_bands)
-        parted = F.when(F.col("step") == 0, F.col("block")).otherwise(F.xxhash64("block", "band", F.get("bands", F.col("band"))))
-        rest = rest.select(parted.alias("block"), "node", (F.col("at") + F.col("step")).alias("at"), "end", "bands")
-        sizes = rest.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
-        rest = cut(rest.join(sizes, "block").select("block", "node", "at", "end", "size", "bands"))
-        pairs, left, depth = _all_pairs(rest.where(F.col("size") <= small), near), rest.where(F.col("size") > small), depth + 1
+        rest = left.select("block", "node", *bands).join(leaders.select("block", F.col("leader").alias("node")), ["block", "node"], "left_anti")
+        left = rest.join(connected(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        depth += 1
 
 
 def _all_pairs(blocks: DataFrame, near: Callable[[Column, Column], Column] | None) -> DataFrame:

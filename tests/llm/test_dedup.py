@@ -161,6 +161,15 @@ def test_links_of_a_block_larger_than_one_task_compares(spark, shape):
     assert sizes == sorted(Counter(i % kinds for i in range(n)).values())
 
 
+@pytest.mark.parametrize("alike", ["a % 20 = b % 20", "abs(a - b) <= 1"])
+def test_links_of_a_large_block_that_agrees_in_one_band_only(spark, alike):
+    """Nodes of a block of 60 share no other band; in the second case most nodes are alike to few of the block, and not to its leader."""
+    nodes = spark.range(60).selectExpr("id as node", "array(1L, id, id, id, id, id) as bands")
+    found = grouping.links(nodes, 6, lambda chosen: nodes.join(chosen, "node"), lambda pairs, contents: pairs.where(alike))
+    sizes = sorted(r["count"] for r in grouping.connected(found).groupBy("root").count().collect())
+    assert sizes == ([3] * 20 if "%" in alike else [60])
+
+
 def test_connected_long_chain(spark):
     edges = spark.range(200).selectExpr("id as a", "id + 1 as b").union(spark.range(500, 510).selectExpr("id as a", "500L as b"))
     roots = {r["node"]: r["root"] for r in grouping.connected(edges).collect()}
