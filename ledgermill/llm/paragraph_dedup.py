@@ -1,6 +1,7 @@
 """Substring dedup by paragraphs: MinHash banding, exact Jaccard of the colliding paragraphs, removal by connected groups.
 
-A paragraph is a line's text between newlines with at least `min_words` words; shorter ones are never touched. Equal paragraphs (same
+A paragraph is a line's text between newlines with at least `min_words` words; shorter ones are never touched. The query takes every
+paragraph with a word; those of fewer words than a shingle have equals only, and no bands. Equal paragraphs (same
 words, whatever case and punctuation) are one node from the start, so a paragraph that is in a third of all documents is one row
 in every later join. Signatures are made where the text is read; texts travel only for nodes that collide.
 
@@ -64,11 +65,14 @@ def _signed(batch: pa.RecordBatch, min_words: int) -> Iterator[pa.RecordBatch]:
         keep = np.repeat(n >= min_words, n)
         hashes, first = hashes[keep], np.concatenate([[0], np.cumsum(n[rows])])
         high, low = contents(hashes, first)
-        grams, _, gram_first = ta.shingles(hashes, first, WORDS)
-        signature = minhashes(grams, gram_first)
-        bands = np.stack([ta.mix((signature[:, b * ROWS : (b + 1) * ROWS] * _FACTORS[:ROWS]).sum(1, dtype=np.uint64) + np.uint64(b)) for b in range(BANDS)], 1)
+        fuzzy = n[rows] >= WORDS
+        bands = np.zeros((0, BANDS), np.uint64)
+        if fuzzy.any():
+            grams, _, gram_first = ta.shingles(hashes[np.repeat(fuzzy, n[rows])], np.concatenate([[0], np.cumsum(n[rows][fuzzy])]), WORDS)
+            signature = minhashes(grams, gram_first)
+            bands = np.stack([ta.mix((signature[:, b * ROWS : (b + 1) * ROWS] * _FACTORS[:ROWS]).sum(1, dtype=np.uint64) + np.uint64(b)) for b in range(BANDS)], 1)
         taken = part.take(pa.array(rows))
-        band_lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
+        band_lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(fuzzy)]).astype(np.int32) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel()))
         yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(n[rows].astype(np.int32)), grouping.node_ids(high, low), band_lists], ["doc_id", "paragraph", "n_words", "node", "bands"])
 
 
@@ -125,7 +129,7 @@ def duplicate_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc
     signed = grouping.map_arrow(lines, lambda batch: _signed(batch, min_words), f"doc_id {id_type}, paragraph int, n_words int, node binary, bands array<bigint>")
     signed = grouping.cut(signed)
     nodes = grouping.cut(signed.groupBy("node").agg(F.first("bands").alias("bands")))
-    pairs = grouping.links(nodes.select("node", "bands"), BANDS, lambda chosen: _texts(lines, chosen), lambda pairs, texts: verified(pairs, texts, similarity))
+    pairs = grouping.links(nodes.where("size(bands) > 0").select("node", "bands"), BANDS, lambda chosen: _texts(lines, chosen), lambda pairs, texts: verified(pairs, texts, similarity))
     roots = grouping.connected(pairs)
     # What each group has, summed before any row meets its group.
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("paragraph"))
@@ -138,4 +142,4 @@ def duplicate_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc
 
 
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return duplicate_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), min_words=1)

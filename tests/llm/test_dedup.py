@@ -144,6 +144,18 @@ def test_paragraphs(spark, docs, empty):
     assert paragraph_dedup.duplicate_paragraphs(docs).where("doc_id is null").count() >= 0
 
 
+def test_paragraph_query_takes_short_paragraphs(spark, tmp_path):
+    """Repeats of one word, of fewer words than a shingle, alike ones of under 20 words, and a passage laid out in short lines."""
+    rng = random.Random(6)
+    passage = [prose(rng, 10) for _ in range(6)]
+    line = prose(rng, 17)
+    texts = ["\n".join([prose(rng, 12), *passage, "Contents"]), f"contents.\n{prose(rng, 30)}\n{line}\nfew words only", "\n".join([*passage, f"{line} more", "", "!!!", "Few words, only"])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = paragraph_dedup.op5_paragraph_dedup(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["paragraph"]) for r in rows} == {*((0, i) for i in range(1, 8)), (1, 0), (1, 2), (1, 3), *((2, i) for i in range(7)), (2, 9)}
+    assert all(r["n_occurrences"] == 2 for r in rows) and sum(r["kept"] for r in rows) == 9
+
+
 @pytest.mark.parametrize("shape", [(9, 4), (40, 1), (3000, 3)])
 def test_links_of_a_block_larger_than_one_task_compares(spark, shape):
     """All members of a block that are alike are found, whatever its size; nodes are alike if they agree in their last value."""
