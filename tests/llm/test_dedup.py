@@ -120,6 +120,23 @@ def test_lines_against_all_pairs(spark):
     assert len(wanted) >= 4 and wanted <= got
 
 
+def test_lines_that_meet_are_compared_whatever_their_bits(spark):
+    """A pair of alike lines that agree in a block while their SimHashes differ in more than 24 bits."""
+    rng = random.Random(8)
+    lines = [prose(rng, 6) for _ in range(40000)]
+    edited = [x[:-1] + "q" for x in lines]
+    blocks = []
+    for column in (lines, edited):
+        hashes, _, _, first = ta.words(*ta.packed(pa.array(column), "utf8"))
+        blocks.append(line_dedup.simhash_blocks(hashes, first))
+    differ = np.bitwise_count(blocks[0] ^ blocks[1]).sum(1)
+    at = np.flatnonzero((blocks[0] == blocks[1]).any(1) & (differ > 24))[:5].tolist()
+    assert at
+    texts = [x for i in at for x in (lines[i], edited[i])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in line_dedup.repeated_lines(frame).collect()} == {2 * k + 1 for k in range(len(at))}
+
+
 def test_lines_odd_cases(docs, empty, texts):
     done = line_dedup.drop_repeated_lines(docs, counts=("n_lines", "n_removed"))
     assert done.columns == [*docs.columns, "n_lines", "n_removed"]
