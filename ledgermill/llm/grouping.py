@@ -11,88 +11,120 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import cut, shared_folder  # noqa: F401
 
-#: Blocks of at most this many members compare every pair of them at once; larger ones go by rounds of leaders, in tiles of so many members.
+#: Blocks of at most this many members compare every pair of them at once; larger ones go by rounds of leaders.
 SMALL_BLOCK = 12
+#: Members of a large block that meet its leaders in one task.
+TILE = 1024
 #: How many times as many leaders each next round has.
-MORE_LEADERS = 8
-#: Bits of the filter that is broadcast before texts of chosen nodes are fetched.
-FILTER_BITS = 1 << 23
+MORE_LEADERS = 16
+#: Bits of the filter that is broadcast before texts of chosen nodes are fetched: some 16 a node, up to 16 MB.
+LEAST_FILTER_BITS, MOST_FILTER_BITS = 1 << 20, 1 << 27
+#: A key that has more than this share of all rows of a join is hot; there can be no more hot keys than its inverse.
+HOT_SHARE = 1 / 1024
 
 
-def links(keys: DataFrame, n_bands: int, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], small: int = SMALL_BLOCK, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """Verified pairs (a, b) of nodes that agree in a band; keys has the columns (node, bands), one row a node.
+def links(keys: DataFrame, similarity: float, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], weigh: Callable[[DataFrame], DataFrame] | None = None, small: int = SMALL_BLOCK) -> DataFrame:
+    """The groups that nodes which share a block form by verified pairs, each as a star of edges (a: the group's least node, b: another one).
 
-    fetch gives the contents of chosen nodes, verify keeps the pairs that are alike by those contents; near, if given, tells from two nodes'
-    bands whether they are a candidate pair at all, so that others' contents aren't fetched.
+    keys has the columns (node, total, blocks), where total is the node's weight.
 
-    The connected groups of the result are those of all pairs that agree in a band. Up to `small` nodes that agree in a band are compared pair
+    fetch gives the contents of chosen nodes, verify keeps the pairs that are alike by those contents. Two nodes can only be alike if the lesser
+    total is at least `similarity` of the greater. weigh, if given, tells from contents of nodes what of each node's total no other of
+    these nodes has (node, own): what two nodes share is then at most the lesser of total - own, so a node of whose total more than
+    1 - similarity is its own is like none, and need not be compared in large blocks. Both bounds are exact: no alike pair is lost.
+
+    The connected groups of the result are those of all pairs that share a block. Up to `small` nodes that share a block are compared pair
     by pair. A larger block goes by rounds: leaders are compared with every node of the block that isn't known to be of their group, then
     leave it, as all their pairs are settled. A pair of one group needs no comparison, so leaders come from outside the block's largest
-    group, and the block ends when one group is left: a block of near copies at one comparison a node. Each round has more
-    leaders, the last one all that are left. Leaders meet a block in tiles, so no task holds a block.
+    group, the first one being the node with the least of its own, and the block ends when one group is left: a block of near copies of one
+    text at one comparison a node. Each round has more leaders, the last one all that are left. Leaders meet a block in tiles, so no task holds a block.
     """
-    bands = ["bands"] if near else []
-    flat = keys.select("node", *bands, F.posexplode("bands").alias("at", "value")).select(F.xxhash64("at", "value").alias("block"), "node", *bands)
+    flat = keys.select(F.explode("blocks").alias("block"), "node", "total")
+    several = flat.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
+    flat = cut(flat.join(several, "block").groupBy("block", "node").agg(F.first("total").alias("total")))
     sizes = flat.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
     flat = cut(flat.join(sizes, "block"))
-    pairs, left = _all_pairs(flat.where(F.col("size") <= small), near), flat.where(F.col("size") > small).drop("size").withColumn("root", F.col("node"))
-    pairs = cut(pairs.distinct())
+    left = flat.where(F.col("size") > small).drop("size").withColumn("own", F.lit(0.0))
+    pairs = cut(_all_pairs(flat.where(F.col("size") <= small), similarity).distinct())
     contents = cut(fetch(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(left.select("node")).distinct()))
-    known, found, depth = None, None, 0
+    if weigh is not None:
+        own = cut(weigh(contents.join(left.select("node").distinct(), "node", "left_semi")))
+        left = left.drop("own").join(own, "node", "left").withColumn("own", F.coalesce(F.col("own").cast("double"), F.lit(0.0)))
+        left = cut(left.where(F.col("own") <= (1 - similarity) * F.col("total") * (1 + 1e-6)))
+    left = left.withColumn("root", F.col("node"))
+    known, stars, depth = None, None, 0
     while True:
         groups = left.groupBy("block", "root").agg(F.count("*").alias("n"))
         tops = groups.groupBy("block").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("top")).where("top.n < size")
         left = cut(left.join(tops, "block"))
         many = not left.isEmpty()
-        if not many and found is not None:
-            return found
+        if not many and stars is not None:
+            return stars
         if many:
-            tiles = F.ceil(F.col("size") / small)
+            tiles = F.ceil(F.col("size") / TILE)
             others = left.where("root != top.root").withColumn("order", F.xxhash64("node", F.lit(depth)))
-            lead = F.struct(F.col("node").alias("leader"), F.col("root").alias("lead_root"), tiles.alias("tiles"), *[F.col(x).alias("lead_bands") for x in bands])
+            lead = F.struct(F.col("node").alias("leader"), F.col("root").alias("lead_root"), F.col("total").alias("lead_total"), F.col("own").alias("lead_own"), tiles.alias("tiles"))
             draw = F.pmod("order", F.lit(1 << 40)) / F.lit(float(1 << 40))
             all_lead = (F.col("size") <= small) | (draw < F.lit(float(MORE_LEADERS**depth)) / (F.col("size") - F.col("top.n")))
-            one = others.groupBy("block").agg(F.min_by(lead, "order").alias("lead"))
+            one = others.groupBy("block").agg(F.min_by(lead, F.struct(F.col("own") / F.col("total"), "order")).alias("lead"))
             leaders = cut(one.union(others.where(all_lead).select("block", lead.alias("lead"))).distinct().select("block", "lead.*"))
             members = left.withColumn("tile", F.pmod(F.xxhash64("node"), tiles))
-            met = members.join(leaders.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))), ["block", "tile"]).where("root != lead_root")
-            if near:
-                met = met.where(near(F.col("bands"), F.col("lead_bands")))
+            met = members.join(leaders.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))), ["block", "tile"])
+            met = met.where("root != lead_root").where(_may_be_alike("total", "own", "lead_total", "lead_own", similarity))
             met = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-            pairs = met if found is not None else pairs.union(met)
+            pairs = met if stars is not None else pairs.union(met)
         pairs = pairs.distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        passed = cut(verify(pairs, contents).select("a", "b"))
-        found = passed if found is None else found.union(passed)
+        passed = verify(pairs, contents).select("a", "b")
+        roots = cut(connected(passed if stars is None else stars.union(passed)))
+        stars = roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
         known = pairs if known is None else known.union(pairs)
         if not many:
-            return found
-        rest = left.select("block", "node", *bands).join(leaders.select("block", F.col("leader").alias("node")), ["block", "node"], "left_anti")
-        left = rest.join(connected(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+            return stars
+        rest = left.select("block", "node", "total", "own").join(leaders.select("block", F.col("leader").alias("node")), ["block", "node"], "left_anti")
+        left = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         depth += 1
 
 
-def _all_pairs(blocks: DataFrame, near: Callable[[Column, Column], Column] | None) -> DataFrame:
-    """The pairs of each block; only for blocks of bounded size."""
-    side = lambda x: blocks.select("block", F.col("node").alias(x), *([F.col("bands").alias(f"{x}_bands")] if near else []))
-    met = side("a").join(side("b"), "block").where("a < b")
-    return (met.where(near(F.col("a_bands"), F.col("b_bands"))) if near else met).select("a", "b")
+def _may_be_alike(total: str, own: str, other_total: str, other_own: str, similarity: float) -> Column:
+    """Whether what two nodes can share at most is enough: shared / (all of both - shared)."""
+    shared = F.least(F.col(total) - F.col(own), F.col(other_total) - F.col(other_own))
+    return shared * (1 + 1e-6) >= similarity * (F.col(total) + F.col(other_total) - shared)
+
+
+def _all_pairs(blocks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of each block whose totals let them be alike; only for blocks of bounded size."""
+    side = lambda x: blocks.select("block", F.col("node").alias(x), F.col("total").alias(f"{x}_total"))
+    close = F.least("a_total", "b_total") * (1 + 1e-6) >= similarity * F.greatest("a_total", "b_total")
+    return side("a").join(side("b"), "block").where("a < b").where(close).select("a", "b")
+
+
+def join_few(rows: DataFrame, few: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined to one row a key of few, which has the number n of rows that the key has; total is the number of all rows.
+
+    Keys with more than HOT_SHARE of the rows, which can't be many, are broadcast, so that their rows stay where they are.
+    """
+    hot = F.col(n) > max(1000, int(total * HOT_SHARE))
+    hubs = F.broadcast(few.where(hot).drop(n))
+    return rows.join(hubs, key).unionByName(rows.join(F.broadcast(few.where(hot).select(key)), key, "left_anti").join(few.where(~hot).drop(n), key))
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): alternate large-star and small-star joins until all groups are stars.
 
-    The root is the group's least node.
+    The root is the group's least node. The least neighbours of hubs are broadcast, so no task holds a hub's edges.
     """
     edges = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while not _stars(edges):
+        total = edges.count()
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("least"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("least"))
-        small = large.join(least, "u").where("v != least").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n"))
+        large = join_few(both.where("v > u"), least, "u", "n", 2 * total).select(F.col("v").alias("u"), F.least("u", "least").alias("v"))
+        large = cut(large.distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n"))
+        small = join_few(large, least, "u", "n", total).where("v != least").select(F.col("v").alias("u"), F.col("least").alias("v"))
         edges = cut(small.union(least.select("u", F.col("least").alias("v"))).distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -103,16 +135,34 @@ def _stars(edges: DataFrame) -> bool:
 
 
 def node_filter(nodes: DataFrame) -> np.ndarray:
-    """A bit for each hashed node: a filter of fixed size that lets all chosen nodes pass, and few others while it isn't full."""
-    bits = np.zeros(FILTER_BITS, bool)
-    found = nodes.select(F.pmod(F.conv(F.substring(F.hex("node"), 1, 12), 16, 10).cast("long"), F.lit(FILTER_BITS)).alias("bit")).distinct().toPandas()
-    bits[found["bit"].to_numpy(np.int64)] = True
+    """Bits that are set for chosen nodes (16 bytes, or longs: their first 64 bits): all of them pass, and few others while it isn't full.
+
+    Its size follows the number of nodes up to a bound; what passes beyond them is dropped by the join that follows. Segments of it are packed in tasks.
+    """
+    many = nodes.count()
+    size = min(max(1 << (16 * many).bit_length(), LEAST_FILTER_BITS), MOST_FILTER_BITS)
+    high = F.col("node") if dict(nodes.dtypes)["node"] == "bigint" else F.conv(F.substring(F.hex("node"), 1, 16), 16, -10).cast("long")
+    bit = F.shiftrightunsigned(high, 16).bitwiseAND(F.lit(size - 1))
+    spots = nodes.select(F.floor(bit / 65536).cast("int").alias("segment"), (bit % 65536).cast("int").alias("spot")).distinct()
+
+    def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = []
+        for found in batch.column(1):
+            bits = np.zeros(65536, bool)
+            bits[found.values.to_numpy()] = True
+            out.append(np.packbits(bits).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["segment", "bits"])
+
+    bits = np.zeros(size // 8, np.uint8)
+    for row in map_arrow(spots.groupBy("segment").agg(F.collect_list("spot").alias("spots")), pack, "segment int, bits binary").toLocalIterator():
+        bits[row["segment"] * 8192 : (row["segment"] + 1) * 8192] = np.frombuffer(row["bits"], np.uint8)
     return bits
 
 
-def filter_bits(high: np.ndarray) -> np.ndarray:
-    """The filter's bit of nodes, from their first 64 bits (big-endian)."""
-    return ((high >> np.uint64(16)) % np.uint64(FILTER_BITS)).astype(np.int64)
+def passes(bits: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The places of nodes that the filter lets pass, from their first 64 bits."""
+    bit = (high >> np.uint64(16)) & np.uint64(8 * len(bits) - 1)
+    return np.flatnonzero(bits[(bit >> np.uint64(3)).astype(np.int64)] & (np.uint8(128) >> (bit & np.uint64(7)).astype(np.uint8)))
 
 
 def not_given(given: set[int], high: np.ndarray) -> np.ndarray:

@@ -127,18 +127,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def signed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in ta.chunks(batch):
             high, low, grams, counts, first = grams_of(part.column(1))
+            weights = counts * idf.value[cells(grams)]
+            total = np.bincount(np.repeat(np.arange(len(high)), np.diff(first)), weights, len(high)).astype(np.float32)
             bands: list = [[]] * len(high)
             some = np.flatnonzero(np.diff(first))
             if len(some):
-                found = samples(grams, counts * idf.value[cells(grams)], np.concatenate([first[some], first[-1:]]))
+                found = samples(grams, weights, np.concatenate([first[some], first[-1:]]))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.diff(first) > 0)]).astype(np.int32) * BANDS), pa.array(found.view(np.int64).ravel()))
             else:
                 lists = pa.array(bands, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), grouping.node_ids(high, low), lists], ["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), grouping.node_ids(high, low), pa.array(total), lists], ["doc_id", "node", "total", "blocks"])
 
-    signed_rows = grouping.cut(grouping.map_arrow(rows, signed, f"doc_id {id_type}, node binary, bands array<bigint>"))
-    nodes = grouping.cut(signed_rows.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
-    pairs = grouping.links(nodes.select("node", "bands"), BANDS, lambda chosen: texts_of(rows.select("text"), chosen), lambda pairs, texts: verified(pairs, texts, idf, similarity))
+    signed_rows = grouping.cut(grouping.map_arrow(rows, signed, f"doc_id {id_type}, node binary, total float, blocks array<bigint>"))
+    nodes = grouping.cut(signed_rows.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.first("total").alias("total"), F.first("blocks").alias("blocks")))
+    fetch = lambda chosen: texts_of(rows.select("text"), chosen)
+    pairs = grouping.links(nodes.select("node", "total", "blocks"), similarity, fetch, lambda pairs, texts: verified(pairs, texts, idf, similarity), lambda texts: own_weights(texts, idf))
     roots = grouping.connected(pairs)
     sums = nodes.select("node", "n", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = sums.groupBy("root").agg(F.sum("n").alias("class_size"), F.min("least").alias("class_id"))
@@ -155,7 +158,7 @@ def texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         for part in ta.text_batches(batches):
             hashes, _, _, first = ta.words(*ta.packed(part.column(0), "utf8"))
             high, low = contents(hashes, first)
-            at = np.flatnonzero(bits.value[grouping.filter_bits(high)])
+            at = grouping.passes(bits.value, high)
             at = at[grouping.not_given(given, high[at])]
             yield pa.RecordBatch.from_arrays([grouping.node_ids(high[at], low[at]), part.column(0).take(pa.array(at))], ["node", "text"])
 
@@ -163,6 +166,20 @@ def texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
 
+def own_weights(texts: DataFrame, idf) -> DataFrame:
+    """(node, own): the weight of each node's shingles that no other of these nodes has; nodes without any are left out."""
+
+    def weighed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in ta.chunks(batch):
+            _, _, grams, counts, first = grams_of(part.column(1))
+            row = np.repeat(np.arange(part.num_rows), np.diff(first))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(grams.view(np.int64)), pa.array(counts * idf.value[cells(grams)].astype(float))], ["node", "gram", "weight"])
+
+    found = grouping.map_arrow(texts.select("node", "text"), weighed, "node binary, gram long, weight double")
+    single = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.max("weight").alias("weight")).where("n = 1")
+    return single.groupBy("node").agg(F.sum("weight").alias("own"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
     def close(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in ta.chunks(batch, "a_text", ta.CHUNK_BYTES // 2):
