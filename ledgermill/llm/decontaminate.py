@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import grouping
 from . import textarrays as ta
@@ -158,22 +159,20 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, text: str = "text", do
     if size > max_broadcast_bytes:
         return _by_join(docs, items, types, least, coverage)
     rows = items.collect()  # no more than max_broadcast_bytes
-    seeds, ids = Seeds([r["item_text"] for r in rows], least), [r["item_id"] for r in rows]
-    shared = docs.sparkSession.sparkContext.broadcast((seeds, ids))
-    id_arrow = pa.array(ids, pa.from_numpy_dtype(np.int64)).type if types[1] in ("bigint", "int") else pa.string()
+    # Tasks name items by their number, so ids may be of any type.
+    names = docs.sparkSession.createDataFrame([(i, r["item_id"]) for i, r in enumerate(rows)], StructType([StructField("item", IntegerType()), StructField("item_id", items.schema["item_id"].dataType)]))
+    shared = docs.sparkSession.sparkContext.broadcast(Seeds([r["item_text"] for r in rows], least))
 
     def tiled(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        own, names = shared.value
+        own = shared.value
         for part in ta.chunks(batch):
             hashes, _, _, first = ta.words(*ta.packed(part.column(1), "utf8"))
-            near = _seeded(own, hashes, first)
-            found = [(row, *x) for row in near for x in coverages(own, hashes[first[row] : first[row + 1]]) if x[2] >= coverage]
-            yield _rows(part.column(0).take(pa.array([x[0] for x in found], pa.int64())), pa.array([names[x[1]] for x in found], id_arrow), [len(own.tokens[x[1]]) for x in found], [x[2:] for x in found])
+            found = [(row, *x) for row in _seeded(own, hashes, first) for x in coverages(own, hashes[first[row] : first[row + 1]]) if x[2] >= coverage]
+            taken = part.column(0).take(pa.array([x[0] for x in found], pa.int64()))
+            yield _rows(taken, pa.array([x[1] for x in found], pa.int32()), [len(own.tokens[x[1]]) for x in found], [x[2:] for x in found])
 
-    if id_arrow == pa.string() and types[1] != "string":
-        raise TypeError("item ids must be integers or strings")
-    item_type = "long" if types[1] in ("bigint", "int") else "string"
-    return grouping.map_arrow(docs, tiled, f"doc_id {types[0]}, item_id {item_type}, {_SCHEMA}").withColumn("item_id", F.col("item_id").cast(types[1]))
+    found = grouping.map_arrow(docs, tiled, f"doc_id {types[0]}, item int, {_SCHEMA}")
+    return found.join(F.broadcast(names), "item").select("doc_id", "item_id", *found.columns[2:])
 
 
 def _seeded(seeds: Seeds, hashes: np.ndarray, first: np.ndarray) -> list[int]:
@@ -198,24 +197,31 @@ def _rows(doc_ids: pa.Array, item_ids: pa.Array, n_tokens: list[int], found: lis
 def _by_join(docs: DataFrame, items: DataFrame, types: tuple[str, str], least: int, coverage: float) -> DataFrame:
     """The same rows for a benchmark too large to broadcast: seeds meet in a shuffled join, then texts do."""
 
-    def seeds_of(batch: pa.RecordBatch, exact: bool) -> Iterator[pa.RecordBatch]:
+    def seeds_of(batch: pa.RecordBatch, lengths: list[int] | None) -> Iterator[pa.RecordBatch]:
         for part in ta.chunks(batch, batch.schema.names[-1]):
             hashes, _, _, first = ta.words(*ta.packed(part.column(part.num_columns - 1), "utf8"))
             row, seed = [], []
             for i in range(part.num_rows):
                 tokens = hashes[first[i] : first[i + 1]]
-                sizes = [min(least, len(tokens))] if exact else range(1, min(least, len(tokens)) + 1)
+                sizes = [min(least, len(tokens))] if lengths is None else [x for x in lengths if x <= len(tokens)]
                 for size in sizes:
                     own = np.unique(window_hashes(tokens, size)) if len(tokens) else np.zeros(0, np.uint64)
                     row.append(np.full(len(own), i))
                     seed.append(own)
-            row, seed = np.concatenate(row), np.concatenate(seed)
+            row, seed = np.concatenate([np.zeros(0, np.int64), *row]), np.concatenate([np.zeros(0, np.uint64), *seed])
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(seed.view(np.int64))], ["row_key", "seed"])
 
     docs = grouping.cut(docs.withColumn("row_key", F.xxhash64("doc_id", "text")))
     items = grouping.cut(items.withColumn("row_key", F.xxhash64("item_id", "item_text")))
-    doc_seeds = grouping.map_arrow(docs.select("row_key", "text"), lambda b: seeds_of(b, False), "row_key long, seed long")
-    item_seeds = grouping.map_arrow(items.select("row_key", "item_text"), lambda b: seeds_of(b, True), "row_key long, seed long")
+
+    def lengths_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in ta.chunks(batch, "item_text"):
+            _, _, _, first = ta.words(*ta.packed(part.column(1), "utf8"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.minimum(np.diff(first), least)).astype(np.int32))], ["size"])
+
+    lengths = sorted(r["size"] for r in grouping.map_arrow(items.select("row_key", "item_text"), lengths_of, "size int").distinct().collect() if r["size"])  # no more than `least`
+    doc_seeds = grouping.map_arrow(docs.select("row_key", "text"), lambda b: seeds_of(b, lengths), "row_key long, seed long")
+    item_seeds = grouping.cut(grouping.map_arrow(items.select("row_key", "item_text"), lambda b: seeds_of(b, None), "row_key long, seed long"))
     pairs = doc_seeds.withColumnRenamed("row_key", "doc_key").join(item_seeds.withColumnRenamed("row_key", "item_key"), "seed").select("doc_key", "item_key").distinct()
     joined = pairs.join(docs.withColumnRenamed("row_key", "doc_key"), "doc_key").join(items.withColumnRenamed("row_key", "item_key"), "item_key")
 

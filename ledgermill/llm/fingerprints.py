@@ -11,13 +11,17 @@ other; a text of fewer than five words has one shingle, all its words. Equal tex
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .textarrays import own_column
+
 BINS, BITS, WORDS = 128, 8, 5
 _BIN_SHIFT = 64 - (BINS - 1).bit_length()
 #: Blocks of neighbouring ids: coarse and fine bounds, FINE of the latter within each of the former.
 COARSE, FINE = 32, 32
+#: Blocks of rows without an id.
+NAMELESS = 256
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
@@ -79,40 +83,51 @@ def fingerprints(docs: DataFrame, text: str = "text", fingerprint: str = "finger
     return docs.withColumn(fingerprint, packed(signature(F.col(text).cast("string"))))
 
 
+def _ordered_number(doc_id: Column, dtype: str) -> Column:
+    """A double that never falls where the id rises: the number itself, or the first six bytes of the id as text."""
+    if dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") or dtype.startswith("decimal"):
+        return doc_id.cast("double")
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(doc_id.cast("string"), "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
 def with_next(docs: DataFrame, doc_id: str, carried: list[str]) -> DataFrame:
     """Each row with next_<c> of the row that follows by descending doc_id, for every carried column c; the last is followed by the first.
 
-    Equal ids follow one another by a hash of their carried columns; null ids come last. Rows are dealt into blocks of neighbouring ids
-    by bounds found on the ids alone, and the first row of each block is sent to the block before it too, so the texts are shuffled once
-    and no block or task holds more than its share.
+    Equal ids follow one another by a hash of their carried columns; null ids come last, by that hash. Rows are dealt into blocks of
+    neighbouring ids by bounds found on the ids alone, those without an id into blocks of neighbouring hashes, and the first row of each
+    block is sent to the block before it too, so the texts are shuffled once and no block or task holds more than its share. Ids may be
+    numbers or of any type that is ordered as its text.
     """
-    order = F.struct(F.col(doc_id).cast("double").isNotNull().alias("has_id"), F.col(doc_id).alias("id"), F.xxhash64(*carried).alias("hash"))
-    ids = docs.select(F.col(doc_id).cast("double").alias("id")).where("id is not null")
+    dtype = dict(docs.dtypes)[doc_id]
+    number, order_, block_, place_ = (own_column(docs, x) for x in ("id_number", "id_order", "id_block", "id_place"))
+    hashed = F.xxhash64(*carried)
+    order = F.struct(F.col(doc_id).isNotNull().alias("has_id"), F.col(doc_id).alias("id"), hashed.alias("hash"))
+    docs = docs.withColumn(number, _ordered_number(F.col(doc_id), dtype))
+    ids = docs.select(F.col(number).alias("id")).where("id is not null")
     cuts = ids.approxQuantile("id", [i / (COARSE * FINE) for i in range(1, COARSE * FINE)], 0.0002)
     cuts = sorted(set(cuts)) if cuts else [0.0]
     groups = [cuts[i : i + FINE] for i in range(0, len(cuts), FINE)]
     heads = F.array(*[F.lit(g[0]) for g in groups])
     fine = F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups])
-    value = F.col(doc_id).cast("double")
+    value = F.col(number)
     coarse = F.size(F.filter(heads, lambda x: x <= value)) - 1
-    block = F.when(value.isNull(), -2).when(coarse < 0, -1).otherwise(coarse * FINE + F.size(F.filter(F.get(fine, coarse), lambda x: x <= value)))
-    dealt = docs.withColumns({"__order": order, "__block": block.cast("int")})
-    tops = {r["__block"]: (r["id"], r["hash"]) for r in dealt.groupBy("__block").agg(F.max("__order").alias("top")).select("__block", "top.id", "top.hash").collect()}
-    names = sorted(tops, reverse=True)  # of blocks, no more than COARSE * FINE + 2
+    nameless = F.floor((hashed.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * F.lit(NAMELESS)) - F.lit(NAMELESS + 2)
+    block = F.when(value.isNull(), nameless).when(coarse < 0, -1).otherwise(coarse * FINE + F.size(F.filter(F.get(fine, coarse), lambda x: x <= value)))
+    dealt = docs.withColumns({order_: order, block_: block.cast("int")})
+    tops = {r[0]: (r[1], r[2]) for r in dealt.groupBy(block_).agg(F.max(order_).alias("top")).select(block_, "top.id", "top.hash").collect()}
+    names = sorted(tops, reverse=True)  # of blocks, no more than COARSE * FINE + NAMELESS + 2
     before = {b: names[i - 1] for i, b in enumerate(names)}  # the first block follows the last
     table = F.create_map(*[F.lit(x) for b in names for x in (b, before[b])]) if names else F.create_map(F.lit(0), F.lit(0))
     top_hash = F.create_map(*[F.lit(x) for b in names for x in (b, tops[b][1])]) if names else F.create_map(F.lit(0), F.lit(0).cast("long"))
     top_ids = [F.lit(x) for b in names for x in (b, tops[b][0]) if tops[b][0] is not None]
-    top_id = F.create_map(*top_ids) if top_ids else F.create_map(F.lit(0), F.lit(None).cast(dict(docs.dtypes)[doc_id]))
-    is_top = F.col("__order.id").eqNullSafe(F.try_element_at(top_id, F.col("__block"))) & (F.col("__order.hash") == F.try_element_at(top_hash, F.col("__block")))
-    own = F.struct(F.col("__block").alias("block"), F.lit(False).alias("guest"))
-    guest = F.struct(F.try_element_at(table, F.col("__block")).alias("block"), F.lit(True).alias("guest"))
-    placed = dealt.withColumn("__place", F.explode(F.when(is_top, F.array(own, guest)).otherwise(F.array(own))))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("__place.block").orderBy(F.col("__place.guest").asc(), F.col("__order").desc())
-    followed = placed.withColumns({f"next_{c}": F.lead(c).over(w) for c in carried}).where("not __place.guest")
-    return followed.drop("__order", "__block", "__place")
+    top_id = F.create_map(*top_ids) if top_ids else F.create_map(F.lit(0), F.lit(None).cast(dtype))
+    is_top = F.col(f"{order_}.id").eqNullSafe(F.try_element_at(top_id, F.col(block_))) & (F.col(f"{order_}.hash") == F.try_element_at(top_hash, F.col(block_)))
+    own = F.struct(F.col(block_).alias("block"), F.lit(False).alias("guest"))
+    guest = F.struct(F.try_element_at(table, F.col(block_)).alias("block"), F.lit(True).alias("guest"))
+    placed = dealt.withColumn(place_, F.explode(F.when(is_top, F.array(own, guest)).otherwise(F.array(own))))
+    w = Window.partitionBy(f"{place_}.block").orderBy(F.col(f"{place_}.guest").asc(), F.col(order_).desc())
+    followed = placed.withColumns({f"next_{c}": F.lead(c).over(w) for c in carried}).where(~F.col(f"{place_}.guest"))
+    return followed.drop(number, order_, block_, place_)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,34 +23,34 @@ LEAST_FILTER_BITS, MOST_FILTER_BITS = 1 << 20, 1 << 27
 HOT_SHARE = 1 / 1024
 
 
-def links(keys: DataFrame, similarity: float, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], weigh: Callable[[DataFrame], DataFrame] | None = None, small: int = SMALL_BLOCK) -> DataFrame:
+def links(keys: DataFrame, similarity: float, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], grams: Callable[[DataFrame], DataFrame] | None = None, small: int = SMALL_BLOCK) -> DataFrame:
     """The groups that nodes which share a block form by verified pairs, each as a star of edges (a: the group's least node, b: another one).
 
-    keys has the columns (node, total, blocks), where total is the node's weight.
-
-    fetch gives the contents of chosen nodes, verify keeps the pairs that are alike by those contents. Two nodes can only be alike if the lesser
-    total is at least `similarity` of the greater. weigh, if given, tells from contents of nodes what of each node's total no other of
-    these nodes has (node, own): what two nodes share is then at most the lesser of total - own, so a node of whose total more than
-    1 - similarity is its own is like none, and need not be compared in large blocks. Both bounds are exact: no alike pair is lost.
-
-    The connected groups of the result are those of all pairs that share a block. Up to `small` nodes that share a block are compared pair
-    by pair. A larger block goes by rounds: leaders are compared with every node of the block that isn't known to be of their group, then
-    leave it, as all their pairs are settled. A pair of one group needs no comparison, so leaders come from outside the block's largest
-    group, the first one being the node with the least of its own, and the block ends when one group is left: a block of near copies of one
-    text at one comparison a node. Each round has more leaders, the last one all that are left. Leaders meet a block in tiles, so no task holds a block.
+    keys has the columns (node, total, blocks), where total is the node's weight. fetch gives the contents of chosen nodes, verify keeps the
+    pairs that are alike by those contents. Two nodes can only be alike if the lesser total is at least `similarity` of the greater.
+
+    The groups are those of all pairs that share a block. Up to `small` nodes that share a block are compared pair by pair. For the nodes of larger
+    blocks, grams, if given, gives the weighted elements of contents (node, gram, weight) by which alike nodes share `similarity` of each one's
+    weight; such nodes share one of their rarest elements (`rarest_blocks`), so these take the blocks' place: no alike pair is lost, and
+    nodes that share only what is common don't meet. In the block of its rarest shared element, a pair shares no more than what either has from
+    that element on (rest); a pair that could not be alike by that is left out there. What is still large goes by rounds: leaders are compared with every node of the block that isn't
+    known to be of their group, then leave it, as all their pairs are settled. A pair of one group needs no comparison, so leaders come from
+    outside the block's largest group, the first one being the node that has most of what is common, and the block ends when one group is
+    left: a block of near copies of one text at one comparison a node. Each round has more leaders, the last one all that are left. Leaders
+    meet a block in tiles, so no task holds a block.
     """
     flat = keys.select(F.explode("blocks").alias("block"), "node", "total")
     several = flat.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
     flat = cut(flat.join(several, "block").groupBy("block", "node").agg(F.first("total").alias("total")))
-    sizes = flat.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
-    flat = cut(flat.join(sizes, "block"))
-    left = flat.where(F.col("size") > small).drop("size").withColumn("own", F.lit(0.0))
-    pairs = cut(_all_pairs(flat.where(F.col("size") <= small), similarity).distinct())
+    flat = cut(_with_sizes(flat)).withColumns({"rest": F.col("total").cast("double"), "centre": F.lit(0.0)})
+    left = flat.where(F.col("size") > small).drop("size")
+    pairs = _all_pairs(flat.where(F.col("size") <= small), similarity)
+    if grams is not None:
+        left = cut(_with_sizes(rarest_blocks(grams(fetch(left.select("node").distinct())), similarity)))
+        pairs = pairs.union(_all_pairs(left.where(F.col("size") <= small), similarity))
+        left = left.where(F.col("size") > small).drop("size")
+    pairs = cut(pairs.distinct())
     contents = cut(fetch(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(left.select("node")).distinct()))
-    if weigh is not None:
-        own = cut(weigh(contents.join(left.select("node").distinct(), "node", "left_semi")))
-        left = left.drop("own").join(own, "node", "left").withColumn("own", F.coalesce(F.col("own").cast("double"), F.lit(0.0)))
-        left = cut(left.where(F.col("own") <= (1 - similarity) * F.col("total") * (1 + 1e-6)))
     left = left.withColumn("root", F.col("node"))
     known, stars, depth = None, None, 0
     while True:
@@ -63,15 +63,14 @@ def links(keys: DataFrame, similarity: float, fetch: Callable[[DataFrame], DataF
         if many:
             tiles = F.ceil(F.col("size") / TILE)
             others = left.where("root != top.root").withColumn("order", F.xxhash64("node", F.lit(depth)))
-            lead = F.struct(F.col("node").alias("leader"), F.col("root").alias("lead_root"), F.col("total").alias("lead_total"), F.col("own").alias("lead_own"), tiles.alias("tiles"))
+            lead = F.struct(F.col("node").alias("leader"), F.col("root").alias("lead_root"), F.col("total").alias("lead_total"), F.col("rest").alias("lead_rest"), tiles.alias("tiles"))
             draw = F.pmod("order", F.lit(1 << 40)) / F.lit(float(1 << 40))
             all_lead = (F.col("size") <= small) | (draw < F.lit(float(MORE_LEADERS**depth)) / (F.col("size") - F.col("top.n")))
-            one = others.groupBy("block").agg(F.min_by(lead, F.struct(F.col("own") / F.col("total"), "order")).alias("lead"))
+            one = others.groupBy("block").agg(F.max_by(lead, F.struct("centre", "order")).alias("lead"))
             leaders = cut(one.union(others.where(all_lead).select("block", lead.alias("lead"))).distinct().select("block", "lead.*"))
             members = left.withColumn("tile", F.pmod(F.xxhash64("node"), tiles))
             met = members.join(leaders.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))), ["block", "tile"])
-            met = met.where("root != lead_root").where(_may_be_alike("total", "own", "lead_total", "lead_own", similarity))
-            met = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+            met = met.where("root != lead_root").where(_near("total", "rest", "lead_total", "lead_rest", similarity)).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
             pairs = met if stars is not None else pairs.union(met)
         pairs = pairs.distinct()
         if known is not None:
@@ -83,22 +82,54 @@ def links(keys: DataFrame, similarity: float, fetch: Callable[[DataFrame], DataF
         known = pairs if known is None else known.union(pairs)
         if not many:
             return stars
-        rest = left.select("block", "node", "total", "own").join(leaders.select("block", F.col("leader").alias("node")), ["block", "node"], "left_anti")
+        rest = left.select("block", "node", "total", "rest", "centre").join(leaders.select("block", F.col("leader").alias("node")), ["block", "node"], "left_anti")
         left = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         depth += 1
 
 
-def _may_be_alike(total: str, own: str, other_total: str, other_own: str, similarity: float) -> Column:
-    """Whether what two nodes can share at most is enough: shared / (all of both - shared)."""
-    shared = F.least(F.col(total) - F.col(own), F.col(other_total) - F.col(other_own))
+def _with_sizes(flat: DataFrame) -> DataFrame:
+    """The rows of blocks of more than one node, with the block's size."""
+    return flat.join(flat.groupBy("block").agg(F.count("*").alias("size")).where("size > 1"), "block")
+
+
+def _near(total: str, rest: str, other_total: str, other_rest: str, similarity: float) -> Column:
+    """Whether two nodes can be alike by what they share at most: it is `similarity` of all that both have."""
+    shared = F.least(rest, other_rest)
     return shared * (1 + 1e-6) >= similarity * (F.col(total) + F.col(other_total) - shared)
 
 
+def rarest_blocks(grams: DataFrame, similarity: float) -> DataFrame:
+    """(node, block, total, rest, centre): each node's rarest elements, as many as leave less than `similarity` of its weight.
+
+    total is the node's weight, rest its weight from that element on, and centre its elements' mean frequency.
+
+    Elements are ordered by how many of these nodes have them, then by themselves. If two nodes share at least `similarity` of each one's
+    weight, their rarest shared element is among those of both: what comes after it is too little to be all that they share.
+    """
+    grams = cut(grams)
+    counts = grams.groupBy("gram").agg(F.count("*").alias("df")).withColumn("n", F.col("df"))
+    ranked = join_few(grams, counts, "gram", "n", grams.count()).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "weight"))).alias("grams"), F.avg("df").alias("centre"))
+
+    def rarest(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lists = batch.column(1)
+        flat, n = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(n)), n)
+        weight = flat.field(2).to_numpy(zero_copy_only=False).astype(float)
+        sums = np.concatenate([[0.0], np.cumsum(weight)])
+        ends = sums[np.cumsum(n)]
+        rest, total = ends[row] - sums[:-1], ends - sums[np.cumsum(n) - n]
+        at = np.flatnonzero(rest * (1 + 1e-6) >= similarity * total[row])
+        own = pa.array(row[at])
+        columns = [batch.column(0).take(own), flat.field(1).take(pa.array(at)), pa.array(total[row[at]]), pa.array(rest[at]), batch.column(2).take(own)]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "block", "total", "rest", "centre"])
+
+    return map_arrow(ranked, rarest, f"node {dict(grams.dtypes)['node']}, block long, total double, rest double, centre double")
+
+
 def _all_pairs(blocks: DataFrame, similarity: float) -> DataFrame:
     """The pairs of each block whose totals let them be alike; only for blocks of bounded size."""
-    side = lambda x: blocks.select("block", F.col("node").alias(x), F.col("total").alias(f"{x}_total"))
-    close = F.least("a_total", "b_total") * (1 + 1e-6) >= similarity * F.greatest("a_total", "b_total")
-    return side("a").join(side("b"), "block").where("a < b").where(close).select("a", "b")
+    side = lambda x: blocks.select("block", F.col("node").alias(x), F.col("total").alias(f"{x}_total"), F.col("rest").alias(f"{x}_rest"))
+    return side("a").join(side("b"), "block").where("a < b").where(_near("a_total", "a_rest", "b_total", "b_rest", similarity)).select("a", "b")
 
 
 def join_few(rows: DataFrame, few: DataFrame, key: str, n: str, total: int) -> DataFrame:

@@ -5,7 +5,8 @@ matrix has `buckets` rows and one column a language, so its size is fixed whatev
 narrow map: each chunk's n-grams are looked up as sparse rows of the matrix and summed by document.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; so is every row if nothing could be learned. Rows with a
-null language or text are not learned from. Ties go to the language that sorts first. Other columns are left as they are.
+null language or text are not learned from. Ties go to the language that sorts first. Other columns are left as they are;
+those of the results' names are replaced.
 """
 
 from __future__ import annotations
@@ -88,9 +89,10 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", buckets: int =
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All columns of docs, with the predicted language and its posterior probability."""
+    """All columns of docs, with the predicted language and its posterior probability; columns of these names are replaced."""
     shared = spark.sparkContext.broadcast(model)
     own = ta.own_column(docs, "text_to_score")
+    docs = docs.withColumn(own, F.col(text).cast("string")).drop(pred, score)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -109,8 +111,8 @@ def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel, text: st
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(names[best].tolist(), pa.string()), pa.array(top)], [*batch.schema.names[:-1], pred, score])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{pred}` string", f"`{score}` double"])
-    return docs.withColumn(own, F.col(text).cast("string")).mapInArrow(scored, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != own), f"`{pred}` string", f"`{score}` double"])
+    return docs.mapInArrow(scored, schema)
 
 
 def crc_remainder(doc_id: str, n: int):

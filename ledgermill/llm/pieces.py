@@ -196,8 +196,12 @@ def decode_ids(ids: np.ndarray, counts: np.ndarray, table: PieceTable) -> list[s
 
 
 def encode(docs: DataFrame, table: PieceTable, text: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:
-    """All columns of docs with the ids of their text; check names a column for whether decoding them gives the text again."""
+    """All columns of docs with the ids of their text; check names a column for whether decoding them gives the text again.
+
+    Columns of these names are replaced.
+    """
     shared, own = docs.sparkSession.sparkContext.broadcast(table), ta.own_column(docs, "text_to_encode")
+    docs = docs.withColumn(own, F.col(text).cast("string")).drop(ids, *([check] if check else []))
 
     def encoded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in ta.chunks(batch, own, CHUNK_BYTES):
@@ -210,12 +214,13 @@ def encode(docs: DataFrame, table: PieceTable, text: str = "text", ids: str = "i
                 columns, names = [*columns, pa.array([a == (b or "") for a, b in zip(again, texts)])], [*names, check]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{ids}` array<int>", *([f"`{check}` boolean"] if check else [])])
-    return grouping.map_arrow(docs.withColumn(own, F.col(text).cast("string")), encoded, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != own), f"`{ids}` array<int>", *([f"`{check}` boolean"] if check else [])])
+    return grouping.map_arrow(docs, encoded, schema)
 
 
 def decode(frame: DataFrame, table: PieceTable, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """All columns of the frame with the text of their ids; null ids have a null text."""
+    """All columns of the frame with the text of their ids; null ids have a null text. A column of the text's name is replaced."""
+    frame = frame if text == ids else frame.drop(text)
     shared, at = frame.sparkSession.sparkContext.broadcast(table), frame.columns.index(ids)
 
     def decoded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

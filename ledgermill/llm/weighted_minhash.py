@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     signed_rows = grouping.cut(grouping.map_arrow(rows, signed, f"doc_id {id_type}, node binary, total float, blocks array<bigint>"))
     nodes = grouping.cut(signed_rows.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.first("total").alias("total"), F.first("blocks").alias("blocks")))
     fetch = lambda chosen: texts_of(rows.select("text"), chosen)
-    pairs = grouping.links(nodes.select("node", "total", "blocks"), similarity, fetch, lambda pairs, texts: verified(pairs, texts, idf, similarity), lambda texts: own_weights(texts, idf))
+    pairs = grouping.links(nodes.select("node", "total", "blocks"), similarity, fetch, lambda pairs, texts: verified(pairs, texts, idf, similarity), lambda texts: weighted_grams(texts, idf))
     roots = grouping.connected(pairs)
     sums = nodes.select("node", "n", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = sums.groupBy("root").agg(F.sum("n").alias("class_size"), F.min("least").alias("class_id"))
@@ -166,18 +166,16 @@ def texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
 
-def own_weights(texts: DataFrame, idf) -> DataFrame:
-    """(node, own): the weight of each node's shingles that no other of these nodes has; nodes without any are left out."""
+def weighted_grams(texts: DataFrame, idf) -> DataFrame:
+    """(node, gram, weight): each node's distinct shingles."""
 
     def weighed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in ta.chunks(batch):
             _, _, grams, counts, first = grams_of(part.column(1))
             row = np.repeat(np.arange(part.num_rows), np.diff(first))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(grams.view(np.int64)), pa.array(counts * idf.value[cells(grams)].astype(float))], ["node", "gram", "weight"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(grams.view(np.int64)), pa.array((counts * idf.value[cells(grams)]).astype(np.float32))], ["node", "gram", "weight"])
 
-    found = grouping.map_arrow(texts.select("node", "text"), weighed, "node binary, gram long, weight double")
-    single = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.max("weight").alias("weight")).where("n = 1")
-    return single.groupBy("node").agg(F.sum("weight").alias("own"))
+    return grouping.map_arrow(texts.select("node", "text"), weighed, "node binary, gram long, weight float")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
