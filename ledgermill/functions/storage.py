@@ -11,9 +11,12 @@ _SCRATCH = "spark.ledgermill.scratch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a temporary one if all tasks run on this machine, as in tests; else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_SCRATCH, None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set(_SCRATCH, folder)
     return folder

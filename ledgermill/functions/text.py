@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Rewrites of a merchant's name, applied in order to its upper-case form.
+#: Our rewrites of a merchant's name, applied in order to its upper-case form.
 MERCHANT_REWRITES = (
     (r"^(PAYPAL|SQ|SUMUP|ZETTLE|STRIPE)\s*\*\s*", ""),
     (r"\b(CARD|PAS|TERM|TRANSACTION|REF)[ :#]*[0-9A-Z]{4,}\b", " "),
@@ -33,7 +33,14 @@ KEYWORD_CONFIDENCE = 0.82
 #: Date patterns, tried in order on the first ten characters.
 DATE_PATTERNS = ("yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "yyyyMMdd", "ddMMyyyy", "yyyy/M/d", "d.M.yyyy")
 #: Lengths of account numbers by country.
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28, "IE": 22, "IT": 27, "LT": 20, "LU": 20, "LV": 21, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24, "SI": 19, "SK": 24}
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24,
+    "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+#: Words of a flag column that make an amount an outflow.
+DEBIT_WORDS = ("af", "debit", "d", "uit", "withdrawal")
 
 
 def clean(x: Column) -> Column:
@@ -84,7 +91,7 @@ def parse_amount(text: Column, flag: Column | None = None) -> Column:
     value = number.try_cast("decimal(18,2)")
     value = F.when(negative, -value).otherwise(value)
     if flag is not None:
-        debit = F.lower(F.trim(F.coalesce(flag, F.lit("")))).isin("af", "debit", "d")
+        debit = F.lower(F.trim(F.coalesce(flag, F.lit("")))).isin(*DEBIT_WORDS)
         value = F.when(debit, -F.abs(value)).otherwise(value)
     return value.cast("decimal(18,2)")
 
@@ -103,14 +110,21 @@ def month_day(text: Column, year: Column, last_month: Column | None = None) -> C
     return F.try_to_date(F.format_string("%d-%d-%d", own.cast("int"), m, d), "yyyy-M-d")
 
 
+def iban_pattern() -> str:
+    """Account numbers of exactly the length of their country, with single spaces or hyphens anywhere in them."""
+    by_length: dict[int, list[str]] = {}
+    for country, n in IBAN_LENGTHS.items():
+        by_length.setdefault(n, []).append(country)
+    forms = "|".join(f"(?:{'|'.join(countries)})[ -]?[0-9][ -]?[0-9](?:[ -]?[A-Z0-9]){{{n - 4}}}" for n, countries in sorted(by_length.items()))
+    return rf"(?<![A-Z0-9])(?:{forms})(?![A-Z0-9])"
+
+
 def extract_ibans(text: Column, own: Column | None = None) -> Column:
-    """Account numbers of the right length for their country, in order, each once, without one's own."""
-    squeezed = F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), r"(?<=[A-Z0-9]) (?=[0-9]{4})", "")
-    found = F.regexp_extract_all(squeezed, F.lit(r"\b([A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})\b"), F.lit(1))
-    lengths = F.create_map(*[F.lit(x) for kv in IBAN_LENGTHS.items() for x in kv])
-    whole = F.filter(found, lambda x: F.length(x) == F.coalesce(F.try_element_at(lengths, F.substring(x, 1, 2)), F.lit(-1)))
-    out = F.array_distinct(whole)
-    return out if own is None else F.filter(out, lambda x: x != own)
+    """Account numbers of the right length for their country, in order, each once, without separators and one's own."""
+    found = F.regexp_extract_all(F.upper(F.coalesce(text, F.lit(""))), F.lit(iban_pattern()), F.lit(0))
+    squeeze = lambda x: F.regexp_replace(x, "[ -]", "")
+    out = F.array_distinct(F.transform(found, squeeze))
+    return out if own is None else F.filter(out, lambda x: x != squeeze(F.upper(F.coalesce(own, F.lit("")))))
 
 
 def fingerprint(*parts: Column) -> Column:

@@ -204,9 +204,11 @@ def event_months(ledger: DataFrame, specs: DataFrame, top: int = 3) -> DataFrame
     return met.withColumn("rank", rank).where(F.col("rank") <= top).select("event", "month", "category", "outflow", "rank")
 
 
-def amortization_suggestions(ledger: DataFrame, excluded: tuple[str, ...] = (), minimum: float = 1500.0, months: int = 12, recurring: int = 3) -> DataFrame:
-    """Large single outflows that may be spread over a year; not of merchants seen in three other months or more."""
-    rows = active(ledger).where((F.col("economic_class") == "household_spend") & (F.col("amount") <= -minimum) & ~F.col("category").isin(*excluded))
+def amortization_suggestions(ledger: DataFrame, excluded: tuple[str, ...] = (), minimum: float = 1500.0, months: int = 12, recurring: int = 3, rules: DataFrame | None = None) -> DataFrame:
+    """Large single outflows that may be spread over a year; not of merchants seen in three other months or more, nor rows that have a rule."""
+    rows = active(ledger).where((F.col("economic_class") == "household_spend") & (F.col("amount") <= -minimum) & ~F.coalesce(F.col("category").isin(*excluded), F.lit(False)))
+    if rules is not None:
+        rows = rows.join(rules.select(F.col("transaction_id").alias("id")).distinct(), "id", "left_anti")
     seen = burn(ledger).groupBy("merchant").agg(F.countDistinct(month()).alias("n_months"))
     met = rows.join(seen, "merchant", "left").where(F.coalesce("n_months", F.lit(1)) - 1 < recurring)
     start = F.date_format("txn_date", "yyyy-MM")

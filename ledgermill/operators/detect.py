@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 MONEY = "decimal(18,2)"
 
 
-def upper_median(x: Column) -> Column:
-    """Element n // 2 (from 0) of the ascending values."""
-    values = F.sort_array(F.collect_list(x))
-    return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+def upper_medians(rows: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
+    """Element n // 2 (from 0) of each group's ascending values.
+
+    Values are counted first, so equal ones are one row before any shuffle, and the element is picked from those counts: a group of many rows
+    is never one array of them.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("all_n"))
+    w = Window.partitionBy(*by).orderBy(value)
+    run = counts.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(totals, by)
+    at = F.floor(F.col("all_n") / 2)
+    return run.where((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)).select(*by, F.col(value).cast(MONEY).alias(name))
 
 
 def salary_groups(ledger: DataFrame, by: list[str], least_months: int = 2) -> DataFrame:
     """Inflows by source: months, upper median of the amounts."""
     rows = ledger.where("amount > 0")
-    groups = rows.groupBy(*by).agg(F.countDistinct(F.date_format("txn_date", "yyyy-MM")).alias("n_months"), F.count("*").alias("n"), upper_median(F.col("amount")).cast(MONEY).alias("median"))
-    return groups.where(F.col("n_months") >= least_months)
+    groups = rows.groupBy(*by).agg(F.countDistinct(F.date_format("txn_date", "yyyy-MM")).alias("n_months"), F.count("*").alias("n")).where(F.col("n_months") >= least_months)
+    return groups.join(upper_medians(rows, by, "amount"), by)
 
 
 def salaries(ledger: DataFrame, by: list[str], minimum: float = 1500.0, least: float = 250.0, share: float = 0.12) -> DataFrame:
@@ -83,7 +91,7 @@ def expected_calendar(income: DataFrame, by: list[str], closing_day: int = 28, l
     months = income.where("amount > 0").groupBy(*by, F.trunc("txn_date", "month").alias("month")).agg(F.sum("amount").cast(MONEY).alias("observed"))
     latest = income.agg(F.max("txn_date").alias("latest"))
     last = F.when(F.dayofmonth("latest") >= closing_day, F.trunc("latest", "month")).otherwise(F.add_months(F.trunc("latest", "month"), -1))
-    groups = months.groupBy(*by).agg(F.min("month").alias("first"), F.count("*").alias("n"), upper_median(F.col("observed")).cast(MONEY).alias("expected")).where("n >= 2")
+    groups = months.groupBy(*by).agg(F.min("month").alias("first"), F.count("*").alias("n")).where("n >= 2").join(upper_medians(months, by, "observed", "expected"), by)
     spine = groups.crossJoin(F.broadcast(latest.select(last.alias("last")))).where("first <= last").select(*by, "expected", F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("month"))
     met = spine.join(months, [*by, "month"], "left").withColumn("observed", F.coalesce("observed", F.lit(0)).cast(MONEY))
     tolerance = F.greatest(F.lit(least).cast(MONEY), (F.col("expected") * F.lit(share).cast("decimal(6,4)")).cast(MONEY)).cast(MONEY)

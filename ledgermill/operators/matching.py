@@ -19,34 +19,18 @@ def cents(amount: str = "amount") -> Column:
     return F.round(F.abs(F.col(amount)) * 100).cast("long")
 
 
-def transfer_candidates(ledger: DataFrame, days: int = 3) -> DataFrame:
+def transfer_candidates(ledger: DataFrame, days: int = 3, carried: str | None = None) -> DataFrame:
     """(left_id, right_id, days, amount): equal amounts of opposite sign on two accounts within so many days.
 
-    Each left row looks up the days around its own, so the join is on (cents, day) alone; the sides are inflows and outflows.
+    Each left row looks up the days around its own, so the join is on (cents, day) alone; the sides are inflows and outflows. A carried
+    column is given as a for the inflow and b for the outflow.
     """
-    rows = ledger.where("amount is not null and txn_date is not null").select("id", "account_id", "txn_date", "amount", cents().alias("cents"))
+    more = [carried] if carried else []
+    rows = ledger.where("amount is not null and txn_date is not null").select("id", "account_id", "txn_date", "amount", *more, cents().alias("cents"))
     left = rows.where("amount > 0").withColumn("day", F.explode(F.sequence(F.date_sub("txn_date", days), F.date_add("txn_date", days))))
-    right = rows.where("amount < 0").select(F.col("id").alias("r_id"), F.col("account_id").alias("r_account"), F.col("txn_date").alias("day"), "cents")
+    right = rows.where("amount < 0").select(F.col("id").alias("r_id"), F.col("account_id").alias("r_account"), F.col("txn_date").alias("day"), *[F.col(c).alias("b") for c in more], "cents")
     met = left.join(right, ["cents", "day"]).where("account_id <> r_account")
-    return met.select(F.least("id", "r_id").alias("left_id"), F.greatest("id", "r_id").alias("right_id"), F.abs(F.datediff("txn_date", "day")).alias("days"), F.col("amount").cast(MONEY).alias("amount"))
-
-
-def greedy_pairs(edges: DataFrame, a: str, b: str, rank: list[str]) -> DataFrame:
-    """The edges that one-by-one choice in order of `rank` (ascending, a total order with the ends) takes, each end once."""
-    ends = [*rank, a, b]
-    left = cut(edges)
-    taken: list[DataFrame] = []
-    order = F.struct(*ends)
-    while not left.isEmpty():
-        best_a = left.groupBy(a).agg(F.min(order).alias("best_a"))
-        best_b = left.groupBy(b).agg(F.min(order).alias("best_b"))
-        chosen = cut(left.join(best_a, a).where(order == F.col("best_a")).join(best_b, b).where(order == F.col("best_b")).select(*edges.columns))
-        taken.append(chosen)
-        left = cut(left.join(chosen.select(a), a, "left_anti").join(chosen.select(b), b, "left_anti"))
-    out = edges.limit(0) if not taken else taken[0]
-    for x in taken[1:]:
-        out = out.union(x)
-    return out
+    return met.select(F.least("id", "r_id").alias("left_id"), F.greatest("id", "r_id").alias("right_id"), F.abs(F.datediff("txn_date", "day")).alias("days"), F.col("amount").cast(MONEY).alias("amount"), *[F.col(c).alias("a") for c in more], *["b" for _ in more])
 
 
 def one_sided_pairs(edges: DataFrame, chooser: str, chosen: str, preference: list[str], order: list[str]) -> DataFrame:
@@ -71,22 +55,22 @@ def one_sided_pairs(edges: DataFrame, chooser: str, chosen: str, preference: lis
 
 
 def transfer_pairs(ledger: DataFrame, days: int = 3) -> DataFrame:
-    """Transfers one to one: the closest day first, then the largest amount, then the least ids."""
+    """Transfers one to one: the closest day first, then the largest amount, then the least ids. No transaction stands in two pairs."""
     edges = transfer_candidates(ledger, days).withColumn("falling", -F.col("amount"))
-    # Both ends share the cents, so ends of different sign never compete across amounts.
-    return greedy_pairs(edges, "left_id", "right_id", ["days", "falling"]).drop("falling") if days >= 0 else edges.limit(0)
+    return both_ends_pairs(edges, ["days", "falling"]).drop("falling")
 
 
 def both_ends_pairs(edges: DataFrame, rank: list[str]) -> DataFrame:
-    """As greedy_pairs for edges whose ends are of one kind: an id may stand on either side."""
+    """The edges that one-by-one choice in order of `rank` (ascending, a total order with the ends) takes; an id may stand on either side, and is used once."""
     left = cut(edges)
     order = F.struct(*rank, "left_id", "right_id")
     taken: list[DataFrame] = []
     while not left.isEmpty():
         ends = left.select(F.explode(F.array("left_id", "right_id")).alias("end"), order.alias("order"))
         best = ends.groupBy("end").agg(F.min("order").alias("best"))
-        both = left.join(best.select(F.col("end").alias("left_id"), F.col("best").alias("b1")), "left_id").join(best.select(F.col("end").alias("right_id"), F.col("best").alias("b2")), "right_id")
-        chosen = cut(both.where((order == F.col("b1")) & (order == F.col("b2"))).select(*edges.columns))
+        # An edge that is best for both of its ends stands there twice.
+        twice = best.groupBy("best").agg(F.count("*").alias("n")).where("n = 2").select("best.*")
+        chosen = cut(left.join(twice, [*rank, "left_id", "right_id"]).select(*edges.columns))
         taken.append(chosen)
         gone = chosen.select(F.explode(F.array("left_id", "right_id")).alias("end"))
         left = cut(left.join(gone.withColumnRenamed("end", "left_id"), "left_id", "left_anti").join(gone.withColumnRenamed("end", "right_id"), "right_id", "left_anti"))

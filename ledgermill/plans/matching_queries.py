@@ -34,7 +34,7 @@ query(
     + """ SELECT least(a.id, b.id) AS left_id, greatest(a.id, b.id) AS right_id, abs(date_diff('day', a.txn_date, b.txn_date)) AS days, CAST(a.amount AS DOUBLE) AS amount
 FROM e a JOIN e b ON a.cents = b.cents AND a.amount > 0 AND b.amount < 0 AND a.account_id <> b.account_id AND abs(date_diff('day', a.txn_date, b.txn_date)) <= 3""",
 )(matching.transfer_candidates)
-query("transfer_pairs", ledger_events)(lambda l: matching.both_ends_pairs(matching.transfer_candidates(l).withColumn("falling", -F.col("amount")), ["days", "falling"]).drop("falling"))
+query("transfer_pairs", ledger_events)(matching.transfer_pairs)
 _bank = lambda l: l.where("category = 'purchase'")
 _card = lambda l: l.where("category = 'signup'")
 query(

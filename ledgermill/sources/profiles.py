@@ -1,7 +1,7 @@
 """Bank, card and broker exports as one canonical schema: a profile is a mapping of columns, chosen by the file's header or name.
 
-Files are read by Spark (delimited text, or whole texts for statements); only a file's first lines come to the driver, to choose its delimiter
-and profile. Rows a profile skips are filtered; amounts and dates that can't be read are null and end up in `bad_rows`.
+Files are read by Spark (whole files as rows, see `ingest`, or one delimited file at a time); only headers come to the driver, to choose a
+profile. Rows a profile skips are filtered; amounts and dates that can't be read are null, and `ingest` fails the file that has them.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 
-CANONICAL = ("institution", "account", "txn_date", "booking_date", "amount", "currency", "counterparty_name", "counterparty_account", "description", "reference", "opening_balance", "closing_balance", "resulting_balance")
+CANONICAL = ("institution", "account", "txn_date", "booking_date", "amount", "currency", "counterparty_name", "counterparty_account", "description", "reference", "opening_balance", "closing_balance", "resulting_balance", "native_amount", "native_currency", "source_amount", "source_currency", "target_amount", "target_currency", "exchange_rate")
 #: The columns of a headerless tab file.
 TAB_HEADER = ("account_number", "currency", "transaction_date", "opening_balance", "closing_balance", "booking_date", "amount", "description")
 
@@ -96,7 +96,7 @@ def _wallet(columns: list[str]) -> dict[str, Column]:
     x = _fields(
         columns,
         id=("id",), direction=("direction",), day=("finished_on", "created_on"), source=("source_amount_after_fees",), source_currency=("source_currency",), fee=("source_fee_amount",), fee_currency=("source_fee_currency",),
-        target=("target_amount_after_fees",), target_currency=("target_currency",), source_name=("source_name",), target_name=("target_name",), reference=("reference",), note=("note",),
+        target=("target_amount_after_fees",), target_currency=("target_currency",), rate=("exchange_rate",), source_name=("source_name",), target_name=("target_name",), reference=("reference",), note=("note",),
     )
     out = F.upper(x["direction"]) == "OUT"
     fee = F.when(x["fee_currency"] == x["source_currency"], F.coalesce(t.parse_amount(x["fee"]), F.lit(0))).otherwise(0)
@@ -104,6 +104,8 @@ def _wallet(columns: list[str]) -> dict[str, Column]:
     return {
         "account": F.lit("wallet"), "txn_date": t.parse_date(x["day"]), "amount": amount.cast("decimal(18,2)"), "currency": F.when(out, x["source_currency"]).otherwise(x["target_currency"]),
         "counterparty_name": F.when(out, x["target_name"]).otherwise(x["source_name"]), "description": F.concat_ws(" ", x["note"], x["reference"]), "reference": x["id"],
+        "native_amount": amount, "native_currency": F.when(out, x["source_currency"]).otherwise(x["target_currency"]), "source_amount": t.parse_amount(x["source"]), "source_currency": x["source_currency"],
+        "target_amount": t.parse_amount(x["target"]), "target_currency": x["target_currency"], "exchange_rate": x["rate"].try_cast("double"),
     }
 
 
@@ -149,14 +151,14 @@ def detect_profile(columns: list[str], requested: str | None = None) -> Profile:
 
 
 def canonical(rows: DataFrame, profile: Profile) -> DataFrame:
-    """The canonical columns of raw text columns (normalised names), with the raw row kept as a map."""
-    columns = [c for c in rows.columns if not c.startswith("__")]
+    """The canonical columns of raw text columns (normalised names), with the raw row kept as a map; columns named __x are carried."""
+    carried, columns = [c for c in rows.columns if c.startswith("__")], [c for c in rows.columns if not c.startswith("__")]
     if profile.keep is not None:
         rows = rows.where(profile.keep(columns))
     made = {"institution": F.lit(profile.name), **profile.make(columns)}
-    typed = {c: made.get(c, F.lit(None)).cast("date" if c.endswith("_date") else "decimal(18,2)" if c == "amount" or c.endswith("balance") else "string") for c in CANONICAL}
+    typed = {c: made.get(c, F.lit(None)).cast("date" if c.endswith("_date") else "decimal(18,2)" if c.endswith(("amount", "balance")) else "double" if c == "exchange_rate" else "string") for c in CANONICAL}
     raw = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(f"`{c}`"))]).alias("raw")
-    return rows.select(*[v.alias(k) for k, v in typed.items()], raw)
+    return rows.select(*carried, *[v.alias(k) for k, v in typed.items()], raw)
 
 
 def read_export(spark: SparkSession, path: str, requested: str | None = None) -> DataFrame:
@@ -203,7 +205,7 @@ def import_files(spark: SparkSession, folder: str, imported: DataFrame | None =
     name = F.element_at(F.split("path", "/"), -1)
     files = files.where(~F.startswith(name, F.lit(".")))
     if imported is not None:
-        files = files.join(imported.where("status = 'imported'").select("file_hash", F.lit(True).alias("__known")), "file_hash", "left")
+        files = files.join(imported.where("status = 'imported'").select("file_hash", F.lit(True).alias("__known")).distinct(), "file_hash", "left")
     else:
         files = files.withColumn("__known", F.lit(None).cast("boolean"))
     rank = F.row_number().over(Window.partitionBy("file_hash").orderBy("path"))
