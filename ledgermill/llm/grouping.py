@@ -16,9 +16,11 @@ SMALL_BLOCK = 12
 #: Members of a large block that meet its leaders in one task.
 TILE = 1024
 #: How many times as many leaders each next round has.
-MORE_LEADERS = 16
+MORE_LEADERS = 64
 #: Bits of the filter that is broadcast before texts of chosen nodes are fetched: some 16 a node, up to 16 MB.
 LEAST_FILTER_BITS, MOST_FILTER_BITS = 1 << 20, 1 << 27
+#: Up to so many rows a key that has them all is no load for a task.
+FEW_ROWS = 100_000
 #: A key that has more than this share of all rows of a join is hot; there can be no more hot keys than its inverse.
 HOT_SHARE = 1 / 1024
 
@@ -137,6 +139,8 @@ def join_few(rows: DataFrame, few: DataFrame, key: str, n: str, total: int) -> D
 
     Keys with more than HOT_SHARE of the rows, which can't be many, are broadcast, so that their rows stay where they are.
     """
+    if total <= FEW_ROWS:
+        return rows.join(few.drop(n), key)
     hot = F.col(n) > max(1000, int(total * HOT_SHARE))
     hubs = F.broadcast(few.where(hot).drop(n))
     return rows.join(hubs, key).unionByName(rows.join(F.broadcast(few.where(hot).select(key)), key, "left_anti").join(few.where(~hot).drop(n), key))
@@ -161,8 +165,10 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def _stars(edges: DataFrame) -> bool:
-    several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
-    return several.isEmpty() and edges.select("v").distinct().join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+    """Whether each node is either once an outer end, or only a centre."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("outer"), F.lit(0).alias("centre")).union(edges.select("v", F.lit(0), F.lit(1)))
+    roles = ends.groupBy("node").agg(F.sum("outer").alias("outer"), F.max("centre").alias("centre"))
+    return roles.where("outer > 1 or outer > 0 and centre > 0").isEmpty()
 
 
 def node_filter(nodes: DataFrame) -> np.ndarray:
