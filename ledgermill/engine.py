@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import analytics, detect, periods, snapshots
+from .operators import analytics, calendar, cascade, detect, periods, snapshots
 
 
 @dataclass
@@ -77,3 +77,19 @@ class Ledger:
 
     def amortization_suggestions(self, excluded: tuple[str, ...] = ()) -> DataFrame:
         return analytics.amortization_suggestions(self.transactions, excluded)
+
+    def classify(self, hints: DataFrame | None = None, trips: DataFrame | None = None) -> DataFrame:
+        """Every transaction through the cascade; the ledger must have the columns that `cascade` names."""
+        return cascade.classify_all(self.transactions, self.rules, hints, trips)
+
+    def review_queue(self, annotations: DataFrame) -> DataFrame:
+        return cascade.review_items(cascade.with_texts(self.transactions), annotations)
+
+    def rules_from(self, decisions: DataFrame) -> DataFrame:
+        return cascade.rules_from_reviews(cascade.with_texts(self.transactions), decisions)
+
+    def income_calendar(self, income: DataFrame) -> DataFrame:
+        """Expected salaries, bonuses and stock proceeds with what came."""
+        ledger = self.transactions.where("not is_duplicate")
+        events = calendar.expected_salaries(income, ledger).unionByName(calendar.expected_bonuses(income, ledger)).unionByName(calendar.expected_stock(income, ledger))
+        return calendar.observed(events, income)

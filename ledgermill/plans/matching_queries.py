@@ -1,4 +1,4 @@
-"""Queries that pair rows, over events and orders: candidates and one-sided choices with SQL; one-to-one choices without."""
+"""Queries that pair rows, over events and orders. The SQL of one-to-one choices goes through the edges one by one, by recursion."""
 
 from __future__ import annotations
 
@@ -19,32 +19,32 @@ def query(name: str, ledger: Callable, sql: str | None = None):
     def add(make: Callable[[DataFrame], DataFrame]) -> Callable:
         QUERIES[name] = lambda spark, sf_dir: plain(make(ledger(spark, sf_dir)))
         if sql is not None:
-            ORACLE_SQL[name] = f"WITH {(LEDGER_EVENTS_SQL if ledger is ledger_events else LEDGER_ORDERS_SQL).strip()}{sql}"
+            ORACLE_SQL[name] = f"WITH RECURSIVE {(LEDGER_EVENTS_SQL if ledger is ledger_events else LEDGER_ORDERS_SQL).strip()}{sql}"
         return make
 
     return add
 
 
+def one_by_one(edges: str, order: str, a: str, b: str, columns: str) -> str:
+    """SQL that takes edges in order, each if neither of its ends was taken."""
+    used = f"(list_contains(used, {a}) OR list_contains(used, {b}))"
+    return f""", c AS ({edges}), k AS (SELECT *, row_number() OVER (ORDER BY {order}, {a}, {b}) AS n FROM c),
+g(n, used, taken) AS (SELECT 0::BIGINT, []::BIGINT[], false UNION ALL SELECT k.n, CASE WHEN {used} THEN used ELSE list_concat(used, [{a}, {b}]) END, NOT {used} FROM g JOIN k ON k.n = g.n + 1)
+SELECT {columns} FROM k JOIN g USING (n) WHERE taken"""
+
+
 _E = """,
 e AS (SELECT *, CAST(abs(amount) * 100 AS BIGINT) AS cents FROM ledger)"""
-query(
-    "transfer_candidates",
-    ledger_events,
-    _E
-    + """ SELECT least(a.id, b.id) AS left_id, greatest(a.id, b.id) AS right_id, abs(date_diff('day', a.txn_date, b.txn_date)) AS days, CAST(a.amount AS DOUBLE) AS amount
-FROM e a JOIN e b ON a.cents = b.cents AND a.amount > 0 AND b.amount < 0 AND a.account_id <> b.account_id AND abs(date_diff('day', a.txn_date, b.txn_date)) <= 3""",
-)(matching.transfer_candidates)
-query("transfer_pairs", ledger_events)(matching.transfer_pairs)
+_TRANSFERS = """SELECT least(a.id, b.id) AS left_id, greatest(a.id, b.id) AS right_id, abs(date_diff('day', a.txn_date, b.txn_date)) AS days, CAST(a.amount AS DOUBLE) AS amount
+FROM e a JOIN e b ON a.cents = b.cents AND a.amount > 0 AND b.amount < 0 AND a.account_id <> b.account_id AND abs(date_diff('day', a.txn_date, b.txn_date)) <= 3"""
+query("transfer_candidates", ledger_events, f"{_E} {_TRANSFERS}")(matching.transfer_candidates)
+query("transfer_pairs", ledger_events, _E + one_by_one(_TRANSFERS, "days, amount DESC", "left_id", "right_id", "left_id, right_id, days, amount"))(matching.transfer_pairs)
 _bank = lambda l: l.where("category = 'purchase'")
 _card = lambda l: l.where("category = 'signup'")
-query(
-    "settlement_candidates",
-    ledger_events,
-    _E
-    + """ SELECT a.id AS bank_id, b.id AS card_id, abs(date_diff('day', a.txn_date, b.txn_date)) AS gap, CAST(a.txn_date AS VARCHAR) AS bank_date, CAST(b.txn_date AS VARCHAR) AS card_date
-FROM e a JOIN e b ON a.category = 'purchase' AND b.category = 'signup' AND a.amount < 0 AND b.amount > 0 AND abs(a.cents - b.cents) <= 1 AND abs(date_diff('day', a.txn_date, b.txn_date)) <= 7""",
-)(lambda l: matching.settlement_candidates(_bank(l), _card(l)))
-query("settlement_pairs", ledger_events)(lambda l: matching.settlement_pairs(_bank(l), _card(l)))
+_SETTLED = """SELECT a.id AS bank_id, b.id AS card_id, abs(date_diff('day', a.txn_date, b.txn_date)) AS gap, CAST(a.txn_date AS VARCHAR) AS bank_date, CAST(b.txn_date AS VARCHAR) AS card_date
+FROM e a JOIN e b ON a.category = 'purchase' AND b.category = 'signup' AND a.amount < 0 AND b.amount > 0 AND abs(a.cents - b.cents) <= 1 AND abs(date_diff('day', a.txn_date, b.txn_date)) <= 7"""
+query("settlement_candidates", ledger_events, f"{_E} {_SETTLED}")(lambda l: matching.settlement_candidates(_bank(l), _card(l)))
+query("settlement_pairs", ledger_events, _E + one_by_one(_SETTLED, "bank_date, bank_id, gap, card_date", "bank_id", "card_id", "bank_id, card_id, gap"))(lambda l: matching.settlement_pairs(_bank(l), _card(l)))
 _refund = """ AND o.txn_date <= i.txn_date AND date_diff('day', o.txn_date, i.txn_date) <= {days} AND abs(-o.amount - i.amount) <= greatest({least}, i.amount * {share})"""
 query(
     "refund_pairs",
@@ -53,14 +53,14 @@ query(
     + _refund.format(days=120, least=10, share=0.2)
     + ") SELECT inflow_id, outflow_id, CAST(txn_date AS VARCHAR) AS outflow_date, CAST(amount AS DOUBLE) AS amount FROM m WHERE k = 1",
 )(lambda l: matching.refund_pairs(l, l, ["account_id"]))
+_REPAID = """SELECT i.id AS inflow_id, o.id AS outflow_id, CAST(i.txn_date AS VARCHAR) AS in_date, CAST(abs(-o.amount - i.amount) AS DOUBLE) AS difference, -date_diff('day', DATE '1970-01-01', o.txn_date) AS late, CAST(least(i.amount, -o.amount) AS DOUBLE) AS amount
+FROM ledger i JOIN ledger o ON o.account_id = i.account_id AND i.amount > 0 AND o.amount < 0{}""" + _refund.format(days=200, least=1, share=0.1)
+query("reimbursement_candidates", ledger_orders, " " + _REPAID.replace("{}", ""))(lambda l: matching.reimbursement_candidates(l, l, ["account_id"], days=200, share=0.1))
 query(
-    "reimbursement_candidates",
+    "reimbursement_links",
     ledger_orders,
-    """ SELECT i.id AS inflow_id, o.id AS outflow_id, CAST(i.txn_date AS VARCHAR) AS in_date, CAST(abs(-o.amount - i.amount) AS DOUBLE) AS difference, -date_diff('day', DATE '1970-01-01', o.txn_date) AS late, CAST(least(i.amount, -o.amount) AS DOUBLE) AS amount
-FROM ledger i JOIN ledger o ON o.account_id = i.account_id AND i.amount > 0 AND o.amount < 0"""
-    + _refund.format(days=200, least=1, share=0.1),
-)(lambda l: matching.reimbursement_candidates(l, l, ["account_id"], days=200, share=0.1))
-query("reimbursement_links", ledger_orders)(lambda l: matching.reimbursement_links(l, l, ["account_id"], days=200, share=0.1))
+    one_by_one(_REPAID.replace("{}", " AND i.amount >= 500"), "in_date, inflow_id, difference, late", "inflow_id", "outflow_id", "inflow_id, outflow_id, amount, CASE WHEN difference < 0.01 THEN 0.98::DOUBLE ELSE 0.92::DOUBLE END AS confidence"),
+)(lambda l: matching.reimbursement_links(l, l, ["account_id"], days=200, share=0.1))
 query(
     "nearest_offset",
     ledger_orders,
