@@ -20,7 +20,7 @@ HEADERS = (
     '"Date","Name / Description","Account","Counterparty","Code","Debit/credit","Amount (EUR)","Transaction type","Notifications","Resulting balance","Tag"',
     "Boekdatum;Omschrijving;Rekeningnummer;Tegenrekeningnummer;Naam tegenpartij;Bedrag;Valuta",
     None,
-    "Date,Account,Description,Counterparty,Amount,Currency",
+    "Date,Account,Counterparty,Amount,Currency,Description",
     "ID,Status,Direction,Created on,Finished on,Source fee amount,Source fee currency,Source name,Source amount (after fees),Source currency,Target name,Target amount (after fees),Target currency,Exchange rate,Reference,Note",
 )
 
@@ -44,7 +44,7 @@ def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         quoted(F.date_format(day, "yyyyMMdd"), name, account, "", "GT", F.when(inward, "Credit").otherwise("Debit"), comma, "x", note, comma, ""),
         join(";", F.date_format(day, "d-M-yyyy"), note, account, "", name, signed(comma), "EUR"),
         join("\t", F.concat(F.lit("1000"), F.lpad((F.col("o_custkey") % 7).cast("string"), 3, "0")), "EUR", F.date_format(day, "yyyyMMdd"), comma, comma, F.date_format(day, "yyyyMMdd"), signed(comma), note),
-        join(",", iso, account, note, F.concat(F.lit("Café €"), F.col("o_custkey")), signed(text), "EUR", "spilled"),  # a cell too many
+        join(",", iso, account, F.concat(F.lit("Café €"), F.col("o_custkey")), signed(text), "EUR", note, "spilled"),  # a cell too many
         join(",", note, "COMPLETED", F.when(inward, "IN").otherwise("OUT"), iso, iso, "0", "EUR", name, text, F.when(inward, "USD").otherwise("EUR"), name, text, F.when(inward, "EUR").otherwise("USD"), "1.0", "", ""),
     )
     layout = (number % len(HEADERS)).cast("int")
@@ -77,7 +77,7 @@ f AS (SELECT DISTINCT number, layout, 'in/checking/a' || lpad(CAST(number AS VAR
 t AS (SELECT o.*, path, CASE layout WHEN 0 THEN 'checking' WHEN 1 THEN 'checking' WHEN 2 THEN 'booked' WHEN 3 THEN 'booked' WHEN 4 THEN 'generic' ELSE 'wallet' END AS institution,
   CASE layout WHEN 3 THEN '1000' || lpad(CAST(c % 7 AS VARCHAR), 3, '0') WHEN 5 THEN 'wallet' ELSE 'ACC' || CAST(c % 7 AS VARCHAR) END AS account_name,
   CASE layout WHEN 3 THEN NULL WHEN 4 THEN 'Café €' || CAST(c AS VARCHAR) ELSE 'Shop ' || CAST(c AS VARCHAR) END AS counterparty_name,
-  CASE layout WHEN 0 THEN 'Shop ' || CAST(c AS VARCHAR) || ' order ' || CAST(k AS VARCHAR) WHEN 1 THEN 'Shop ' || CAST(c AS VARCHAR) || ' order ' || CAST(k AS VARCHAR) WHEN 5 THEN '' ELSE 'order ' || CAST(k AS VARCHAR) END AS description,
+  CASE layout WHEN 0 THEN 'Shop ' || CAST(c AS VARCHAR) || ' order ' || CAST(k AS VARCHAR) WHEN 1 THEN 'Shop ' || CAST(c AS VARCHAR) || ' order ' || CAST(k AS VARCHAR) WHEN 5 THEN '' WHEN 4 THEN 'order ' || CAST(k AS VARCHAR) || ' spilled' ELSE 'order ' || CAST(k AS VARCHAR) END AS description,
   CASE WHEN layout = 5 THEN 'order ' || CAST(k AS VARCHAR) END AS reference FROM o JOIN f USING (number, layout)),
 u AS (SELECT *, false AS is_duplicate FROM t UNION ALL SELECT * REPLACE ('in/savings/d' || CAST(number AS VARCHAR) || '.csv' AS path), true FROM t WHERE number % 3 = 0)
 """
