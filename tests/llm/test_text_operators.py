@@ -173,14 +173,41 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontaminate", "pieces"]
     done = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert set(done) == set(range(37)) - {31, 32, 33, 34}
-    assert done[30]["ids"] == []  # the copy's only line went, and it is left as the one empty document
+    assert set(done) == set(range(37)) - {30, 31, 32, 33, 34}  # 30 is a copy whose only line went, and with it the document
     assert all(r["round_trip"] for r in done.values())
     table = pieces.load()
     ids = done[36]["ids"]
     assert pieces.decode_ids(np.array(ids, np.int32), np.array([len(ids)]), table)[0] == texts[36].split("\n")[0]
 
 
+def test_next_rows_of_ids_of_any_type_and_of_none(spark):
+    """Text ids follow one another as texts do; rows without an id lie in several blocks and come last."""
+    rows = [(f"doc-{i:04d}", f"text {i}", "mine") for i in range(300)] + [(None, f"nameless {i}", "mine") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, id_block string").repartition(4)
+    out = fingerprints.with_next(frame, "doc_id", ["text"])
+    assert out.columns == ["doc_id", "text", "id_block", "next_text"]
+    follows = {r["text"]: r["next_text"] for r in out.collect()}
+    assert [follows[f"text {i}"] for i in range(299, 0, -1)] == [f"text {i}" for i in range(298, -1, -1)]
+    at, seen = follows["text 0"], []
+    while at.startswith("nameless"):
+        seen.append(at)
+        at = follows[at]
+    assert len(set(seen)) == 200 == len(seen) and at == "text 299"
+
+
+@pytest.mark.parametrize("dtype", ["smallint", "decimal(9,2)", "date", "string", "bigint"])
+def test_contaminations_of_items_with_ids_of_any_type(spark, dtype):
+    rng = random.Random(3)
+    item = prose(rng, 20)
+    one = "date'2024-05-06'" if dtype == "date" else f"cast(7 as {dtype})"
+    items = spark.createDataFrame([(item,)], "text string").selectExpr(f"{one} as item_id", "text")
+    frame = spark.createDataFrame([(1, f"{prose(rng, 9)} {item}"), (2, prose(rng, 30))], "doc_id long, text string")
+    ways = [decontaminate.contaminations(frame, items), decontaminate.contaminations(frame, items, max_broadcast_bytes=0)]
+    assert all(dict(x.dtypes)["item_id"] == dtype for x in ways)
+    rows = [sorted(map(tuple, x.select("doc_id", "item_id", "n_covered").collect())) for x in ways]
+    assert rows[0] == rows[1] and len(rows[0]) == 1 and rows[0][0][2] == 20
+
+
 def test_pipeline_stages_keep_columns(spark, docs, empty, sf_dir):
     for frame in (docs, empty):
         for _, stage in corpus_pipeline.STAGES[:-1]:
