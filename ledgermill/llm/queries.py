@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op11_bpe
 from .decontaminate import op1_decontaminate
 from .fingerprints import op9_fingerprints
 from .language_id import op10_language_id
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_language_id": op10_language_id,
+    "op11_bpe": op11_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -119,9 +119,9 @@ def shingles(hashes: np.ndarray, first: np.ndarray, n: int = 5) -> tuple[np.ndar
     return mix(total[keep]), at[keep], np.concatenate([[0], np.cumsum(keep)])[first]
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], name: str = "text") -> Iterator[pa.RecordBatch]:
+def text_batches(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield from chunks(batch, name)
+        yield from chunks(batch, name, limit)
 
 
 def own_column(frame, stem: str) -> str:
