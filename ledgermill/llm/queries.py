@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op11_bpe
 from .decontaminate import op1_decontaminate
+from .filter_audit import OP12_SQL, op12_filter_audit
 from .fingerprints import op9_fingerprints
 from .language_id import op10_language_id
 from .language_model import op7_language_model
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_language_id": op10_language_id,
     "op11_bpe": op11_bpe,
+    "op12_filter_audit": op12_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_filter_audit": OP12_SQL}
