@@ -148,3 +148,51 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(
         F.col("key").alias("doc_id"), F.col("node").alias("leaf"), "subroot", "root", F.sha2(siblings(F.col("pre"), F.col("slots")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
     )
+
+
+OP13_SQL = r"""
+WITH RECURSIVE
+crc_bits(b, k, c) AS (
+  SELECT b, 0, b FROM range(256) t(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM crc_bits WHERE k = 8),
+crcs(doc_id, rest, c) AS (
+  SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR), 4294967295::BIGINT FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT doc_id, rest[2:], xor(c >> 8, t[(xor(c, ascii(rest)) & 255) + 1]) FROM crcs, crc_table WHERE rest <> ''),
+marked AS (SELECT doc_id, xor(c, 4294967295) % 3 = 0 AS tampered FROM crcs WHERE rest = ''),
+fields AS (
+  SELECT row_number() OVER () AS id, d.doc_id, d.lang, d.text,
+         coalesce(strlen(CAST(d.doc_id AS VARCHAR)) || ':' || d.doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(d.lang) || ':' || d.lang, '-')
+         || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         CASE WHEN coalesce(tampered, false) THEN translate(d.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE d.text END AS other
+  FROM documents d LEFT JOIN marked m ON m.doc_id = d.doc_id),
+leaves AS (
+  SELECT id, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS changed FROM fields),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n,
+         dense_rank() OVER (ORDER BY lang COLLATE "C" NULLS FIRST) - 1 AS grp
+  FROM leaves),
+nodes(grp, lvl, pos, n, node) AS (
+  SELECT grp, 0, pos, n, leaf FROM placed
+  UNION ALL SELECT grp, lvl + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(node, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY grp, lvl, pos // 8),
+subroots AS (SELECT grp, max(lvl) AS depth, max_by(node, lvl) AS subroot FROM nodes WHERE n = 1 GROUP BY grp),
+tops(lvl, pos, n, node) AS (
+  SELECT 0, grp, (SELECT count(*) FROM subroots), subroot FROM subroots
+  UNION ALL SELECT lvl + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(node, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY lvl, pos // 8),
+root AS (SELECT max_by(node, lvl) AS root FROM tops WHERE n = 1),
+runs AS (
+  SELECT grp, lvl, pos // 8 AS parent, list(node ORDER BY pos) AS run FROM nodes WHERE n > 1 GROUP BY ALL
+  UNION ALL SELECT s.grp, s.depth + t.lvl, t.parent, t.run
+  FROM subroots s, (SELECT lvl, pos // 8 AS parent, list(node ORDER BY pos) AS run FROM tops WHERE n > 1 GROUP BY ALL) t
+  WHERE t.parent = s.grp // CAST(8 ** (t.lvl + 1) AS BIGINT)),
+walk(id, grp, depth, lvl, pos, beside, h) AS (
+  SELECT p.id, p.grp, s.depth, 0, CASE WHEN s.depth = 0 THEN p.grp ELSE p.pos END, '', p.changed FROM placed p JOIN subroots s USING (grp)
+  UNION ALL
+  SELECT w.id, w.grp, w.depth, w.lvl + 1, CASE WHEN w.lvl + 1 = w.depth THEN w.grp ELSE w.pos // 8 END,
+         w.beside || array_to_string(r.run[:w.pos % 8] || r.run[w.pos % 8 + 2:], ''),
+         sha256(array_to_string(r.run[:w.pos % 8] || [w.h] || r.run[w.pos % 8 + 2:], ''))
+  FROM walk w JOIN runs r ON r.grp = w.grp AND r.lvl = w.lvl AND r.parent = w.pos // 8),
+ends AS (SELECT id, max_by(beside, lvl) AS beside, max_by(h, lvl) AS folded_root FROM walk GROUP BY id)
+SELECT p.doc_id, p.leaf, s.subroot, root.root, sha256(e.beside) AS proof_sha256, e.folded_root, e.folded_root = root.root AS verified
+FROM placed p JOIN subroots s USING (grp) JOIN ends e USING (id), root
+"""

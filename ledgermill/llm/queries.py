@@ -9,7 +9,7 @@ from .fingerprints import op9_fingerprints
 from .language_id import op10_language_id
 from .language_model import op7_language_model
 from .line_dedup import op4_line_dedup
-from .merkle import op13_merkle_manifest
+from .merkle import OP13_SQL, op13_merkle_manifest
 from .paragraph_dedup import op5_paragraph_dedup
 from .pieces import op3_pieces
 from .suffix_dedup import op8_suffix_dedup
@@ -32,4 +32,4 @@ QUERIES = {
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op12_filter_audit": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op12_filter_audit": OP12_SQL, "op13_merkle_manifest": OP13_SQL}

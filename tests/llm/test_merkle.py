@@ -6,10 +6,11 @@ import hashlib
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 
 from ledgermill.llm import merkle
-from ledgermill.llm.queries import op13_merkle_manifest
+from ledgermill.llm.queries import ORACLE_SQL, op13_merkle_manifest
 
 SCHEMA = "doc_id long, source string, lang string, n_chars long, text string, node int, at long"
 
@@ -91,3 +92,11 @@ def test_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*merkle.FIELDS).collect()
     columns = ("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
     assert Counter(tuple(r[c] for c in columns) for r in op13_merkle_manifest(spark, sf_dir).collect()) == Counter(plain([tuple(r) for r in docs]))
+
+
+def test_query_equals_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = con.sql(ORACLE_SQL["op13_merkle_manifest"])
+    rows = op13_merkle_manifest(spark, sf_dir).select(*want.columns).collect()
+    assert Counter(map(tuple, rows)) == Counter(want.fetchall())
