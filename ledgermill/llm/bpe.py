@@ -2,7 +2,7 @@
 
 A text is normalised and cut into words as the model's file asks: special tokens are taken out of the raw text first, the rest is composed
 (NFC) and lower-cased, and its pattern gives the words. Each word is its UTF-8 bytes, the last one marked as a word's end. The distinct words of a chunk of
-texts are inserted into a trie; its new branches are walked depth first, and each node gets the last token of the encoding of the path that leads to it. That is the only token
+texts are inserted into a trie depth first, and each new node gets the last token of the encoding of the path that leads to it. That is the only token
 which ends the path, and which stands beside the last token of the path before it: two tokens stand side by side if no merge across
 their border comes before those within them. The encoding of a word is read back from its end along its path. So what words share is encoded once, by all texts of a task.
 
@@ -74,6 +74,7 @@ class Merges:
     length: list[int]
     pairs: dict[tuple[int, int], int]
     spelled: dict[str, int]
+    suffixes: dict[str, int]
     longest: int
     pattern: str
     special: dict[str, int]
@@ -129,12 +130,16 @@ def load(file: str | None = None) -> Merges:
         names[i] = s
     raw = [(s + " ").encode() for s in names]
     sizes = np.array([len(x) for x in raw], np.int64)
-    merges = Merges(left, right, rank, length, pairs, spelled, max(length), split["pattern"]["Regex"], special, np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    merges = Merges(left, right, rank, length, pairs, spelled, {}, max(length), split["pattern"]["Regex"], special, np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes)
     whole = set(spelling) - {i for i in spelling if rank[i] >= 0}
     for i in sorted(spelling.keys() - whole, key=rank.__getitem__):  # a token that its own spelling doesn't lead to never comes up
         if left[i] in whole and right[i] in whole and merges.side_by_side(left[i], right[i], joined=True):
             whole.add(i)
             spelled[spelling[i]] = i
+    for word, i in spelled.items():  # every end of a token, with the token that it is, or -1
+        for size in range(1, len(word)):
+            merges.suffixes.setdefault(word[-size:], -1)
+        merges.suffixes[word] = i
     return merges
 
 
@@ -152,55 +157,61 @@ class Trie:
         self.merges = merges
         self.steps: dict[int, int] = {}
         self.last: list[int] = [-1]
+        self.neighbours: dict[int, bool] = {}
 
     def insert(self, words: list[str]) -> list[list[int]]:
-        """The tokens of each new word, given as symbols."""
-        steps, last, children, branches, ends = self.steps, self.last, {}, [], []
-        for word in words:
-            node, fresh = 0, False
-            for depth, symbol in enumerate(word):
-                key = node << 9 | ord(symbol)
-                below = steps.get(key)
-                if below is None:
-                    below = steps[key] = len(last)
-                    last.append(-1)
-                    if last[node] < 0 and node:
-                        children.setdefault(node, []).append((below, symbol))
-                    elif not fresh:
-                        branches.append((below, depth, word))
-                    fresh = True
-                node = below
-            ends.append(node)
-        found = {}
-        for node, depth, word in branches:
-            found.update(self._walk(node, depth, word, children))
-        return [found[node] for node in ends]
-
-    def _walk(self, node: int, depth: int, word: str, children: dict[int, list[tuple[int, str]]]) -> dict[int, list[int]]:
-        """Give the new nodes below a branch their last tokens, depth first; the tokens of the words that end there."""
-        merges, last = self.merges, self.last
-        lasts, at = [-1], 0
-        for symbol in word[:depth]:
-            at = self.steps[at << 9 | ord(symbol)]
-            lasts.append(last[at])
-        stack, found, keep = [(node, depth + 1, word[max(0, depth + 1 - merges.longest) : depth + 1])], {}, merges.longest - 1
-        while stack:
-            node, depth, tail = stack.pop()
-            del lasts[depth:]
-            for size in range(min(depth, len(tail)), 0, -1):
-                token = merges.spelled.get(tail[-size:])
-                if token is not None and (size == depth or merges.side_by_side(lasts[depth - size], token)):
+        """The tokens of each new word, given as symbols. Words in order are the trie's leaves depth first, so a word begins where it parts from the one before."""
+        steps, last, length = self.steps, self.last, self.merges.length
+        found: dict[str, list[int]] = {}
+        nodes, lasts, before = [0], [-1], ""
+        for word in sorted(words):
+            shared = 0
+            for x, y in zip(before, word):
+                if x != y:
                     break
-            last[node] = token
-            lasts.append(token)
-            if ord(tail[-1]) >= LAST:
-                tokens, place = [], depth
-                while place:
-                    tokens.append(lasts[place])
-                    place -= merges.length[lasts[place]]
-                found[node] = tokens[::-1]
-            stack.extend((below, depth + 1, tail[-keep:] + symbol if keep else symbol) for below, symbol in children.get(node, ()))
-        return found
+                shared += 1
+            del nodes[shared + 1 :], lasts[shared + 1 :]
+            node = nodes[-1]
+            for depth in range(shared, len(word)):
+                key = node << 9 | ord(word[depth])
+                node = steps.get(key)
+                if node is None:
+                    node = steps[key] = len(last)
+                    last.append(self._last(word, depth + 1, lasts))
+                nodes.append(node)
+                lasts.append(last[node])
+            tokens, place = [], len(word)
+            while place:
+                tokens.append(lasts[place])
+                place -= length[lasts[place]]
+            found[word] = tokens[::-1]
+            before = word
+        return [found[w] for w in words]
+
+    def _last(self, word: str, end: int, lasts: list[int]) -> int:
+        """The last token of word[:end]: the longest one that ends it and stands beside the last one of what is before it."""
+        suffixes, neighbours = self.merges.suffixes, self.neighbours
+        begin, ends = end - 1, []
+        token = suffixes.get(word[begin:end])
+        while token is not None:
+            if token >= 0:
+                ends.append((begin, token))
+            if not begin:
+                break
+            begin -= 1
+            token = suffixes.get(word[begin:end])
+        for begin, token in reversed(ends):
+            if not begin:
+                return token
+            pair = lasts[begin] << 20 | token
+            fits = neighbours.get(pair)
+            if fits is None:
+                if len(neighbours) >= MAX_NODES:
+                    neighbours.clear()
+                fits = neighbours[pair] = self.merges.side_by_side(lasts[begin], token)
+            if fits:
+                return token
+        raise ValueError("the model has no token for a byte")
 
 
 class Encoder:
@@ -226,7 +237,7 @@ class Encoder:
         return self._plain(_normal(text))
 
     def _plain(self, text: str) -> list[str]:
-        if text.isascii() or not _A_LATER.search(text):
+        if len(text.encode("latin-1", "ignore")) == len(text) or not _A_LATER.search(text):
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(_A_LATER.sub(_UNASSIGNED, text))]
 
