@@ -54,22 +54,22 @@ def replay(flags: DataFrame, filters: str = FILTERS, part: str = "part", lost: t
 
     flags has a boolean column for each filter (a letter), true where a row fails it, the part and boolean columns of what is lost.
     """
-    spark, n = flags.sparkSession, len(filters)
-    orders = spark.createDataFrame([("".join(p), [filters.index(x) for x in p]) for p in permutations(filters)], "filter_order string, places array<int>")
-    fails = F.array(*[F.col(x) for x in filters])
-    failing = F.aggregate(F.array(*[F.col(x).cast("int") for x in filters]), F.lit(0), lambda a, x: a + x)
-    packed = flags.select(F.col(part).alias("part"), fails.alias("fails"), failing.alias("n_fails"), *lost)
-    crossed = packed.crossJoin(F.broadcast(orders))
-    first = F.coalesce(*[F.when(F.get("fails", F.get("places", F.lit(i))), i + 1) for i in range(n)], F.lit(n + 1))
-    steps = crossed.select("part", "filter_order", "n_fails", *lost, "fails", first.alias("first_fail"), F.posexplode("places").alias("place", "own"))
-    at, fails_own = F.col("place") + 1, F.get("fails", "own")
+    n, places = len(filters), [f"place_{i}" for i in range(1, len(filters) + 1)]
+    rows = [("".join(p), *[1 << filters.index(x) for x in p]) for p in permutations(filters)]
+    orders = flags.sparkSession.createDataFrame(rows, "filter_order string, " + ", ".join(f"{p} int" for p in places))
+    fails = sum((F.when(F.col(x), 1 << i).otherwise(0) for i, x in enumerate(filters)), F.lit(0)).cast("int")
+    crossed = flags.select(F.col(part).alias("part"), fails.alias("fails"), *lost).crossJoin(F.broadcast(orders))
+    failing = lambda bit: F.col("fails").bitwiseAND(F.col(bit)) != 0
+    first = F.coalesce(*[F.when(failing(p), i) for i, p in enumerate(places, 1)], F.lit(n + 1))
+    steps = crossed.select("part", "filter_order", *lost, "fails", first.alias("first_fail"), F.posexplode(F.array(*places)).alias("place", "own"))
+    at, fails_own = F.col("place") + 1, failing("own")
     removed = F.col("first_fail") == at
     count = lambda c, name: F.sum(c.cast("long")).alias(name)
     result = steps.groupBy("part", "filter_order", at.cast("int").alias("step")).agg(
         count(F.col("first_fail") > at, "kept"),
         count(removed, "removed"),
         count(fails_own & (F.col("first_fail") < at), "redundant"),
-        count(fails_own & (F.col("n_fails") == 1), "unique_fails"),
+        count(F.col("fails") == F.col("own"), "unique_fails"),
         *[count(removed & F.col(x), f"{x}_lost") for x in lost],
     )
     return _with_shares(result)
