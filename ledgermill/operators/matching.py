@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import MOST_BROADCAST
 from ..functions.storage import cut
 
 MONEY = "decimal(18,2)"
@@ -158,11 +159,26 @@ def best_later_inflow(outflows: DataFrame, inflows: DataFrame, key: list[str], d
 def asof(left: DataFrame, right: DataFrame, key: str, time: str, right_time: str, value: str, alias: str) -> DataFrame:
     """left with the latest value of the same key at or before its time; null before the first.
 
-    Both sides are one sorted stream a key: a window carries the last value forward, so no row meets more than one other. A key of a third
-    of all rows is a long window; give a finer key (a currency and a year, say) where values never reach across it.
+    Two levels: values are reduced to the last one of each key and day, and one scan over these few rows carries it to the days after. Rows whose day has no values of its own take what
+    is carried to it by a join on (key, day), and so do all rows if both times are dates. Only in days of rows and values with times of day does a window order both; no window is
+    over a whole key.
     """
-    names = left.columns
-    both = left.withColumns({"__t": F.col(time), "__v": F.lit(None).cast(dict(right.dtypes)[value]), "__side": F.lit(1)})
-    rates = right.select(*[F.col(key).alias(c) if c == key else F.lit(None).cast(t).alias(c) for c, t in left.dtypes], F.col(right_time).alias("__t"), F.col(value).alias("__v"), F.lit(0).alias("__side"))
-    w = Window.partitionBy(key).orderBy("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
-    return both.unionByName(rates).withColumn(alias, F.last("__v", ignorenulls=True).over(w)).where("__side = 1").select(*names, alias)
+    names, kinds = left.columns, dict(left.dtypes)
+    right = right.where(F.col(value).isNotNull() & F.col(right_time).isNotNull() & F.col(key).isNotNull())
+    values = right.select(F.col(key).alias("__key"), F.to_date(right_time).alias("__day"), F.col(right_time).alias("__t"), F.col(value).alias("__v"))
+    rows = left.withColumns({"__key": F.col(key), "__day": F.to_date(time)})
+    lasts = values.groupBy("__key", "__day").agg(F.max(F.struct("__t", "__v")).alias("last"))
+    days = rows.select("__key", "__day").where("__key is not null and __day is not null").distinct()
+    w = Window.partitionBy("__key").orderBy("__day")
+    carried = lambda upto: F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, upto))["__v"]
+    heads = cut(days.join(lasts, ["__key", "__day"], "full").select("__key", "__day", carried(0).alias("__upto"), carried(-1).alias("__before"), F.col("last").isNotNull().alias("__own")))
+    met = rows.join(F.broadcast(heads) if heads.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else heads, ["__key", "__day"], "left")
+    if kinds[time] == "date" and dict(right.dtypes)[right_time] == "date":
+        return met.select(*names, F.col("__upto").alias(alias))
+    plain = met.where(~F.coalesce("__own", F.lit(False))).select(*names, F.col("__before").alias(alias))
+    inside = met.where("__own").withColumns({"__t": F.col(time), "__side": F.lit(1), "__v": F.lit(None).cast(dict(right.dtypes)[value])})
+    there = values.join(heads.where("__own").select("__key", "__day"), ["__key", "__day"], "left_semi")
+    guests = there.select(*[F.lit(None).cast(k).alias(c) for c, k in left.dtypes], "__key", "__day", F.lit(None).cast(dict(right.dtypes)[value]).alias("__before"), "__t", F.lit(0).alias("__side"), "__v")
+    both = inside.select(*guests.columns).unionByName(guests)
+    own = F.last("__v", ignorenulls=True).over(Window.partitionBy("__key", "__day").orderBy("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0))
+    return plain.unionByName(both.withColumn(alias, F.coalesce(own, "__before")).where("__side = 1").select(*names, alias))

@@ -104,3 +104,42 @@ query(
     "import_amount_details",
     """SELECT path, reference, CASE WHEN inward THEN 'EUR' ELSE 'EUR' END AS native_currency, CASE WHEN inward THEN 'USD' ELSE 'EUR' END AS source_currency, CASE WHEN inward THEN 'EUR' ELSE 'USD' END AS target_currency, CAST(CASE WHEN inward THEN price ELSE -price END AS DOUBLE) AS converted_amount, 1.0::DOUBLE AS exchange_rate FROM u WHERE layout = 5 AND inward""",
 )(lambda x: x.amount_details.join(x.transactions.select("path", "row_number", "reference"), ["path", "row_number"]).select("path", "reference", "native_currency", "source_currency", "target_currency", "converted_amount", "exchange_rate"))
+
+
+def spanning_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): exports whose notes go over three lines with quotes and separators in them, and whose rows have up to 60 cells too many."""
+    o = table(spark, sf_dir, "orders")
+    key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)")
+    number = F.floor(key / PER_FILE).cast("long")
+    note = F.concat(F.lit('"order, '), key, F.lit('\nsaid ""yes""\nto '), F.col("o_custkey"), F.lit('"'))
+    more = F.when(key % 3 == 0, F.concat(F.lit(","), F.array_join(F.transform(F.sequence(F.lit(1), (key % 60 + 1).cast("int")), lambda i: F.concat(F.lit("m"), i)), ","))).otherwise("")
+    line = F.concat_ws(",", F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd"), F.lit("ACC1"), F.lit("Shop"), price.cast("string"), F.lit("EUR"), F.when(key % 2 == 0, note).otherwise(F.lit("plain")))
+    rows = o.select(number.alias("number"), "o_orderkey", F.concat(line, more).alias("line")).groupBy("number").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))).alias("rows"))
+    whole = F.concat_ws("\n", F.lit(HEADERS[4]), F.array_join(F.transform("rows", lambda x: x["line"]), "\n"))
+    return rows.select(F.concat(F.lit("in/checking/s"), "number", F.lit(".csv")).alias("path"), F.encode(whole, "UTF-8").alias("content"))
+
+
+QUERIES["import_spanning"] = lambda spark, sf_dir: plain(ingest.parse(spanning_files(spark, sf_dir)).select("path", "row_number", F.col("txn_date").cast("string").alias("txn_date"), "amount", F.regexp_replace("description", r"\s+", " ").alias("description")))
+ORACLE_SQL["import_spanning"] = """WITH o AS (SELECT o_orderkey AS k, o_orderkey // 250 AS number, CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(18,2)) AS price, o_custkey AS c FROM orders),
+n AS (SELECT *, 2 + coalesce(sum(CASE WHEN k % 2 = 0 THEN 3 ELSE 1 END) OVER (PARTITION BY number ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_line FROM o)
+SELECT 'in/checking/s' || number || '.csv' AS path, CAST(first_line AS INT) AS row_number, CAST(day AS VARCHAR) AS txn_date, CAST(price AS DOUBLE) AS amount,
+ CASE WHEN k % 2 = 0 THEN 'order, ' || k || ' said "yes" to ' || c ELSE 'plain' END || CASE WHEN k % 3 = 0 THEN ' ' || array_to_string(['m' || i FOR i IN range(1, k % 60 + 2)], ' ') ELSE '' END AS description FROM n"""
+
+
+def converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in three currencies, two of which have a rate every fifth day."""
+    o = table(spark, sf_dir, "orders")
+    currency = F.element_at(F.array(F.lit("EUR"), F.lit("USD"), F.lit("GBP")), (F.col("o_custkey") % 3 + 1).cast("int"))
+    none = {c: F.lit(None).cast("string") for c in ("source_currency", "target_currency")} | {c: F.lit(None).cast("decimal(18,2)") for c in ("source_amount", "target_amount")}
+    rows = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("txn_date"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), currency.alias("currency")).withColumns(none)
+    day = F.col("o_orderdate").cast("date")
+    days = o.select(day.alias("rate_date")).distinct().where("pmod(datediff(rate_date, date '1970-01-01'), 5) = 0 and rate_date > date '1992-03-01'")
+    rates = days.crossJoin(F.broadcast(spark.createDataFrame([("USD", 0.5), ("GBP", 2.0)], "currency string, base double"))).select("rate_date", "currency", (F.col("base") + F.dayofmonth("rate_date") / 64.0 + 0.0031731).alias("eur_per_unit"))
+    return ingest.in_euros(rows, rates)
+
+
+QUERIES["import_rates"] = lambda spark, sf_dir: plain(converted(spark, sf_dir).select("id", "currency", "stored"))
+ORACLE_SQL["import_rates"] = """WITH o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, ['EUR', 'USD', 'GBP'][o_custkey % 3 + 1] AS currency FROM orders),
+r AS (SELECT DISTINCT d AS rate_date, c.currency, c.base + day(d) / 64.0::DOUBLE + 0.0031731::DOUBLE AS rate FROM o, (VALUES ('USD', 0.5::DOUBLE), ('GBP', 2.0::DOUBLE)) c(currency, base) WHERE date_diff('day', DATE '1970-01-01', d) % 5 = 0 AND d > DATE '1992-03-01')
+SELECT o.id, o.currency, CASE WHEN o.currency = 'EUR' THEN CAST(amount AS DOUBLE) ELSE CAST(CAST(CAST(amount AS DOUBLE) * rate AS DECIMAL(18,2)) AS DOUBLE) END AS stored
+FROM o ASOF LEFT JOIN r ON o.currency = r.currency AND o.d >= r.rate_date"""

@@ -19,8 +19,8 @@ from ..operators.matching import asof
 from . import profiles
 
 MONEY = "decimal(18,2)"
-#: Cells beyond a header's that are joined to the last column; a row with still more fails its file.
-OVERFLOW = 24
+#: Lines of a file whose quotes are followed by one window; the state at their beginning is carried from those before.
+PIECE = 4096
 MAX_LAYOUTS = 10_000
 MAX_ERROR = 1000
 #: The bytes 0x80 to 0x9F of code page 1252, without the five it leaves undefined, and the characters they stand for.
@@ -92,16 +92,70 @@ def file_states(files: DataFrame, imported: DataFrame | None = None) -> DataFram
     return rows.select("path", "content", "file_hash", status.alias("status"), "role_hint")
 
 
+def _leaves_open(text: Column, sep: Column) -> Column:
+    """Whether a text that begins outside quotes ends inside a quoted cell: what is left after whole quoted cells begins one that doesn't end."""
+    rest = F.regexp_replace(F.concat(sep, text), F.concat(F.lit("("), sep, F.lit(r')"[^"]*+(?:""[^"]*+)*+"(?=[^"]|$)')), F.lit("$1"))
+    return F.regexp_like(rest, F.concat(sep, F.lit(r'"[^"]*+(?:""[^"]*+)*+$')))
+
+
+def joined_records(lines: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(path, sep, row_number, line): lines whose quoted cells go on in the next ones are joined with these, under the first one's number.
+
+    What a line does to the state, outside or inside a quoted cell, is to keep it, to swap it, or to set it. So the state before a line follows from the last line that sets it and the
+    number of swaps since. These are summed within pieces of a file, and over the pieces; so a file's lines are spread over tasks, and no task follows a whole file.
+    """
+    ahead = F.regexp_replace("line", r'^[^"]*+(?:""[^"]*+)*+"', "")  # what follows the quote that ends a cell open before
+    closes = F.regexp_like("line", F.lit(r'^[^"]*+(?:""[^"]*+)*+"(?!")'))
+    after_out, after_in = _leaves_open(F.col("line"), F.col("sep")), F.when(closes, _leaves_open(F.concat(F.lit("x"), ahead), F.col("sep"))).otherwise(F.lit(True))
+    rows = lines.withColumns({"a": after_out.cast("int"), "b": after_in.cast("int"), "piece": F.floor((F.col("row_number") - 1) / piece)})
+    rows = rows.withColumns({"swap": ((F.col("a") == 1) & (F.col("b") == 0)).cast("int"), "sets": F.when(F.col("a") == F.col("b"), F.col("a"))})
+    # Within a piece: swaps so far, and at the last setting line its value less the swaps up to it.
+    inside = Window.partitionBy("path", "piece").orderBy("row_number")
+    rows = rows.withColumn("swaps", F.sum("swap").over(inside))
+    rows = cut(rows.withColumn("base", F.last(F.col("sets") - F.col("swaps"), ignorenulls=True).over(inside)))
+    ends = rows.groupBy("path", "piece").agg(F.max(F.struct("row_number", "swaps", "base")).alias("end")).select("path", "piece", "end.swaps", "end.base")
+    over = Window.partitionBy("path").orderBy("piece")
+    sums = ends.withColumn("total", F.sum("swaps").over(over))
+    sums = sums.withColumn("whole_base", F.last(F.col("base") + F.col("swaps") - F.col("total"), ignorenulls=True).over(over))
+    state = F.pmod(F.coalesce("whole_base", F.lit(0)) + F.col("total"), F.lit(2))
+    heads = sums.select("path", "piece", F.coalesce(F.lag(state).over(over), F.lit(0)).alias("head"))
+    rows = rows.join(heads, ["path", "piece"])
+    after = F.pmod(F.coalesce(F.col("base"), F.col("head")) + F.col("swaps"), F.lit(2))
+    before = F.coalesce(F.lag(after).over(inside), F.col("head"))
+    starts = cut(rows.withColumn("begins", F.when(before == 0, F.col("row_number"))).select("path", "sep", "piece", "row_number", "line", "begins"))
+    firsts = starts.groupBy("path", "piece").agg(F.max("begins").alias("latest"))
+    earlier = firsts.select("path", "piece", F.last("latest", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    numbered = starts.join(earlier, ["path", "piece"]).withColumn("first", F.coalesce(F.last("begins", ignorenulls=True).over(inside), "earlier"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_number", "line"))), lambda x: x["line"]), "\n")
+    return numbered.groupBy("path", "sep", F.col("first").alias("row_number")).agg(whole.alias("line"))
+
+
 def lines_of(files: DataFrame) -> DataFrame:
-    """(path, sep, header, row_number, line): the non-blank lines of each file; header is null for headerless ones. Cells don't span lines."""
-    lines = F.filter(F.transform(F.split(decoded(F.col("content")), "\r\n|\n|\r"), lambda x, i: F.struct((i + 1).alias("row_number"), x.alias("line"))), lambda x: F.trim(x["line"]) != "")
-    rows = files.select("path", lines.alias("lines")).where("size(lines) > 0")
-    head = F.transform(F.slice("lines", 1, 10), lambda x: x["line"])
-    rows = rows.withColumns({"sep": delimiter(head), "first": F.get(F.col("lines.line"), 0)})
+    """(path, sep, header, row_number, line): the non-blank records of each file; header is null for headerless ones.
+
+    A record is a line, or more of them where a quoted cell spans lines; only files that have such cells are followed line by line.
+    """
+    lines = F.transform(F.split(decoded(F.col("content")), "\r\n|\n|\r"), lambda x, i: F.struct((i + 1).alias("row_number"), x.alias("line")))
+    there = F.filter("lines", lambda x: F.trim(x["line"]) != "")
+    rows = files.select("path", lines.alias("lines")).withColumn("there", there).where("size(there) > 0")
+    head = F.transform(F.slice("there", 1, 10), lambda x: x["line"])
+    rows = rows.withColumn("sep", delimiter(head)).withColumn("spans", F.exists("lines", lambda x: _leaves_open(x["line"], F.col("sep"))))
+    rows = cut(rows.select("path", "sep", "spans", F.explode(F.when(F.col("spans"), F.col("lines")).otherwise(F.col("there"))).alias("x")).select("path", "sep", "spans", "x.row_number", "x.line"))
+    records = rows.where("not spans").drop("spans")
+    if not rows.where("spans").isEmpty():
+        records = records.unionByName(joined_records(rows.where("spans").drop("spans")).where(F.trim("line") != ""))
+    firsts = records.groupBy("path").agg(F.min(F.struct("row_number", "line")).alias("top")).select("path", F.col("top.line").alias("first"))
     #: As profiles.headerless, for the whole line.
     bare = (F.col("sep") == "\t") & F.regexp_like("first", F.lit(r"^\s*\d{6,18}\s*\t\s*[A-Za-z]{3}\s*\t\s*\d{8}\s*\t[^\t]*\t[^\t]*\t\s*\d{8}\s*\t\s*-?\d+([,.]\d+)?\s*\t"))
-    rows = rows.withColumn("header", F.when(~bare, F.col("first")))
-    return rows.select("path", "sep", "header", F.explode("lines").alias("x")).select("path", "sep", "header", "x.row_number", "x.line")
+    return records.join(firsts, "path").select("path", "sep", F.when(~bare, F.col("first")).alias("header"), "row_number", "line")
+
+
+def cells(line: Column, sep: str) -> Column:
+    """All cells of a record, however many: quoted ones without their quotes, doubled quotes in them as one."""
+    found = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(rf'{sep}("[^"]*+(?:""[^"]*+)*+"[^{sep}]*+|[^{sep}]*+)'), 1)
+    whole = r'(?s)^"([^"]*+(?:""[^"]*+)*+)"'
+    bare = lambda x: F.concat(F.replace(F.regexp_extract(x, whole, 1), F.lit('""'), F.lit('"')), F.regexp_replace(x, whole, ""))
+    return F.transform(found, lambda x: F.when(F.startswith(x, F.lit('"')), bare(x)).otherwise(x))
 
 
 def _layout_rows(lines: DataFrame, sep: str, header: str | None) -> DataFrame:
@@ -109,16 +163,14 @@ def _layout_rows(lines: DataFrame, sep: str, header: str | None) -> DataFrame:
     names = list(profiles.TAB_HEADER)
     mine = lines.where((F.col("sep") == sep) & F.col("header").isNull())
     if header is not None:
-        cells = next(csv.reader([header], delimiter=sep))
-        names = profiles.normalize_headers(cells)
+        names = profiles.normalize_headers(next(csv.reader(header.splitlines(keepends=True), delimiter=sep)))
         first = F.min("row_number").over(Window.partitionBy("path"))
         mine = lines.where((F.col("sep") == sep) & (F.col("header") == header)).withColumn("first", first).where("row_number > first")
     width = len(names)
-    schema = ", ".join(f"c{i} string" for i in range(width + OVERFLOW))
-    row = mine.select("path", "row_number", F.from_csv("line", F.lit(schema), {"sep": sep, "quote": '"', "escape": '"'}).alias("c"))
-    cell = lambda i: F.coalesce(F.col(f"c.c{i}"), F.lit(""))
-    last = F.trim(F.concat_ws(" ", *[F.nullif(F.trim(F.col(f"c.c{i}")), F.lit("")) for i in range(width - 1, width + OVERFLOW)]))
-    made = [cell(i).alias(names[i]) for i in range(width - 1)] + [last.alias(names[-1])]
+    row = mine.select("path", "row_number", cells(F.col("line"), sep).alias("c"))
+    cell = lambda i: F.coalesce(F.get("c", F.lit(i)), F.lit(""))
+    more = F.filter(F.transform(F.slice("c", width, F.greatest(F.size("c") - (width - 1), F.lit(0))), lambda x: F.trim(x)), lambda x: x != "")
+    made = [cell(i).alias(names[i]) for i in range(width - 1)] + [F.trim(F.array_join(more, " ")).alias(names[-1])]
     rows = row.select(F.col("path").alias("__path"), F.col("row_number").alias("__row"), *made)
     return rows.where(F.coalesce(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in names]).isNotNull())
 
@@ -160,7 +212,9 @@ def in_euros(rows: DataFrame, rates: DataFrame | None = None) -> DataFrame:
     if rates is None:
         rows = rows.withColumn("eur_per_unit", F.lit(None).cast("double"))
     else:
-        rows = asof(rows, rates, "currency", "txn_date", "rate_date", "eur_per_unit", "eur_per_unit")
+        home = F.upper(F.coalesce("currency", F.lit(""))) == "EUR"  # these need no rate
+        foreign = asof(rows.where(~home), rates, "currency", "txn_date", "rate_date", "eur_per_unit", "eur_per_unit")
+        rows = foreign.unionByName(rows.where(home).withColumn("eur_per_unit", F.lit(None).cast(dict(rates.dtypes)["eur_per_unit"])))
     by_rate = (F.abs("amount").cast("double") * F.col("eur_per_unit")).cast(MONEY)
     stored = F.when(F.upper("currency") == "EUR", F.col("amount")).otherwise((sign * F.coalesce(side, by_rate)).cast(MONEY))
     return rows.withColumn("stored", stored.cast(MONEY)).drop("eur_per_unit")
