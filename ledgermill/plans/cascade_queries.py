@@ -68,9 +68,9 @@ _STEP = """CASE WHEN is_duplicate THEN 'duplicate'
 #: What each step says: class, category, subcategory, confidence.
 _SAYS = {
     "duplicate": ("ignore_noise", "Duplicate", "", 1.0), "invoice reimbursement": ("reimbursement_pass_through", "Reimbursements", "Company Expense", 0.94), "card payment": ("internal_transfer", "Card Settlement", "", 0.9), "card credit": ("refund", "Other", "", 0.76),
-    "card spend": ("household_spend", "Other", "Card Spend", 0.62), "wallet shares": ("wealth_allocation", "Investments", "RSU Settlement", 0.84), "wallet to broker": ("wealth_allocation", "Investments", "Wallet to Broker", 0.9), "wallet stock proceeds": ("income", "Equity Compensation", "RSU", 0.88),
-    "wallet top-up": ("internal_transfer", "Inter-account Transfers", "Wallet", 0.84), "wallet to person": ("household_spend", "Other", "Personal Transfer", 0.66), "savings transfer": ("internal_transfer", "Inter-account Transfers", "Savings", 0.92), "savings interest": ("income", "Interest", "Savings", 0.9),
-    "cash deposit": ("internal_transfer", "Cash Deposit", "", 0.82), "building depot": ("refund", "Home and Furniture", "Home Improvement", 0.82), "own wallet": ("internal_transfer", "Inter-account Transfers", "Wallet", 0.84), "child benefit": ("income", "Benefits", "Child Benefit", 0.94),
+    "card spend": ("household_spend", "Other", "Card Spend", 0.62), "wallet shares": ("wealth_allocation", "Investments", "RSU Settlement", 0.84), "wallet to broker": ("wealth_allocation", "Investments", "Wise to Broker", 0.9), "wallet stock proceeds": ("income", "Equity Compensation", "RSU", 0.88),
+    "wallet top-up": ("internal_transfer", "Inter-account Transfers", "Wise", 0.84), "wallet to person": ("household_spend", "Other", "Personal Transfer", 0.66), "savings transfer": ("internal_transfer", "Inter-account Transfers", "Savings", 0.92), "savings interest": ("income", "Interest", "Savings", 0.9),
+    "cash deposit": ("internal_transfer", "Cash Deposit", "", 0.82), "building depot": ("refund", "Home and Furniture", "Home Improvement", 0.82), "own wallet": ("internal_transfer", "Inter-account Transfers", "Wise", 0.84), "child benefit": ("income", "Benefits", "Child Benefit", 0.94),
     "benefit": ("income", "Benefits", "Government Benefit", 0.88), "stock compensation": ("income", "Equity Compensation", "RSU", 0.72), "refund": ("refund", "Uncategorized", "", 0.84), "investment account": ("wealth_allocation", "Investments", "", 0.78), "investment word": ("wealth_allocation", "Investments", "", 0.9),
     "mortgage": ("debt_service", "Housing", "Mortgage", 0.92), "bank fee": ("household_spend", "Subscriptions", "Account Fees", 0.84), "credit interest": ("income", "Interest", "", 0.8), "bank interest": ("household_spend", "Banking and Fees", "Interest", 0.78), "unknown card spend": ("household_spend", "Unknown Card Spend", "", 0.72),
     "cash withdrawal": ("household_spend", "Cash Withdrawal", "", 0.86), "savings word": ("internal_transfer", "Inter-account Transfers", "Savings", 0.74), "payment request received": ("reimbursement_pass_through", "Reimbursements", "Payment Request", 0.72), "payment request paid": ("household_spend", "Other", "Payment Request", 0.64),
