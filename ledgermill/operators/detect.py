@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 MONEY = "decimal(18,2)"
 
 
+#: Ranges of values are some 1 / RANGES wide, relative to the value; a group has a few thousand of them.
+RANGES = 256
+
+
+def value_range(value: Column) -> Column:
+    """A number that never falls where the value rises: ranges of values of about the same relative width."""
+    x = value.cast("double")
+    return (F.signum(x) * F.floor(F.log1p(F.abs(x)) * RANGES)).cast("long")
+
+
 def upper_medians(rows: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
     """Element n // 2 (from 0) of each group's ascending values.
 
-    Values are counted first, so equal ones are one row before any shuffle, and the element is picked from those counts: a group of many rows
-    is never one array of them.
+    Values are counted first, so equal ones are one row before any shuffle. Counts are summed by ranges of values; the range that holds the element is found over a group's
+    ranges, of which there are few, and only the values of that one range are ordered: no task orders a group.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("all_n"))
-    w = Window.partitionBy(*by).orderBy(value)
-    run = counts.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(totals, by)
-    at = F.floor(F.col("all_n") / 2)
-    return run.where((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)).select(*by, F.col(value).cast(MONEY).alias(name))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")).withColumn("range", value_range(F.col(value)))
+    ranges = counts.groupBy(*by, "range").agg(F.sum("n").alias("n_range"))
+    over = Window.partitionBy(*by)
+    summed = ranges.withColumns({"upto": F.sum("n_range").over(over.orderBy("range")), "at": F.floor(F.sum("n_range").over(over) / 2)})
+    chosen = summed.where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n_range") <= F.col("at"))).select(*by, "range", (F.col("at") - F.col("upto") + F.col("n_range")).alias("at"))
+    inside = counts.join(chosen, [*by, "range"]).withColumn("upto", F.sum("n").over(Window.partitionBy(*by, "range").orderBy(value)))
+    return inside.where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at"))).select(*by, F.col(value).cast(MONEY).alias(name))
 
 
 def salary_groups(ledger: DataFrame, by: list[str], least_months: int = 2) -> DataFrame:
