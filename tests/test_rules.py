@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgermill.functions import joins
-from ledgermill.operators import detect, reviews, rules, trips
+from ledgermill.operators import detect, hints, reviews, rules, trips
 
 TEXTS = "id long, account_id long, account_role string, amount int, txn_date date, counterparty_account_hash string, creditor_id string, merchant_text string, signal_text string"
 
@@ -91,3 +91,16 @@ def test_trips_absorb_by_country_first(spark):
     assert sorted(map(tuple, trips.trips(rows).collect())) == [("Italy", date(2024, 7, 3), date(2024, 7, 7), 3), ("Spain", date(2024, 7, 1), date(2024, 7, 3), 3)]
     got = {r["id"]: r["label"] for r in trips.absorbed(rows, trips.trips(rows)).collect()}
     assert got == {0: "Spain 2024", 1: "Spain 2024", 2: "Spain 2024", 10: "Italy 2024", 11: "Italy 2024", 12: "Italy 2024", 20: "Italy 2024", 23: "Spain 2024"}
+
+
+def test_hints_from_odd_results(spark):
+    made = [("A", '[{"class": "SHOP", "type": null, "extratags": {"shop": "Mall", "craft": null}}]'), ("B", '{"class": "shop", "type": "deli"}'), ("C", None), ("D", "[]"), ("E", '[{"class": "craft", "type": "x"}, {"class": "shop", "type": "deli"}]'), ("F", '[{"extratags": "none", "class": "amenity", "type": "post_office"}]')]
+    got = {r["lookup_key"]: (r["category"], r["subcategory"]) for r in hints.place_hints(spark.createDataFrame(made, "lookup_key string, results string")).collect()}
+    assert {k: got[k] for k in ("A", "E")} == {"A": ("Shopping", ""), "E": ("Other", "Local Service")}
+    assert not {"C", "D"} & set(got)
+
+
+def test_names_that_may_be_looked_up(spark):
+    names = {"Bakker  Jan": True, "visa": False, "ABC": False, "NL91ABNA0417164300 X": False, "SHOP 1234": False, "SHOP 123": True, "BEA SHOP": False, "AT 12:30 CAFE": False, None: False, "A" * 81: False, "12 AB CD": False}
+    frame = spark.createDataFrame([(n,) for n in names], "m string").select("m", hints.is_lookup_safe(F.col("m")).alias("safe"))
+    assert {r["m"]: r["safe"] for r in frame.collect()} == names
