@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import ingest
+from ..functions.storage import shared_folder
+from ..sources import batches, ingest
 from ..sources.tables import table
 from .ledger_queries import plain
 
@@ -143,3 +145,20 @@ ORACLE_SQL["import_rates"] = """WITH o AS (SELECT o_orderkey AS id, CAST(o_order
 r AS (SELECT DISTINCT d AS rate_date, c.currency, c.base + day(d) / 64.0::DOUBLE + 0.0031731::DOUBLE AS rate FROM o, (VALUES ('USD', 0.5::DOUBLE), ('GBP', 2.0::DOUBLE)) c(currency, base) WHERE date_diff('day', DATE '1970-01-01', d) % 5 = 0 AND d > DATE '1992-03-01')
 SELECT o.id, o.currency, CASE WHEN o.currency = 'EUR' THEN CAST(amount AS DOUBLE) ELSE CAST(CAST(CAST(amount AS DOUBLE) * rate AS DECIMAL(18,2)) AS DOUBLE) END AS stored
 FROM o ASOF LEFT JOIN r ON o.currency = r.currency AND o.d >= r.rate_date"""
+
+
+def in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transactions of two batches, the first exports and all others; before each a try was broken off, and each is offered twice."""
+    folder = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    files = export_files(spark, sf_dir)
+    for part in (files.where("path like 'in/checking/%'"), files.where("path not like 'in/checking/%'")):
+        name = batches.batch_name(part)
+        made = ingest.import_files(part, *[batches.read(spark, folder, t) for t in ("files", "accounts", "transactions")])
+        made.transactions.limit(5).write.parquet(f"{folder}/transactions/batch={name}")  # as a writer that was lost leaves it
+        batches.commit(made, folder, name)
+        batches.commit(made, folder, name)
+    return batches.read(spark, folder, "transactions")
+
+
+QUERIES["import_batches"] = lambda spark, sf_dir: plain(in_batches(spark, sf_dir).groupBy("path").agg(F.count("*").alias("n"), F.count_if("is_duplicate").alias("n_duplicates"), F.sum("amount").cast("decimal(18,2)").alias("total")))
+ORACLE_SQL["import_batches"] = _ROWS + "SELECT path, count(*) AS n, count(*) FILTER (is_duplicate) AS n_duplicates, CAST(sum(CASE WHEN inward THEN price ELSE -price END) AS DOUBLE) AS total FROM u GROUP BY path"

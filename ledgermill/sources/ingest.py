@@ -277,13 +277,6 @@ def merge_accounts(rows: DataFrame, accounts: DataFrame | None = None) -> DataFr
     return both.select("account_id", F.coalesce("old_institution", "institution").alias("institution"), F.coalesce("old_account_name", "account_name").alias("account_name"), F.when(F.col("old_role").isNotNull(), told).otherwise(fresh).alias("role"))
 
 
-def write(imported: Imported, folder: str) -> None:
-    """Appends a batch to the tables of a folder; accounts, which are merged, are written anew beside the old ones' version."""
-    for name in ("files", "transactions", "amount_details", "balances"):
-        getattr(imported, name).write.mode("append").parquet(f"{folder}/{name}")
-    imported.accounts.write.mode("overwrite").parquet(f"{folder}/accounts_next")
-
-
 def write_snapshots(snapshots: DataFrame, folder: str) -> None:
     """A full rebuild of the monthly snapshots, stamped with its time."""
     snapshots.withColumn("built_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{folder}/monthly_snapshots")
