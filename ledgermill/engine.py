@@ -24,8 +24,9 @@ class Ledger:
         return periods.filter_period(snapshots.snapshots(self.transactions, self.links, self.amortization_rules), period, self.as_of)
 
     def within(self, period: str) -> DataFrame:
-        """The transactions from the first to the last month of a period."""
-        return periods.within(self.transactions, periods.bounds(self.snapshots(period)))
+        """The transactions from the first to the last month of a period. The two bounds come to the driver, so that the scan has literal dates."""
+        months = periods.filter_period(snapshots.months_of(self.transactions, self.amortization_rules), period, self.as_of)
+        return periods.between(self.transactions, *periods.bounds(months).head())
 
     def fire(self, period: str = "last13", multiple: float = 25.0) -> DataFrame:
         return snapshots.fire_summary(self.snapshots(period), multiple, self.as_of)

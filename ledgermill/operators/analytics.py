@@ -104,15 +104,31 @@ def linked_per_outflow(links: DataFrame) -> DataFrame:
     return links.groupBy("outflow_id").agg(F.sum("amount").cast(MONEY).alias("linked"), F.array_join(F.sort_array(F.collect_list("inflow_id")), ",").alias("inflow_ids"))
 
 
-def bucket_totals(ledger: DataFrame, links: DataFrame) -> DataFrame:
-    """Burn net of linked reimbursements by month, category and subcategory; links are summed before they meet the rows, so none fans out."""
+def bucket_totals(ledger: DataFrame, links: DataFrame, by: Column | None = None) -> DataFrame:
+    """Burn net of linked reimbursements by month (or `by`), category and subcategory; links are summed before they meet the rows, so none fans out."""
     rows = burn(ledger).join(linked_per_outflow(links).withColumnRenamed("outflow_id", "id"), "id", "left")
     net = F.greatest(F.lit(0), -F.col("amount") - F.coalesce("linked", F.lit(0)))
-    return rows.groupBy(month(), category().alias("category"), F.coalesce("subcategory", F.lit("")).alias("subcategory")).agg(
+    return rows.groupBy(month() if by is None else by, category().alias("category"), F.coalesce("subcategory", F.lit("")).alias("subcategory")).agg(
         F.sum(-F.col("amount")).cast(MONEY).alias("gross"), F.sum(net).cast(MONEY).alias("net"), F.count("*").alias("n")
     )
 
 
+#: The categories of a bucket that isn't one category of its own name.
+BUCKETS = {
+    "Subscriptions": ("Subscriptions", "Banking and Fees", "ING monthly"),
+    "Transportation": ("Transportation", "Gas"),
+    "Home": ("Home and Furniture",),
+    "Card spend": ("Unknown Card Spend",),
+    "Transfers": ("Inter-account Transfers",),
+    "Investments": ("Wealth Allocation", "Investments"),
+}
+
+
+def of_bucket(ledger: DataFrame, bucket: str) -> DataFrame:
+    """The rows whose category, Uncategorized if null, is of the bucket; an empty name is every row."""
+    return ledger.where(category().isin(*BUCKETS.get(bucket, (bucket,)))) if bucket else ledger
+
+
 def bucket_top_merchants(ledger: DataFrame, n: int = 5) -> DataFrame:
     """The n merchants with most burn in each category; ties by name."""
     sums = burn(ledger).groupBy(category().alias("category"), "merchant").agg(F.sum(out_of()).cast(MONEY).alias("spend"))

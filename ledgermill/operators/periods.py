@@ -46,6 +46,15 @@ def within(ledger: DataFrame, limits: DataFrame) -> DataFrame:
     return ledger.join(F.broadcast(limits), (month >= F.col("first")) & (month <= F.col("last"))).drop("first", "last")
 
 
+def between(ledger: DataFrame, first: str, last: str) -> DataFrame:
+    """The ledger's rows from the first to the last month, by literal dates that reach the scan; a sentinel leaves its end open."""
+    if first != FIRST:
+        ledger = ledger.where(F.col("txn_date") >= F.to_date(F.lit(f"{first}-01")))
+    if last != LAST:
+        ledger = ledger.where(F.col("txn_date") < F.add_months(F.to_date(F.lit(f"{last}-01")), 1))
+    return ledger
+
+
 def complete_months(months: DataFrame, as_of: str) -> DataFrame:
     """The months without the last one, if that is as_of and there are several."""
     w = Window.partitionBy()

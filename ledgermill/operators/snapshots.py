@@ -35,8 +35,22 @@ def _sum(x: Column) -> Column:
     return F.coalesce(F.sum(x), F.lit(0)).cast(MONEY)
 
 
-def aggregate_months(ledger: DataFrame, entity: tuple[str, ...] = ()) -> DataFrame:
-    """One row a month with each class's amounts routed to its measures: one pass, partial sums before the shuffle."""
+def _business(categories: tuple[str, ...], reimbursements: tuple[str, ...]) -> tuple[Column, Column]:
+    """Whether a row is an outflow that an employer may pay back, and whether it is an inflow that does."""
+    spend = (F.col("amount") < 0) & (F.col("economic_class") == "household_spend") & F.col("category").isin(*categories)
+    received = (F.col("amount") > 0) & (F.col("economic_class") == "reimbursement_pass_through") & F.col("subcategory").isin(*reimbursements)
+    return spend, received
+
+
+def _business_sums(spend: Column, received: Column) -> list[Column]:
+    return [_sum(F.when(spend, -F.col("amount"))).alias("business_spend"), _sum(F.when(received, F.col("amount"))).alias("business_received")]
+
+
+def aggregate_months(ledger: DataFrame, entity: tuple[str, ...] = (), business: tuple[Column, Column] | None = None) -> DataFrame:
+    """One row a month with each class's amounts routed to its measures: one pass, partial sums before the shuffle.
+
+    business: tests of business spend and of what is received for it; their sums are taken in the same pass.
+    """
     amount, cls = F.col("amount"), F.col("economic_class")
     inflow, outflow = F.greatest(amount, F.lit(0)), F.abs(F.least(amount, F.lit(0)))
     variable = F.col("category").isin(*VARIABLE_INCOME_CATEGORIES) | F.col("subcategory").isin(*VARIABLE_INCOME_SUBCATEGORIES)
@@ -57,23 +71,22 @@ def aggregate_months(ledger: DataFrame, entity: tuple[str, ...] = ()) -> DataFra
             _sum(of("reimbursement_pass_through", inflow)).alias("reimbursements_received"),
             _sum(of("refund", inflow)).alias("refunds"),
             _sum(F.when((cls == "household_spend") & (F.col("category") == UNKNOWN_CARD_CATEGORY), outflow)).alias("unknown_card_spend"),
+            *([] if business is None else _business_sums(*business)),
         )
     )
 
 
-def linked_reimbursements(ledger: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def linked_reimbursements(ledger: DataFrame, links: DataFrame, entity: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(month, cleared) by the outflow's month and (month, used) by the inflow's: links (outflow_id, inflow_id, amount) of expense reimbursements.
 
     Duplicates count here too, as the links name rows.
     """
-    rows = ledger.select("id", "amount", month())
-    out = rows.select(F.col("id").alias("outflow_id"), F.abs("amount").alias("spent"), F.col("month").alias("out_month"))
-    into = rows.select(F.col("id").alias("inflow_id"), F.col("month").alias("in_month"))
-    met = links.join(out, "outflow_id").join(into, "inflow_id").select("out_month", "in_month", F.least("amount", "spent").alias("cleared"))
-    return (
-        met.groupBy(F.col("out_month").alias("month")).agg(_sum(F.col("cleared")).alias("cleared")),
-        met.groupBy(F.col("in_month").alias("month")).agg(_sum(F.col("cleared")).alias("used")),
-    )
+    rows = ledger.select("id", "amount", month(), *entity)
+    out = rows.select(F.col("id").alias("outflow_id"), F.abs("amount").alias("spent"), F.struct(*entity, "month").alias("out_key"))
+    into = rows.select(F.col("id").alias("inflow_id"), F.struct(*entity, "month").alias("in_key"))
+    met = links.join(out, "outflow_id").join(into, "inflow_id").select("out_key", "in_key", F.least("amount", "spent").alias("cleared"))
+    sums = lambda key, name: met.groupBy(key).agg(_sum(F.col("cleared")).alias(name)).select(f"{key}.*", name)
+    return sums("out_key", "cleared"), sums("in_key", "used")
 
 
 def fifo_clearing(months: DataFrame, spend: str, received: str, used: str | None = None, entity: tuple[str, ...] = ()) -> DataFrame:
@@ -94,53 +107,64 @@ def fifo_clearing(months: DataFrame, spend: str, received: str, used: str | None
     return out.withColumn("cleared", cleared.cast(MONEY)).drop("__s", "__r", "__c")
 
 
-def business_months(ledger: DataFrame, links: DataFrame | None = None, categories: tuple[str, ...] = BUSINESS_CATEGORIES, reimbursements: tuple[str, ...] = BUSINESS_REIMBURSEMENTS) -> DataFrame:
+def business_months(ledger: DataFrame, links: DataFrame | None = None, categories: tuple[str, ...] = BUSINESS_CATEGORIES, reimbursements: tuple[str, ...] = BUSINESS_REIMBURSEMENTS, entity: tuple[str, ...] = ()) -> DataFrame:
     """(month, business_spend, business_received): outflows that an employer may pay back and inflows that do, without linked rows."""
-    rows = active(ledger)
+    spend, received = _business(categories, reimbursements)
+    rows = active(ledger).where(spend | received)
     if links is not None:
         ends = links.select(F.explode(F.array("outflow_id", "inflow_id")).alias("id"))
         rows = rows.join(ends, "id", "left_anti")
-    spend = (F.col("amount") < 0) & (F.col("economic_class") == "household_spend") & F.col("category").isin(*categories)
-    received = (F.col("amount") > 0) & (F.col("economic_class") == "reimbursement_pass_through") & F.col("subcategory").isin(*reimbursements)
-    return rows.where(spend | received).groupBy(month()).agg(_sum(F.when(spend, -F.col("amount"))).alias("business_spend"), _sum(F.when(received, F.col("amount"))).alias("business_received"))
+    return rows.groupBy(*entity, month()).agg(*_business_sums(spend, received))
 
 
-def amortization(rules: DataFrame, ledger: DataFrame) -> DataFrame:
+def amortization(rules: DataFrame, ledger: DataFrame, entity: tuple[str, ...] = ()) -> DataFrame:
     """(month, addition, replaced): rules (transaction_id, monthly_amount, start_month, end_month) spread over their months.
 
-    An open end is eleven months after the start. Months beyond the ledger's appear too.
+    An open end is eleven months after the start. Months beyond the ledger's appear too. A rule is of its row's household; with
+    households, one whose row isn't in the ledger is of none and has no months.
     """
+    rows = ledger.select(F.col("id").alias("transaction_id"), month(), F.abs("amount").alias("replaced"), *entity)
+    spread = rules.join(rows.select("transaction_id", *entity), "transaction_id") if entity else rules
     start = F.to_date(F.concat("start_month", F.lit("-01")))
     end = F.coalesce(F.to_date(F.concat("end_month", F.lit("-01"))), F.add_months(start, 11))
-    spread = rules.select(F.explode(F.sequence(start, end, F.expr("interval 1 month"))).alias("day"), "monthly_amount")
-    spread = spread.select(F.date_format("day", "yyyy-MM").alias("month"), F.col("monthly_amount").alias("addition"), F.lit(0).cast(MONEY).alias("replaced"))
-    own = ledger.join(rules.select(F.col("transaction_id").alias("id")), "id").select(month(), F.lit(0).cast(MONEY).alias("addition"), F.abs("amount").alias("replaced"))
-    return spread.union(own).groupBy("month").agg(_sum(F.col("addition")).alias("addition"), _sum(F.col("replaced")).alias("replaced"))
+    spread = spread.select(*entity, F.explode(F.sequence(start, end, F.expr("interval 1 month"))).alias("day"), "monthly_amount")
+    spread = spread.select(*entity, F.date_format("day", "yyyy-MM").alias("month"), F.col("monthly_amount").alias("addition"), F.lit(0).cast(MONEY).alias("replaced"))
+    own = rows.join(rules.select("transaction_id"), "transaction_id").select(*entity, "month", F.lit(0).cast(MONEY).alias("addition"), "replaced")
+    return spread.union(own).groupBy(*entity, "month").agg(_sum(F.col("addition")).alias("addition"), _sum(F.col("replaced")).alias("replaced"))
 
 
-def snapshots(ledger: DataFrame, links: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
-    """The monthly snapshot: linked clearing, then unknown card spend, then business expenses by FIFO, then amortisation."""
-    months = aggregate_months(ledger).join(business_months(ledger, links), "month", "left")
-    if links is not None:
-        cleared, used = linked_reimbursements(ledger, links)
-        months = months.join(cleared, "month", "left").join(used, "month", "left")
+def snapshots(ledger: DataFrame, links: DataFrame | None = None, rules: DataFrame | None = None, entity: tuple[str, ...] = ()) -> DataFrame:
+    """The monthly snapshot: linked clearing, then unknown card spend, then business expenses by FIFO, then amortisation.
+
+    With columns of `entity`, each household has its own months. Without links the ledger is read once.
+    """
+    keys = [*entity, "month"]
+    if links is None:
+        months = aggregate_months(ledger, entity, _business(BUSINESS_CATEGORIES, BUSINESS_REIMBURSEMENTS)).withColumns({"cleared": F.lit(0), "used": F.lit(0)})
     else:
-        months = months.withColumns({"cleared": F.lit(0), "used": F.lit(0)})
+        cleared, used = linked_reimbursements(ledger, links, entity)
+        months = aggregate_months(ledger, entity).join(business_months(ledger, links, entity=entity), keys, "left").join(cleared, keys, "left").join(used, keys, "left")
     zero = lambda *names: {c: F.coalesce(F.col(c), F.lit(0)).cast(MONEY) for c in names}
     months = months.withColumns(zero("cleared", "used", "business_spend", "business_received")).withColumnRenamed("cleared", "linked_cleared")
-    months = fifo_clearing(months, "unknown_card_spend", "reimbursements_received", "used")
+    months = fifo_clearing(months, "unknown_card_spend", "reimbursements_received", "used", entity)
     months = months.withColumn("used", F.col("used") + F.col("payback_used")).withColumnRenamed("cleared", "card_cleared").drop("payback_used")
-    months = fifo_clearing(months, "business_spend", "business_received", "used").withColumnRenamed("cleared", "business_cleared")
+    months = fifo_clearing(months, "business_spend", "business_received", "used", entity).withColumnRenamed("cleared", "business_cleared")
     if rules is not None:
-        months = months.join(amortization(rules, ledger), "month", "full_outer")
+        months = months.join(amortization(rules, ledger, entity), keys, "full_outer")
     else:
         months = months.withColumns({"addition": F.lit(0), "replaced": F.lit(0)})
-    months = months.na.fill(0)
+    months = months.na.fill(0, [c for c in months.columns if c not in keys])
     months = months.withColumn("reimbursements_cleared", F.col("linked_cleared") + F.col("card_cleared") + F.col("business_cleared"))
-    return formulae(months)
+    return formulae(months, entity)
+
+
+def months_of(ledger: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(month): the months that the snapshot has, without its figures."""
+    months = active(ledger).select(month()).distinct()
+    return months if rules is None else months.union(amortization(rules, ledger).select("month")).distinct()
 
 
-def formulae(months: DataFrame) -> DataFrame:
+def formulae(months: DataFrame, entity: tuple[str, ...] = ()) -> DataFrame:
     """Burn, net and rates of each month; the rates are null without income and use the burn before it is cut off at zero."""
     c = F.col
     months = months.withColumn("gross_outflow", c("household_spend") + c("mortgage_total"))
@@ -148,6 +172,7 @@ def formulae(months: DataFrame) -> DataFrame:
     normalized = c("cashflow_burn") - c("replaced") + c("addition")
     rate = lambda x: F.try_divide(x.cast("double"), c("real_income").cast("double"))
     return months.select(
+        *entity,
         "month",
         *[c(m).cast(MONEY).alias(m) for m in MEASURES],
         *[c(m).cast(MONEY).alias(m) for m in ("gross_outflow", "reimbursements_cleared", "cashflow_burn")],

@@ -27,11 +27,11 @@ MAX_ERROR = 1000
 _C1 = "".join(chr(x) for x in range(0x80, 0xA0) if x not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
 _CP1252 = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 #: Parts of a file's name that tell its profile where its header doesn't.
-NAME_HINTS = (("degiro", "broker"), ("ibkr", "broker"), ("ing", "checking"), ("abn", "booked"))
+NAME_HINTS = (("degiro", "broker"), ("ibkr", "activity"), ("ing", "checking"), ("abn", "booked"))
 #: Folder names that tell an account's role.
 FOLDER_ROLES = (("savings", "savings"), ("card", "credit_card"), ("broker", "investment"), ("wallet", "wise"), ("checking", "checking"))
 #: Roles of accounts that nothing else tells, by profile.
-PROFILE_ROLES = {"checking": "checking", "booked": "checking", "wallet": "wise", "charge_card": "credit_card", "broker": "investment"}
+PROFILE_ROLES = {"checking": "checking", "booked": "checking", "wallet": "wise", "charge_card": "credit_card", "broker": "investment", "activity": "investment"}
 
 
 @dataclass(frozen=True)

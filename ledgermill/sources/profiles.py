@@ -119,6 +119,19 @@ def _broker(columns: list[str]) -> dict[str, Column]:
     return {"account": F.lit("broker"), "txn_date": t.parse_date(x["day"]), "amount": t.parse_amount(x["amount"]), "currency": F.coalesce(x["currency"], F.lit("EUR")), "description": x["name"], "reference": x["reference"]}
 
 
+def _activity(columns: list[str]) -> dict[str, Column]:
+    x = _fields(
+        columns,
+        day=("date", "datum", "reportdate", "trade_date"), amount=("amount", "cash", "proceeds", "net_amount", "bedrag"), name=("description", "omschrijving", "activity_description"), kind=("type", "activity_type"),
+        symbol=("symbol",), account=("account", "clientaccountid", "accountid"), currency=("currency", "valuta"), reference=("transactionid", "reference"),
+    )
+    said = F.nullif(F.concat_ws(" ", x["name"], x["kind"], x["symbol"]), F.lit(""))
+    return {
+        "account": F.coalesce(x["account"], F.lit("brokerage")), "txn_date": t.parse_date(x["day"]), "booking_date": t.parse_date(x["day"]), "amount": t.parse_amount(x["amount"]), "currency": F.coalesce(x["currency"], F.lit("EUR")),
+        "counterparty_name": F.lit("Brokerage"), "description": F.coalesce(said, F.lit("Brokerage transaction")), "reference": x["reference"],
+    }
+
+
 def _generic(columns: list[str]) -> dict[str, Column]:
     x = _fields(
         columns,
@@ -135,6 +148,7 @@ def _completed(columns: list[str]) -> Column:
 PROFILES = (
     Profile("checking", (frozenset({"af_bij"}), frozenset({"debit_credit"})), _checking),
     Profile("booked", (frozenset({"boekdatum"}), frozenset({"opening_balance", "closing_balance", "transaction_date"})), _booked),
+    Profile("activity", (frozenset({"clientaccountid"}), frozenset({"asset_category"})), _activity),
     Profile("wallet", (frozenset({"direction", "status", "source_currency"}),), _wallet, _completed),
     Profile("charge_card", (frozenset({"kaartlid"}), frozenset({"referentie", "bedrag"})), _charge_card, lambda c: F.try_to_date(F.trim("datum"), "M/d/yyyy").isNotNull()),
     Profile("broker", (frozenset({"change", "change_amount"}), frozenset({"mutatie", "mutatie_amount"})), _broker, lambda c: _broker(c)["amount"].isNotNull()),
