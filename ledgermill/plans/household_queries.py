@@ -75,7 +75,7 @@ g2(household, k, c) AS (SELECT DISTINCT household, 0::BIGINT, 0::{_D} FROM m UNI
 t AS (SELECT household, max(g1.c) AS t1, max(g2.c) AS t2 FROM g1 JOIN g2 USING (household, k) GROUP BY household),
 f AS (SELECT j.*, linked + greatest(0, least(unknown_card_spend, t1 - (s1 - unknown_card_spend))) + greatest(0, least(bs, t2 - (s2 - bs))) AS reimbursements_cleared FROM j JOIN t USING (household)),
 rules AS (SELECT household, CAST(CAST((CAST(-amount * 100 AS BIGINT) * 2 + 12) // 24 AS DECIMAL(16,0)) * CAST(0.01 AS DECIMAL(2,2)) AS DECIMAL(18,2)) AS monthly, date_trunc('month', txn_date) AS d, -amount AS whole FROM h WHERE NOT is_duplicate AND economic_class = 'debt_service'),
-e AS (SELECT household, strftime(d + to_months(CAST(k AS INTEGER)), '%Y-%m') AS month, monthly AS addition, 0 AS replaced FROM rules, range(12) r(k) UNION ALL SELECT household, strftime(d, '%Y-%m'), 0, whole FROM rules),
+e AS (SELECT household, strftime(d + to_months(CAST(k AS INTEGER)), '%Y-%m') AS month, monthly AS addition, 0::DECIMAL(18,2) AS replaced FROM rules, range(12) r(k) UNION ALL SELECT household, strftime(d, '%Y-%m'), 0, whole FROM rules),
 am AS (SELECT household, month, sum(addition) AS addition, sum(replaced) AS replaced FROM e GROUP BY household, month),
 x AS (SELECT household, month, coalesce(real_income, 0) AS real_income, coalesce(variable_income, 0) AS variable_income, coalesce(household_spend, 0) AS household_spend, coalesce(mortgage_total, 0) AS mortgage_total, coalesce(wealth_allocation, 0) AS wealth_allocation,
     coalesce(unknown_card_spend, 0) AS unknown_card_spend, coalesce(reimbursements_received, 0) AS reimbursements_received, coalesce(reimbursements_cleared, 0) AS reimbursements_cleared,
