@@ -20,6 +20,8 @@ BINS, BITS, WORDS = 128, 8, 5
 _BIN_SHIFT = 64 - (BINS - 1).bit_length()
 #: Blocks of neighbouring ids: coarse and fine bounds, FINE of the latter within each of the former.
 COARSE, FINE = 32, 32
+#: Ids that aren't numbers and come to the driver to find bounds; a bound's place is off by some 1 / sqrt(SAMPLE) of a block's rows at most.
+SAMPLE = 32 * COARSE * FINE
 #: Blocks of rows without an id.
 NAMELESS = 256
 
@@ -83,11 +85,31 @@ def fingerprints(docs: DataFrame, text: str = "text", fingerprint: str = "finger
     return docs.withColumn(fingerprint, packed(signature(F.col(text).cast("string"))))
 
 
-def _ordered_number(doc_id: Column, dtype: str) -> Column:
-    """A double that never falls where the id rises: the number itself, or the first six bytes of the id as text."""
-    if dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") or dtype.startswith("decimal"):
-        return doc_id.cast("double")
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(doc_id.cast("string"), "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+def id_blocks(docs: DataFrame, doc_id: str, hashed: Column) -> Column:
+    """The number of a row's block of neighbouring (id, hash), rising with them; rows without an id have negative ones, by hash.
+
+    Bounds are quantiles: of the ids, if these are numbers; else of SAMPLE rows' ids and hashes, chosen by a hash, so ids with a
+    common beginning, or one id that many rows have, are dealt out as any other.
+    """
+    dtype = dict(docs.dtypes)[doc_id]
+    numeric = dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") or dtype.startswith("decimal")
+    if numeric:
+        value = F.col(doc_id).cast("double")
+        ids = docs.select(value.alias("id")).where("id is not null")
+        cuts = ids.approxQuantile("id", [i / (COARSE * FINE) for i in range(1, COARSE * FINE)], 0.0002)
+        bounds = [F.lit(x) for x in sorted(set(cuts)) or [0.0]]
+    else:
+        value = F.struct(F.col(doc_id).cast("string").alias("id"), hashed.alias("hash"))
+        ids = docs.where(F.col(doc_id).isNotNull()).select(value.alias("v")).select("v.*")
+        found = sorted((r["id"], r["hash"]) for r in ids.orderBy(F.xxhash64("id", "hash")).limit(SAMPLE).collect())
+        cuts = sorted({found[i * len(found) // (COARSE * FINE)] for i in range(1, COARSE * FINE)} if found else {("", 0)})
+        bounds = [F.struct(F.lit(x).alias("id"), F.lit(h).cast("long").alias("hash")) for x, h in cuts]
+    groups = [bounds[i : i + FINE] for i in range(0, len(bounds), FINE)]
+    heads, fine = F.array(*[g[0] for g in groups]), F.array(*[F.array(*g) for g in groups])
+    coarse = F.size(F.filter(heads, lambda x: x <= value)) - 1
+    nameless = F.floor((hashed.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * F.lit(NAMELESS)) - F.lit(NAMELESS + 2)
+    block = F.when(F.col(doc_id).isNull(), nameless).when(coarse < 0, -1).otherwise(coarse * FINE + F.size(F.filter(F.get(fine, coarse), lambda x: x <= value)))
+    return block.cast("int")
 
 
 def with_next(docs: DataFrame, doc_id: str, carried: list[str]) -> DataFrame:
@@ -99,21 +121,10 @@ def with_next(docs: DataFrame, doc_id: str, carried: list[str]) -> DataFrame:
     numbers or of any type that is ordered as its text.
     """
     dtype = dict(docs.dtypes)[doc_id]
-    number, order_, block_, place_ = (own_column(docs, x) for x in ("id_number", "id_order", "id_block", "id_place"))
+    order_, block_, place_ = (own_column(docs, x) for x in ("id_order", "id_block", "id_place"))
     hashed = F.xxhash64(*carried)
     order = F.struct(F.col(doc_id).isNotNull().alias("has_id"), F.col(doc_id).alias("id"), hashed.alias("hash"))
-    docs = docs.withColumn(number, _ordered_number(F.col(doc_id), dtype))
-    ids = docs.select(F.col(number).alias("id")).where("id is not null")
-    cuts = ids.approxQuantile("id", [i / (COARSE * FINE) for i in range(1, COARSE * FINE)], 0.0002)
-    cuts = sorted(set(cuts)) if cuts else [0.0]
-    groups = [cuts[i : i + FINE] for i in range(0, len(cuts), FINE)]
-    heads = F.array(*[F.lit(g[0]) for g in groups])
-    fine = F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups])
-    value = F.col(number)
-    coarse = F.size(F.filter(heads, lambda x: x <= value)) - 1
-    nameless = F.floor((hashed.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * F.lit(NAMELESS)) - F.lit(NAMELESS + 2)
-    block = F.when(value.isNull(), nameless).when(coarse < 0, -1).otherwise(coarse * FINE + F.size(F.filter(F.get(fine, coarse), lambda x: x <= value)))
-    dealt = docs.withColumns({order_: order, block_: block.cast("int")})
+    dealt = docs.withColumns({order_: order, block_: id_blocks(docs, doc_id, hashed)})
     tops = {r[0]: (r[1], r[2]) for r in dealt.groupBy(block_).agg(F.max(order_).alias("top")).select(block_, "top.id", "top.hash").collect()}
     names = sorted(tops, reverse=True)  # of blocks, no more than COARSE * FINE + NAMELESS + 2
     before = {b: names[i - 1] for i, b in enumerate(names)}  # the first block follows the last
@@ -127,7 +138,7 @@ def with_next(docs: DataFrame, doc_id: str, carried: list[str]) -> DataFrame:
     placed = dealt.withColumn(place_, F.explode(F.when(is_top, F.array(own, guest)).otherwise(F.array(own))))
     w = Window.partitionBy(f"{place_}.block").orderBy(F.col(f"{place_}.guest").asc(), F.col(order_).desc())
     followed = placed.withColumns({f"next_{c}": F.lead(c).over(w) for c in carried}).where(~F.col(f"{place_}.guest"))
-    return followed.drop(number, order_, block_, place_)
+    return followed.drop(order_, block_, place_)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

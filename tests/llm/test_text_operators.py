@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
+import struct
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -213,3 +217,41 @@ def test_pipeline_stages_keep_columns(spark, docs, empty, sf_dir):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, frame, sf_dir).columns == frame.columns
         assert corpus_pipeline.STAGES[-1][1](spark, frame.withColumn("n_chars", F.lit(0)), sf_dir).count() == frame.count()
+
+
+def plain_signature(text: str) -> list[int]:
+    """The bins of a text, shingle by shingle and bin by bin."""
+    chain = lambda parts: functools.reduce(lambda seed, x: xxhash.xxh64(x, seed=seed).intdigest(), parts, 42)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = [w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
+    shingles = [words[i : i + 5] for i in range(len(words) - 4)] if len(words) >= 5 else [[" ".join(words)]] if words else []
+    hashes = [chain([w.encode() for w in x]) for x in shingles]
+    filled: dict[int, int] = {}
+    for x in hashes:
+        number = x >> fingerprints._BIN_SHIFT
+        filled[number] = min(filled.get(number, x), x)
+    out = []
+    for j in range(fingerprints.BINS if filled else 0):
+        rank = lambda b: (signed(chain([struct.pack("<q", b), struct.pack("<i", j)])), signed(filled[b]))  # noqa: E731, B023
+        out.append(filled[j if j in filled else min(filled, key=rank)] & (2**fingerprints.BITS - 1))
+    return out
+
+
+def test_fingerprints_against_plain_signature(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefé漢") * rng.randint(1, 4) for _ in range(n)) for n in (0, 1, 4, 5, 6, 30, 200, 3000)] + ["A, b; C", "x " * 500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["bins"] for r in rows.select("doc_id", fingerprints.signature(F.col("text")).alias("bins")).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain_signature(x) for x in texts]
+
+
+def test_text_ids_with_a_common_beginning(spark):
+    """Ids that differ in their last characters only fall into many small blocks, one id of a third of the rows too, and the next rows are those of one sort."""
+    ids = [f"document-number-{i:06d}" for i in range(2000)] + ["document-number-000700"] * 1000
+    rows = spark.createDataFrame([(x, f"text {i}") for i, x in enumerate(ids)], "doc_id string, text string").repartition(5)
+    hashed = F.xxhash64("text")
+    sizes = [r["count"] for r in rows.groupBy(fingerprints.id_blocks(rows, "doc_id", hashed).alias("block")).count().collect()]
+    assert len(sizes) > 500 and max(sizes) <= 30
+    keyed = sorted(((r["doc_id"], r["h"], r["text"]) for r in rows.withColumn("h", hashed).collect()), reverse=True)
+    follows = {(a[0], a[2]): b[2] for a, b in zip(keyed, keyed[1:] + keyed[:1])}
+    assert {(r["doc_id"], r["text"]): r["next_text"] for r in fingerprints.with_next(rows, "doc_id", ["text"]).collect()} == follows
