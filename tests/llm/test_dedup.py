@@ -167,6 +167,33 @@ def test_lines_with_one_letter_changed(spark):
     assert {r["doc_id"] for r in line_dedup.repeated_lines(frame).collect()} == set(range(1, 400, 2))
 
 
+@pytest.mark.parametrize("words, edits_", [(8, 2), (12, 2), (24, 4), (50, 8)])
+def test_lines_with_letters_changed_in_several_words(spark, words, edits_):
+    """Letters changed in different words: nine of ten such pairs, all of edit similarity 0.9, are found."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(100):
+        line = [rng.choice("bdfgklmnprst") + "".join(rng.choice("aeioubdklmnrst") for _ in range(rng.randint(2, 8))) for _ in range(words)]
+        changed = list(line)
+        for at in rng.sample(range(words), edits_):
+            i = rng.randrange(len(line[at]))
+            changed[at] = line[at][:i] + "q" + line[at][i + 1 :]
+        a, b = " ".join(line), " ".join(changed)
+        assert distance(a, b) <= (1 - line_dedup.SIMILARITY) * len(a)
+        texts += [a, b]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in line_dedup.repeated_lines(frame).collect()}
+    assert got <= set(range(1, 200, 2)) and len(got) >= 90
+
+
+def test_lines_that_repeat_one_word_do_not_meet(spark):
+    """A word that has most of a run doesn't make blocks of lines that share nothing else."""
+    rows, hashes, first, _ = line_dedup._normal(pa.array([f"{x} die die die die {y} die die die die {z} {x}{y} {y}{z} {z}{x}" for x, y, z in (("alpha", "beta", "gamma"), ("one", "two", "three"))]))
+    line, key = line_dedup.line_blocks(hashes, first)
+    shared = set(key[line == 0].tolist()) & set(key[line == 1].tolist())
+    assert len(rows) == 2 and len(shared) == 0
+
+
 def test_lines_odd_cases(docs, empty, texts):
     done = line_dedup.drop_repeated_lines(docs, counts=("n_lines", "n_removed"))
     assert done.columns == [*docs.columns, "n_lines", "n_removed"]
