@@ -23,14 +23,15 @@ def cents(amount: str = "amount") -> Column:
 def transfer_candidates(ledger: DataFrame, days: int = 3, carried: str | None = None) -> DataFrame:
     """(left_id, right_id, days, amount): equal amounts of opposite sign on two accounts within so many days.
 
-    Each left row looks up the days around its own, so the join is on (cents, day) alone; the sides are inflows and outflows. A carried
-    column is given as a for the inflow and b for the outflow.
+    The join is on cents and a span of 2 * days + 1 days: a row's days around its own are in two spans at most, so a row is there once or twice however many days there are.
+    The sides are inflows and outflows. A carried column is given as a for the inflow and b for the outflow.
     """
     more = [carried] if carried else []
+    span = lambda day: F.floor(F.unix_date(day) / (2 * days + 1))
     rows = ledger.where("amount is not null and txn_date is not null").select("id", "account_id", "txn_date", "amount", *more, cents().alias("cents"))
-    left = rows.where("amount > 0").withColumn("day", F.explode(F.sequence(F.date_sub("txn_date", days), F.date_add("txn_date", days))))
-    right = rows.where("amount < 0").select(F.col("id").alias("r_id"), F.col("account_id").alias("r_account"), F.col("txn_date").alias("day"), *[F.col(c).alias("b") for c in more], "cents")
-    met = left.join(right, ["cents", "day"]).where("account_id <> r_account")
+    left = rows.where("amount > 0").withColumn("span", F.explode(F.sequence(span(F.date_sub("txn_date", days)), span(F.date_add("txn_date", days)))))
+    right = rows.where("amount < 0").select(F.col("id").alias("r_id"), F.col("account_id").alias("r_account"), F.col("txn_date").alias("day"), *[F.col(c).alias("b") for c in more], "cents", span(F.col("txn_date")).alias("span"))
+    met = left.join(right, ["cents", "span"]).where((F.col("account_id") != F.col("r_account")) & (F.abs(F.datediff("txn_date", "day")) <= days))
     return met.select(F.least("id", "r_id").alias("left_id"), F.greatest("id", "r_id").alias("right_id"), F.abs(F.datediff("txn_date", "day")).alias("days"), F.col("amount").cast(MONEY).alias("amount"), *[F.col(c).alias("a") for c in more], *["b" for _ in more])
 
 

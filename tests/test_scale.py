@@ -10,7 +10,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from ledgermill.functions import ranges
-from ledgermill.operators import cascade
+from ledgermill.operators import cascade, detect, matching, reviews, rules
 
 DAY = dt.date(2026, 1, 1)
 
@@ -52,3 +52,17 @@ def test_refunds_of_one_word_and_month_are_no_product(spark):
     began = time.time()
     assert cascade.refund_rows(texts).agg(F.count("*"), F.min("outflow_id"), F.max("outflow_id")).collect()[0][:] == (n, n, n)
     assert time.time() - began < 120  # by pairs, 3.6 billion
+
+
+def plain_ledger(spark, rows):
+    return spark.createDataFrame([(i, a, DAY + dt.timedelta(d), Decimal(x) / 100) for i, a, d, x in rows], "id long, account_id long, txn_date date, amount decimal(18,2)")
+
+
+def test_candidates_of_many_days_do_not_multiply_rows(spark):
+    """A row is joined under two spans at most, whatever the number of days."""
+    rows = plain_ledger(spark, [(1, 1, 0, 500), (2, 2, 390, -500), (3, 2, 401, -500), (4, 3, -400, -500)])
+    assert {(r["left_id"], r["right_id"], r["days"]) for r in matching.transfer_candidates(rows, 400).collect()} == {(1, 2, 390), (1, 4, 400)}
+    wide = spark.range(200_000).select("id", "id", F.col("id").alias("account_id"), F.lit(DAY).alias("txn_date"), (F.col("id") + 1).cast("decimal(18,2)").alias("amount")).drop("id").withColumn("id", F.col("account_id"))
+    began = time.time()
+    assert matching.transfer_candidates(wide, 100_000).isEmpty()
+    assert time.time() - began < 120  # by days, 40 billion rows
