@@ -7,6 +7,7 @@ what taking edges one by one in order of their rank gives. Each round's edges ar
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from ..functions.joins import MOST_BROADCAST
 from ..functions.storage import cut
 
 MONEY = "decimal(18,2)"
+#: Rows of one call that pairs equal amounts.
+TASK_ROWS = 20_000
 
 
 def cents(amount: str = "amount") -> Column:
@@ -58,8 +61,72 @@ def one_sided_pairs(edges: DataFrame, chooser: str, chosen: str, preference: lis
 
 def transfer_pairs(ledger: DataFrame, days: int = 3) -> DataFrame:
     """Transfers one to one: the closest day first, then the largest amount, then the least ids. No transaction stands in two pairs."""
-    edges = transfer_candidates(ledger, days).withColumn("falling", -F.col("amount"))
-    return both_ends_pairs(edges, ["days", "falling"]).drop("falling")
+    return equal_amount_pairs(ledger.withColumn("kind", F.lit(0)), [[0]], days).drop("rank")
+
+
+class _Free:
+    """Rows of one day, side and kind in order of id, of which some are taken: the first that is free, and the first of another account than that one's. Both only move on."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.first = self.other = 0
+
+    def least(self, account, taken: set) -> tuple | None:
+        rows = self.rows
+        while self.first < len(rows) and rows[self.first][0] in taken:
+            self.first += 1
+        if self.first == len(rows) or rows[self.first][1] != account:
+            return rows[self.first] if self.first < len(rows) else None
+        self.other = max(self.other, self.first + 1)
+        while self.other < len(rows) and (rows[self.other][0] in taken or rows[self.other][1] == account):
+            self.other += 1
+        return rows[self.other] if self.other < len(rows) else None
+
+
+def _paired(rows: list[tuple], ranks: list[list[int | None]], days: int):
+    """One-by-one choice among rows (id, account, day, inflow, kind) of one amount: ids ascend, each takes the least free one that fits; first at equal days, then one day apart, and so on."""
+    taken: set = set()
+    order = sorted({x for r in ranks for x in r if x is not None})
+    rows.sort(key=lambda x: x[0])
+    for gap in range(days + 1):
+        for rank in order:
+            free: dict[tuple, _Free] = {}
+            rows = [x for x in rows if x[0] not in taken]
+            for x in rows:
+                free.setdefault((x[2], x[3], x[4]), _Free()).rows.append(x)
+            for x in rows:
+                if x[0] in taken:
+                    continue
+                kinds = [k for k in range(len(ranks)) if (ranks[x[4]][k] if x[3] else ranks[k][x[4]]) == rank]
+                places = [free[p] for d in {x[2] - gap, x[2] + gap} for k in kinds if (p := (d, not x[3], k)) in free]
+                if found := [y for place in places if (y := place.least(x[1], taken)) is not None]:
+                    y = min(found)
+                    taken |= {x[0], y[0]}
+                    yield min(x[0], y[0]), max(x[0], y[0]), gap, rank
+
+
+def equal_amount_pairs(ledger: DataFrame, ranks: list[list[int | None]], days: int) -> DataFrame:
+    """(left_id, right_id, days, rank, amount): inflows and outflows of one amount, two accounts and at most so many days apart, one to one by (days, rank, falling amount, ids).
+
+    Rows have a `kind` from 0; ranks[a][b] is the rank of an inflow of kind a with an outflow of kind b, null if they are no pair. Pairs are never listed before they are chosen: no pair
+    joins two amounts, nor two runs of days with more than `days` between them, so each such run is gone through in order of ids, and a run costs about as much as it has rows.
+    """
+    rows = ledger.where("amount <> 0 and txn_date is not null and account_id is not null").select("id", "account_id", F.unix_date("txn_date").alias("day"), (F.col("amount") > 0).alias("inflow"), "kind", cents().alias("cents"))
+    on = rows.groupBy("cents", "day").agg(F.bool_or("inflow").alias("has_in"), F.bool_or(~F.col("inflow")).alias("has_out"))
+    by = Window.partitionBy("cents").orderBy("day")
+    runs = on.withColumn("new", F.coalesce((F.col("day") - F.lag("day").over(by) > days).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(by))
+    both = runs.groupBy("cents", "run").agg(F.bool_or("has_in").alias("i"), F.bool_or("has_out").alias("o")).where("i and o").select("cents", "run")
+    rows = cut(rows.join(runs.select("cents", "day", "run").join(both, ["cents", "run"]), ["cents", "day"]))
+    share = F.pmod(F.xxhash64("cents", "run"), F.lit(max(1, rows.count() // TASK_ROWS)))  # many runs go to one call
+
+    def choose(frame):
+        groups: dict[tuple, list[tuple]] = {}
+        for c, r, *x in zip(*(frame[n].tolist() for n in ("cents", "run", "id", "account_id", "day", "inflow", "kind"))):
+            groups.setdefault((c, r), []).append(tuple(x))
+        return pd.DataFrame([(*p, c) for (c, _), mine in groups.items() for p in _paired(mine, ranks, days)], columns=["left_id", "right_id", "days", "rank", "cents"])
+
+    pairs = cut(rows.groupBy(share.alias("share")).applyInPandas(choose, "left_id long, right_id long, days int, rank int, cents long"))
+    return pairs.select("left_id", "right_id", "days", "rank", (F.col("cents").cast("decimal(20,0)") / 100).cast(MONEY).alias("amount"))
 
 
 def both_ends_pairs(edges: DataFrame, rank: list[str]) -> DataFrame:

@@ -66,3 +66,31 @@ def test_candidates_of_many_days_do_not_multiply_rows(spark):
     began = time.time()
     assert matching.transfer_candidates(wide, 100_000).isEmpty()
     assert time.time() - began < 120  # by days, 40 billion rows
+
+
+def test_transfers_equal_one_by_one_choice(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.randint(0, 2), rng.randint(0, 40), rng.choice([-1, 1]) * rng.randint(1, 4)) for i in rng.sample(range(9000), 400)]
+    kinds = {r[0]: rng.randint(0, 2) for r in rows}
+    ranks = [[0, 1, None], [1, 0, 1], [None, 1, 0]]
+    edges = []
+    for i, a, d, x in rows:
+        for j, b, e, y in rows:
+            if x > 0 and x == -y and a != b and abs(d - e) <= 3 and ranks[kinds[i]][kinds[j]] is not None:
+                edges.append((abs(d - e), ranks[kinds[i]][kinds[j]], -x, min(i, j), max(i, j)))
+    want, used = set(), set()
+    for gap, rank, _, i, j in sorted(edges):
+        if not {i, j} & used:
+            used |= {i, j}
+            want.add((i, j, gap, rank))
+    kind = F.element_at(F.create_map(*[F.lit(v) for kv in kinds.items() for v in kv]), F.col("id").cast("int"))
+    got = matching.equal_amount_pairs(plain_ledger(spark, rows).withColumn("kind", kind), ranks, 3)
+    assert {tuple(r)[:4] for r in got.collect()} == want
+
+
+def test_transfers_of_one_amount_and_day_are_no_product(spark):
+    n = 20_000
+    rows = spark.range(2 * n).select("id", (F.col("id") % 2).alias("account_id"), F.lit(DAY).alias("txn_date"), F.when(F.col("id") < n, -5).otherwise(5).cast("decimal(18,2)").alias("amount"))
+    began = time.time()
+    assert matching.transfer_pairs(rows).agg(F.count("*"), F.countDistinct("left_id")).collect()[0][:] == (n, n)
+    assert time.time() - began < 120
