@@ -7,6 +7,9 @@ what taking edges one by one in order of their rank gives. Each round's edges ar
 
 from __future__ import annotations
 
+import heapq
+from functools import partial
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +20,8 @@ from ..functions.storage import cut
 MONEY = "decimal(18,2)"
 #: Rows of one call that pairs equal amounts.
 TASK_ROWS = 20_000
+#: Blocks in which card settlements are bid for: bits of the cents and of the days.
+BLOCK_CENTS, BLOCK_DAYS = 6, 6
 
 
 def cents(amount: str = "amount") -> Column:
@@ -162,10 +167,87 @@ def settlement_candidates(bank: DataFrame, card: DataFrame, days: int = 7) -> Da
     return met.where(gap <= days).select("bank_id", "card_id", gap.alias("gap"), "bank_date", "card_date")
 
 
+def _bids(banks: list[tuple], cards: dict[tuple, tuple[list, list]], days: int, mine) -> None:
+    """Deferred acceptance of bank rows (day, id, cents) in this order; cards has by (cents, day) the ids, ascending, and who holds them. One who loses a card bids on if it is `mine`.
+
+    Bidders only rise, so what an earlier one holds is gone for good, and the first card of a list that may still be had only moves on.
+    """
+    heapq.heapify(banks)
+    at = dict.fromkeys(cards, 0)
+    while banks:
+        who = heapq.heappop(banks)
+        for day in sorted(range(who[0] - days, who[0] + days + 1), key=lambda d: (abs(d - who[0]), d)):
+            found = None
+            for key in ((who[2] + x, day) for x in (-1, 0, 1)):
+                if key not in cards:
+                    continue
+                (ids, held), i = cards[key], at[key]
+                while i < len(ids) and held[i] is not None and held[i] < who:
+                    i += 1
+                at[key] = i
+                if i < len(ids) and (found is None or ids[i] < found[0]):
+                    found = ids[i], held, i
+            if found:
+                _, held, i = found
+                before, held[i] = held[i], who
+                if before is not None and mine(before):
+                    heapq.heappush(banks, before)
+                break
+
+
 def settlement_pairs(bank: DataFrame, card: DataFrame, days: int = 7) -> DataFrame:
-    """Each bank row, by (date, id), takes the closest free card row; ties by the card row's (date, id)."""
-    edges = settlement_candidates(bank, card, days)
-    return one_sided_pairs(edges, "bank_id", "card_id", ["gap", "card_date"], ["bank_date"]).select("bank_id", "card_id", "gap")
+    """Each bank row, by (date, id), takes the closest free card row; ties by the card row's (date, id).
+
+    Deferred acceptance gives this in whatever order bids come. So blocks of cents and days, with the cards just outside them, each go through all their own bids; then a card of several blocks
+    stays with its earliest bidder, and who lost it bids on in the next round, whose blocks begin half a block further on. No pair is listed before it is chosen, and a round costs about as much as there are rows.
+    """
+    side = lambda value, bits: F.shiftright(value + (moved << bits - 1), bits)
+    mine = lambda who, at, moved: (who[2] + (moved << BLOCK_CENTS - 1) >> BLOCK_CENTS, who[0] + (moved << BLOCK_DAYS - 1) >> BLOCK_DAYS) == at
+    rows = lambda frame: frame.where("txn_date is not null").select("id", F.unix_date("txn_date").cast("long").alias("day"), cents().alias("cents"))
+    who = "struct<day:bigint,id:bigint,cents:bigint>"
+    cards = cut(rows(card.where("amount > 0")).withColumn("held", F.lit(None).cast(who)))
+    spread = lambda c: c.withColumn("x", F.explode(F.sequence(*[side(F.col("cents") + e, BLOCK_CENTS) for e in (-1, 1)]))).withColumn("y", F.explode(F.sequence(*[side(F.col("day") + e, BLOCK_DAYS) for e in (-days, days)])))
+    placed = lambda b: b.select("id", "day", "cents", side(F.col("cents"), BLOCK_CENTS).alias("x"), side(F.col("day"), BLOCK_DAYS).alias("y"))
+    moved = 0
+    free = cut(placed(rows(bank.where("amount < 0"))).join(spread(cards).select("x", "y").distinct(), ["x", "y"], "left_semi"))
+    n_cards = cards.count()
+
+    def settle(frame, moved):
+        blocks: dict[tuple, tuple[list, dict]] = {}
+        for x, y, is_card, i, day, c, has, *held in zip(*(frame[n].tolist() for n in ("x", "y", "is_card", "id", "day", "cents", "has", "h_day", "h_id", "h_cents"))):
+            banks, own = blocks.setdefault((x, y), ([], {}))
+            if is_card:
+                own.setdefault((c, day), []).append((i, tuple(held) if has else None))
+            else:
+                banks.append((day, i, c))
+        out = []
+        for at, (banks, own) in blocks.items():
+            lists = {k: tuple(map(list, zip(*sorted(v, key=lambda x: x[0])))) for k, v in own.items()}
+            before = {k: list(held) for k, (_, held) in lists.items()}
+            _bids(banks, lists, days, lambda w: mine(w, at, moved))  # noqa: B023
+            for k, (ids, held) in lists.items():
+                for i, old, new in zip(ids, before[k], held):
+                    if new is not None:
+                        out.append((i, *new, new != old, old is not None and mine(old, at, moved)))
+        return pd.DataFrame(out, columns=["id", "n_day", "n_id", "n_cents", "changed", "old_here"])
+
+    while (n_free := free.count()) > 0:
+        there = spread(cards).join(free.select("x", "y").distinct(), ["x", "y"], "left_semi")
+        h = lambda n: F.coalesce(F.col(f"held.{n}"), F.lit(0).cast("long")).alias(f"h_{n}")
+        both = there.select("x", "y", F.lit(True).alias("is_card"), "id", "day", "cents", F.col("held").isNotNull().alias("has"), h("day"), h("id"), h("cents"))
+        zero = F.lit(0).cast("long")
+        both = both.unionByName(free.select("x", "y", F.lit(False).alias("is_card"), "id", "day", "cents", F.lit(False).alias("has"), *[zero.alias(f"h_{n}") for n in ("day", "id", "cents")]))
+        share = F.pmod(F.xxhash64("x", "y"), F.lit(max(1, (n_free + n_cards) // TASK_ROWS)))  # many blocks go to one call
+        new = both.groupBy(share.alias("share")).applyInPandas(partial(settle, moved=moved), "id long, n_day long, n_id long, n_cents long, changed boolean, old_here boolean")
+        bid = F.struct(F.col("n_day").alias("day"), F.col("n_id").alias("id"), F.col("n_cents").alias("cents"))
+        # Who held a card before is followed by its own block: there it bids on, or still holds it.
+        best = new.groupBy("id").agg(F.min(bid).alias("best"), F.collect_set(F.when(F.col("changed") | F.col("old_here"), bid)).alias("bids"), F.bool_or("old_here").alias("followed"))
+        joined = cards.join(best, "id", "left")
+        lost = F.filter(F.coalesce(F.when(F.col("followed") | F.col("held").isNull(), F.col("bids")).otherwise(F.array_append("bids", F.col("held"))), F.array().cast(f"array<{who}>")), lambda x: x != F.col("best"))
+        state = cut(joined.select("id", "day", "cents", F.coalesce("best", "held").alias("held"), F.array_distinct(lost).alias("lost")))
+        cards, moved = state.drop("lost"), 1 - moved
+        free = cut(placed(state.select(F.explode("lost").alias("w")).select("w.*")))
+    return cards.where("held is not null").select(F.col("held.id").alias("bank_id"), F.col("id").alias("card_id"), F.abs(F.col("day") - F.col("held.day")).cast("int").alias("gap"))
 
 
 def _months_back(date: Column, days: int) -> Column:
