@@ -62,11 +62,16 @@ def recurring_debits(ledger: DataFrame, by: list[str], bucket: float = 10.0, occ
     size = F.abs("amount")
     rows = ledger.where("amount < 0").select(*by, "txn_date", "id", size.cast(MONEY).alias("size"), (F.bround(size.cast("double") / bucket) * bucket).cast("long").alias("bucket"))
     keys = [*by, "bucket"]
-    w, whole = Window.partitionBy(*keys).orderBy("txn_date", "id"), Window.partitionBy(*keys)
-    marked = rows.withColumns({"days": F.datediff("txn_date", F.lag("txn_date").over(w)), "total": F.sum("size").over(whole).cast(MONEY), "many": F.count("*").over(whole).cast("decimal(9,0)")})
-    n = F.count("*")
-    deviation = F.abs(F.col("size") * F.col("many") - F.col("total"))
-    groups = marked.groupBy(*keys).agg(n.alias("n"), (F.max("total").cast("double") / n).alias("mean"), (F.sum(deviation).cast("double") / (n * n)).alias("mad"), F.count_if(F.col("days").between(*gap)).alias("n_regular"))
+    sizes = rows.groupBy(*keys, "size").agg(F.count("*").alias("k"))
+    totals = sizes.groupBy(*keys).agg(F.sum(F.col("size") * F.col("k")).cast(MONEY).alias("total"), F.sum("k").alias("n"))
+    deviation = F.abs(F.col("size") * F.col("n").cast("decimal(9,0)") - F.col("total"))
+    off = sizes.join(totals, keys).groupBy(*keys).agg((F.sum(deviation * F.col("k").cast("decimal(9,0)"))).cast("double").alias("off"))
+    # Rows of a day come no days after each other, so a group's days are ordered, not its rows.
+    days = rows.groupBy(*keys, "txn_date").agg(F.count("*").alias("k")).withColumn("days", F.datediff("txn_date", F.lag("txn_date").over(Window.partitionBy(*keys).orderBy("txn_date"))))
+    same_day = F.sum(F.col("k") - 1) if gap[0] <= 0 <= gap[1] else F.lit(0)
+    gaps = days.groupBy(*keys).agg((F.count_if(F.col("days").between(*gap)) + same_day).alias("n_regular"))
+    n = F.col("n")
+    groups = totals.join(off, keys).join(gaps, keys).select(*keys, "n", (F.col("total").cast("double") / n).alias("mean"), (F.col("off") / (n * n)).alias("mad"), "n_regular")
     return groups.where((F.col("n") >= occurrences) & (F.col("mad") <= F.col("mean") * deviation_limit) & (F.col("n_regular") >= F.greatest(F.lit(least_gaps), F.col("n") - 2)))
 
 

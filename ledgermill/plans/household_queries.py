@@ -158,7 +158,7 @@ def _bucket_totals_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 def standing_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine monthly debits of each customer, by creditor or by counterparty; those of each third customer vary too much, each fifth one's come every other week."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
-    rows = c.select(k, F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i"))
+    rows = c.select(k).repartition(k).select(k, F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i"))  # a small file is one task, its rows nine times as many
     day = F.date_add(F.lit("1995-01-03").cast("date"), (k % 20).cast("int") + F.col("i") * F.when(k % 5 == 0, 14).otherwise(30))
     amount = ((k % 90 + 5) * 10 + F.when((k % 3 == 0) & (F.col("i") % 2 == 0), 4).otherwise(0)).cast("decimal(18,2)")
     none = F.lit(None).cast("string")

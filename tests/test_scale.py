@@ -129,3 +129,13 @@ def test_best_inflows_equal_all_pairs(spark):
     l = plain_ledger(spark, rows).withColumn("is_duplicate", F.lit(False))
     notes = l.select("id", F.when(F.col("id") % 5 == 0, "internal_transfer").when(F.col("id") % 5 == 1, F.lit(None)).otherwise("income").alias("economic_class"))
     assert {r["to_id"]: r["from_id"] for r in reviews.best_inflows(l, l.select("id"), notes).collect()} == want
+
+
+def test_regular_debits_count_days_and_rows(spark):
+    """Gaps are between rows, so further rows of a day have none; a gap of no days may be asked for."""
+    rows = plain_ledger(spark, [(i, 1, d, -1000) for i, d in enumerate([0, 30, 60, 60, 90, 120, 150, 150])])
+    first = detect.recurring_debits(rows, ["account_id"], occurrences=6).collect()
+    assert [(r["n"], r["n_regular"], r["mad"]) for r in first] == []  # five gaps in range of eight rows
+    assert [(r["n"], r["n_regular"]) for r in detect.recurring_debits(rows, ["account_id"], gap=(0, 45)).collect()] == [(8, 7)]
+    plan = detect.recurring_debits(rows, ["account_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "id#" not in "".join(x for x in plan.splitlines() if "Window" in x).replace("account_id#", "")
