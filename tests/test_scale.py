@@ -139,3 +139,12 @@ def test_regular_debits_count_days_and_rows(spark):
     assert [(r["n"], r["n_regular"]) for r in detect.recurring_debits(rows, ["account_id"], gap=(0, 45)).collect()] == [(8, 7)]
     plan = detect.recurring_debits(rows, ["account_id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "id#" not in "".join(x for x in plan.splitlines() if "Window" in x).replace("account_id#", "")
+
+
+def test_rules_that_ask_for_the_same_count_once(spark):
+    said = "'x' as economic_class", "cast(rule_id as string) as category", "0.9D as confidence"
+    made = spark.range(3000).selectExpr("id + 1 as rule_id", "20 as priority", "'NL1' as direct_debit_id", "cast(id % 300 as double) + 10 as abs_amount", "0.5D as amount_tolerance").selectExpr("*", *said)
+    kept = rules.distinct_rules(rules.scoped(made))
+    assert kept.agg(F.count("*"), F.max("said.rule_id")).collect()[0][:] == (300, 300)
+    texts = spark.createDataFrame([(i, 1, "checking", Decimal(x) / 100, DAY, None, "NL1", "", "") for i, x in enumerate((1000, -1050, 1051, 1049, 30900, 30951, 950, 949))], "id long, account_id long, account_role string, amount decimal(18,2), txn_date date, counterparty_account_hash string, creditor_id string, merchant_text string, signal_text string")
+    assert {r["id"]: r["rule_id"] for r in rules.apply_rules(texts, made).collect()} == {0: 1, 1: 1, 2: 2, 3: 1, 4: 300, 6: 1}
