@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,25 +83,26 @@ def parse_amount(text: Column, flag: Column | None = None) -> Column:
     flag is a debit or credit word; a debit makes the amount negative. What isn't a number is null.
     """
     raw = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^0-9,.+-]", "")
-    negative = F.startswith(raw, F.lit("-")) | F.endswith(raw, F.lit("-"))
-    digits = F.regexp_replace(raw, r"[+-]", "")
-    comma, dot = F.length(digits) - F.instr(F.reverse(digits), ","), F.length(digits) - F.instr(F.reverse(digits), ".")
-    has_comma, has_dot = F.contains(digits, F.lit(",")), F.contains(digits, F.lit("."))
-    by_comma = F.replace(F.replace(digits, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    by_dot = F.replace(digits, F.lit(","), F.lit(""))
-    number = F.when(has_comma & has_dot, F.when(comma > dot, by_comma).otherwise(by_dot)).when(has_comma, by_comma).otherwise(digits)
-    value = number.try_cast("decimal(18,2)")
-    value = F.when(negative, -value).otherwise(value)
+    minus = F.regexp_like(raw, F.lit("^-|-$"))
     if flag is not None:
-        debit = F.lower(F.trim(F.coalesce(flag, F.lit("")))).isin(*DEBIT_WORDS)
-        value = F.when(debit, -F.abs(value)).otherwise(value)
-    return value.cast("decimal(18,2)")
+        minus = F.lower(F.trim(F.coalesce(flag, F.lit("")))).isin(*DEBIT_WORDS) | minus
+    # The last separator is a comma: that is decimal. Few copies of the text, as each is computed.
+    number = F.when(F.regexp_like(raw, F.lit(",[^.]*$")), F.translate(raw, ",.+-", ".")).otherwise(F.translate(raw, ",+-", ""))
+    return F.concat(F.when(minus, "-").otherwise(""), F.nullif(number, F.lit(""))).try_cast("decimal(18,2)")
+
+
+def date_shape(pattern: str) -> str:
+    """What each text that a date pattern reads looks like: digits, at least four for a year, and the pattern's separators."""
+    parts = re.findall(r"(y+|M+|d+)|(.)", pattern)
+    if not any(sep for _, sep in parts):
+        return r"^[+-]?[0-9]+$"
+    return "^" + "".join(re.escape(sep) if sep else r"[+-]?[0-9]{4,}" if "y" in run else r"[+-]?[0-9]+" for run, sep in parts) + "$"
 
 
 def parse_date(text: Column, patterns: tuple[str, ...] = DATE_PATTERNS) -> Column:
-    """The date by the first pattern that fits; null if none does."""
+    """The date by the first pattern that fits; null if none does. Texts of another shape aren't tried, as each failure is an exception inside."""
     head = F.substring(F.trim(text), 1, 10)
-    return F.coalesce(*[F.try_to_date(head, p) for p in patterns])
+    return F.coalesce(*[F.when(F.regexp_like(head, F.lit(date_shape(p))), F.try_to_date(head, p)) for p in patterns])
 
 
 def month_day(text: Column, year: Column, last_month: Column | None = None) -> Column:

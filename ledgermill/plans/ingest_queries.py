@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import shared_folder
+from ..functions.storage import cut, shared_folder
 from ..sources import batches, ingest
 from ..sources.tables import table
 from .ledger_queries import plain
@@ -150,7 +150,7 @@ FROM o ASOF LEFT JOIN r ON o.currency = r.currency AND o.d >= r.rate_date"""
 def in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transactions of two batches, the first exports and all others; before each a try was broken off, and each is offered twice."""
     folder = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
-    files = export_files(spark, sf_dir)
+    files = cut(export_files(spark, sf_dir))
     for part in (files.where("path like 'in/checking/%'"), files.where("path not like 'in/checking/%'")):
         name = batches.batch_name(part)
         made = ingest.import_files(part, *[batches.read(spark, folder, t) for t in ("files", "accounts", "transactions")])

@@ -7,6 +7,7 @@ choose each one's profile. A file that can't be read fails alone and is a row of
 from __future__ import annotations
 
 import csv
+import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.storage import cut
+from ..functions.storage import cut, short_methods
 from ..operators.matching import asof
 from . import profiles
 
@@ -22,6 +23,8 @@ MONEY = "decimal(18,2)"
 #: Lines of a file whose quotes are followed by one window; the state at their beginning is carried from those before.
 PIECE = 4096
 MAX_LAYOUTS = 10_000
+#: Folders that the lines of layouts are dealt to.
+KINDS = 16
 MAX_ERROR = 1000
 #: The bytes 0x80 to 0x9F of code page 1252, without the five it leaves undefined, and the characters they stand for.
 _C1 = "".join(chr(x) for x in range(0x80, 0xA0) if x not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
@@ -78,18 +81,22 @@ def role_of(path: Column) -> Column:
     return out
 
 
-def file_states(files: DataFrame, imported: DataFrame | None = None) -> DataFrame:
-    """(path, content, file_hash, file_seq, status, role_hint): files in order of path; copies of imported or earlier files are duplicate_file, unknown kinds unsupported."""
-    rows = files.withColumns({"file_hash": F.sha2("content", 256), "role_hint": role_of(F.col("path"))})
+def file_states(files: DataFrame, imported: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(path, content, file_hash) of files, written once, and (path, file_hash, status, role_hint): copies of imported or earlier files (in order of path) are duplicate_file, unknown kinds unsupported.
+
+    Contents stay where they are; states follow from paths and hashes alone.
+    """
+    contents = cut(files.select("path", "content", F.sha2("content", 256).alias("file_hash")))
+    rows = contents.select("path", "file_hash")
     known = F.lit(False)
+    first = rows.groupBy("file_hash").agg(F.min("path").alias("first_path"))
     if imported is not None:
         seen = imported.where("status = 'imported'").select("file_hash", F.lit(True).alias("known")).distinct()
-        rows, known = rows.join(seen, "file_hash", "left"), F.coalesce("known", F.lit(False))
-    first = rows.groupBy("file_hash").agg(F.min("path").alias("first_path"))
+        first, known = first.join(seen, "file_hash", "left"), F.coalesce("known", F.lit(False))
     rows = rows.join(first, "file_hash")
     supported = F.regexp_like(F.lower("path"), F.lit(r"\.(csv|tsv|tab|txt)$"))
     status = F.when(known | (F.col("path") != F.col("first_path")), "duplicate_file").when(~supported, "unsupported").otherwise("pending")
-    return rows.select("path", "content", "file_hash", status.alias("status"), "role_hint")
+    return contents, cut(rows.select("path", "file_hash", status.alias("status"), role_of(F.col("path")).alias("role_hint")))
 
 
 def _leaves_open(text: Column, sep: Column) -> Column:
@@ -131,23 +138,32 @@ def joined_records(lines: DataFrame, piece: int = PIECE) -> DataFrame:
 
 
 def lines_of(files: DataFrame) -> DataFrame:
-    """(path, sep, header, row_number, line): the non-blank records of each file; header is null for headerless ones.
+    """(path, role_hint, named, sep, header, row_number, line, kind): the non-blank records of each file below its header, which is null for headerless ones; kind is a number by layout.
 
-    A record is a line, or more of them where a quoted cell spans lines; only files that have such cells are followed line by line.
+    A record is a line, or more of them where a quoted cell spans lines; only files that have such cells are followed line by line. What a
+    file's lines have in common is found in the file's own row, so no line travels for it.
     """
-    lines = F.transform(F.split(decoded(F.col("content")), "\r\n|\n|\r"), lambda x, i: F.struct((i + 1).alias("row_number"), x.alias("line")))
-    there = F.filter("lines", lambda x: F.trim(x["line"]) != "")
-    rows = files.select("path", lines.alias("lines")).withColumn("there", there).where("size(there) > 0")
+    lines = F.transform(F.split("text", "\r\n|\n|\r"), lambda x, i: F.struct((i + 1).alias("row_number"), x.alias("line")))
+    rows = files.select("path", decoded(F.col("content")).alias("text")).select("path", F.contains("text", F.lit('"')).alias("quoted"), lines.alias("lines"))
+    rows = rows.withColumn("there", F.filter("lines", lambda x: F.trim(x["line"]) != "")).where("size(there) > 0")
     head = F.transform(F.slice("there", 1, 10), lambda x: x["line"])
-    rows = rows.withColumn("sep", delimiter(head)).withColumn("spans", F.exists("lines", lambda x: _leaves_open(x["line"], F.col("sep"))))
-    rows = cut(rows.select("path", "sep", "spans", F.explode(F.when(F.col("spans"), F.col("lines")).otherwise(F.col("there"))).alias("x")).select("path", "sep", "spans", "x.row_number", "x.line"))
-    records = rows.where("not spans").drop("spans")
-    if not rows.where("spans").isEmpty():
-        records = records.unionByName(joined_records(rows.where("spans").drop("spans")).where(F.trim("line") != ""))
-    firsts = records.groupBy("path").agg(F.min(F.struct("row_number", "line")).alias("top")).select("path", F.col("top.line").alias("first"))
+    rows = rows.withColumn("sep", delimiter(head))
+    rows = rows.withColumn("spans", F.col("quoted") & F.exists("lines", lambda x: F.contains(x["line"], F.lit('"')) & _leaves_open(x["line"], F.col("sep"))))
     #: As profiles.headerless, for the whole line.
     bare = (F.col("sep") == "\t") & F.regexp_like("first", F.lit(r"^\s*\d{6,18}\s*\t\s*[A-Za-z]{3}\s*\t\s*\d{8}\s*\t[^\t]*\t[^\t]*\t\s*\d{8}\s*\t\s*-?\d+([,.]\d+)?\s*\t"))
-    return records.join(firsts, "path").select("path", "sep", F.when(~bare, F.col("first")).alias("header"), "row_number", "line")
+    facts = {"role_hint": role_of(F.col("path")), "named": _named_profile(F.col("path")), "kind": F.pmod(F.hash("sep", "header", _named_profile(F.col("path"))), F.lit(KINDS))}
+    rows = rows.withColumn("first", F.get("there", F.lit(0))["line"]).withColumn("header", F.when(~F.col("spans") & ~bare, F.col("first"))).withColumns(facts)
+    body = F.when(F.col("spans"), F.col("lines")).when(F.col("header").isNull(), F.col("there")).otherwise(F.slice("there", F.lit(2), F.size("there")))
+    rows = rows.withColumn("kind", F.when(F.col("spans"), F.lit(-1)).otherwise(F.col("kind")))
+    names = ["path", "role_hint", "named", "sep", "header", "row_number", "line", "kind"]
+    rows = cut(rows.select("path", "role_hint", "named", "sep", "header", F.explode(body).alias("x"), "kind").select(*[f"x.{c}" if c in ("row_number", "line") else c for c in names]), by="kind")
+    spanning = rows.where("kind = -1")
+    if spanning.isEmpty():
+        return rows
+    records = cut(joined_records(spanning.select("path", "sep", "row_number", "line")).where(F.trim("line") != ""))
+    firsts = records.groupBy("path").agg(F.min(F.struct("row_number", "line")).alias("top")).select("path", F.col("top.row_number").alias("first_row"), F.col("top.line").alias("first"))
+    records = records.join(firsts, "path").withColumn("header", F.when(~bare, F.col("first"))).where("header is null or row_number > first_row").withColumns(facts)
+    return rows.where("kind >= 0").unionByName(cut(records.select(*names), by="kind"))
 
 
 def cells(line: Column, sep: str) -> Column:
@@ -155,24 +171,21 @@ def cells(line: Column, sep: str) -> Column:
     found = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(rf'{sep}("[^"]*+(?:""[^"]*+)*+"[^{sep}]*+|[^{sep}]*+)'), 1)
     whole = r'(?s)^"([^"]*+(?:""[^"]*+)*+)"'
     bare = lambda x: F.concat(F.replace(F.regexp_extract(x, whole, 1), F.lit('""'), F.lit('"')), F.regexp_replace(x, whole, ""))
-    return F.transform(found, lambda x: F.when(F.startswith(x, F.lit('"')), bare(x)).otherwise(x))
-
-
-def _layout_rows(lines: DataFrame, sep: str, header: str | None) -> DataFrame:
-    """The cells of one layout's lines as text columns, with __path and __row; overflowing cells join the last column."""
-    names = list(profiles.TAB_HEADER)
-    mine = lines.where((F.col("sep") == sep) & F.col("header").isNull())
-    if header is not None:
-        names = profiles.normalize_headers(next(csv.reader(header.splitlines(keepends=True), delimiter=sep)))
-        first = F.min("row_number").over(Window.partitionBy("path"))
-        mine = lines.where((F.col("sep") == sep) & (F.col("header") == header)).withColumn("first", first).where("row_number > first")
-    width = len(names)
-    row = mine.select("path", "row_number", cells(F.col("line"), sep).alias("c"))
-    cell = lambda i: F.coalesce(F.get("c", F.lit(i)), F.lit(""))
-    more = F.filter(F.transform(F.slice("c", width, F.greatest(F.size("c") - (width - 1), F.lit(0))), lambda x: F.trim(x)), lambda x: x != "")
-    made = [cell(i).alias(names[i]) for i in range(width - 1)] + [F.trim(F.array_join(more, " ")).alias(names[-1])]
-    rows = row.select(F.col("path").alias("__path"), F.col("row_number").alias("__row"), *made)
-    return rows.where(F.coalesce(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in names]).isNotNull())
+    unquoted = F.transform(found, lambda x: F.when(F.startswith(x, F.lit('"')), bare(x)).otherwise(x))
+    return F.when(F.contains(line, F.lit('"')), unquoted).otherwise(F.split(line, sep, -1))
+
+
+def _raw_rows(lines: DataFrame, seps: list[str]) -> DataFrame:
+    """(__path, __row, __role_hint, raw): each line's cells by the names of its layout's columns; overflowing cells join the last column. lines has names."""
+    found = reduce(lambda out, sep: F.when(F.col("sep") == sep, cells(F.col("line"), sep)).otherwise(out), seps, F.lit(None).cast("array<string>"))
+    rows = lines.select("path", "row_number", "role_hint", "names", found.alias("c"), F.size("names").alias("width"), F.regexp_like("line", F.lit('[^ ,;\\t"]')).alias("told"))
+    more = F.filter(F.transform(F.slice("c", F.col("width"), F.greatest(F.size("c") - (F.col("width") - 1), F.lit(0))), lambda x: F.trim(x)), lambda x: x != "")
+    last = F.when(F.size("c") <= F.col("width"), F.trim(F.coalesce(F.get("c", F.col("width") - 1), F.lit("")))).otherwise(F.array_join(more, " "))
+    blank = F.array_repeat(F.lit(""), F.greatest(F.col("width") - 1 - F.size("c"), F.lit(0)))
+    rows = rows.select("path", "row_number", "role_hint", "names", "told", F.concat(F.slice("c", F.lit(1), F.col("width") - 1), blank, F.array(F.trim(last))).alias("values"))
+    # A character other than blanks, separators and quotes stands in a cell; only other lines are looked at by cells.
+    rows = rows.where(F.col("told") | F.exists("values", lambda x: F.trim(x) != ""))
+    return rows.select(F.col("path").alias("__path"), F.col("row_number").alias("__row"), F.col("role_hint").alias("__role_hint"), F.map_from_arrays("names", "values").alias("raw"))
 
 
 def _named_profile(path: Column) -> Column:
@@ -184,25 +197,34 @@ def _named_profile(path: Column) -> Column:
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """Canonical rows of files (path, content), with path and row_number; unreadable dates and amounts are null.
+    """Canonical rows of files (path, content), with path, row_number and role_hint; unreadable dates and amounts are null.
 
-    Lines, the cells of each layout and canonical rows are written to the shared folder, so that each is made once.
+    Lines are written to the shared folder by kinds of layouts; each profile reads those of its layouts once, with all of these at a time.
     """
-    lines = cut(lines_of(files))
-    found = lines.select("sep", "header", _named_profile(F.col("path")).alias("named")).distinct().limit(MAX_LAYOUTS + 1).collect()
+    lines = lines_of(files)
+    found = lines.select("kind", "sep", "header", "named").distinct().limit(MAX_LAYOUTS + 1).collect()
     if len(found) > MAX_LAYOUTS:
         raise ValueError(f"more than {MAX_LAYOUTS} layouts")
-    parts = []
-    for sep, header, named in sorted(((r["sep"], r["header"], r["named"]) for r in found), key=str):
-        rows = cut(_layout_rows(lines.where(_named_profile(F.col("path")) == named), sep, header))
-        profile = profiles.detect_profile([c for c in rows.columns if not c.startswith("__")])
+    layouts: dict[str, list[tuple]] = {}
+    for kind, sep, header, named in found:
+        names = list(profiles.TAB_HEADER)
+        if header is not None:
+            names = profiles.normalize_headers(next(csv.reader(header.splitlines(keepends=True), delimiter=sep)))
+        profile = profiles.detect_profile(names)
         if profile.name == "generic" and named:
-            profile = profiles.detect_profile(rows.columns, named)
-        parts.append(cut(profiles.canonical(rows, profile)))
+            profile = profiles.detect_profile(names, named)
+        layouts.setdefault(profile.name, []).append((kind, sep, header, named, names))
+    spark, parts = files.sparkSession, []
+    for name, own in sorted(layouts.items()):
+        known = [{"l_sep": sep, "l_header": header, "l_named": named, "names": names} for _, sep, header, named, names in own]
+        known = F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(known)), "array<struct<l_sep:string,l_header:string,l_named:string,names:array<string>>>"))))
+        mine = lines.where(F.col("kind").isin(sorted({x[0] for x in own})))
+        mine = mine.join(known, (F.col("sep") == F.col("l_sep")) & F.col("header").eqNullSafe(F.col("l_header")) & (F.col("named") == F.col("l_named")))
+        parts.append(profiles.canonical_maps(_raw_rows(mine, sorted({x[1] for x in own})), profiles.detect_profile([], name), {c for x in own for c in x[4]}))
     if not parts:
-        empty = files.sparkSession.createDataFrame([], "__path string, __row int, x string")
-        parts = [profiles.canonical(empty, profiles.PROFILES[-1])]
-    return reduce(DataFrame.unionByName, parts).withColumnsRenamed({"__path": "path", "__row": "row_number"})
+        empty = spark.createDataFrame([], "__path string, __row int, __role_hint string, raw map<string,string>")
+        parts = [profiles.canonical_maps(empty, profiles.PROFILES[-1], set())]
+    return reduce(DataFrame.unionByName, parts).withColumnsRenamed({"__path": "path", "__row": "row_number", "__role_hint": "role_hint"})
 
 
 def in_euros(rows: DataFrame, rates: DataFrame | None = None) -> DataFrame:
@@ -227,35 +249,44 @@ def import_files(files: DataFrame, imported: DataFrame | None = None, accounts:
     is a duplicate if an earlier file of the batch, or an earlier batch, has one of its fingerprint; repeats inside one file are none. An account's
     role changes only where it was unknown.
     """
-    states = cut(file_states(files, imported))
-    pending = states.where("status = 'pending'").select("path", "content")
-    rows = cut(in_euros(parse(pending).join(states.select("path", "role_hint"), "path"), rates))
+    contents, states = file_states(files, imported)
+    pending = contents.join(states.where("status = 'pending'"), ["path", "file_hash"], "left_semi").select("path", "content")
+    with short_methods(files.sparkSession):
+        rows = cut(parse(pending))
+    rows = in_euros(rows, rates)
     wrong = F.when(F.col("txn_date").isNull(), "no readable date").when(F.col("amount").isNull(), "no readable amount").when(F.col("stored").isNull(), F.concat(F.lit("no rate for "), F.col("currency")))
-    per_file = rows.groupBy("path").agg(F.count("*").alias("n_rows"), F.min(F.when(wrong.isNotNull(), F.struct("row_number", wrong.alias("why")))).alias("bad"))
-    error = F.when(F.col("bad").isNotNull(), F.substring(F.concat(F.lit("row "), F.col("bad.row_number"), F.lit(": "), F.col("bad.why")), 1, MAX_ERROR))
-    listed = states.drop("content").join(per_file, "path", "left").withColumn("error", error)
-    status = F.when(F.col("status") != "pending", F.col("status")).when(F.col("error").isNotNull(), "failed").otherwise("imported")
-    listed = listed.select("path", "file_hash", status.alias("status"), "role_hint", F.when(status == "imported", F.coalesce("n_rows", F.lit(0))).alias("n_rows"), "error")
-    rows = rows.join(per_file.where("bad is null").select("path"), "path", "left_semi")
-
     account = F.coalesce(F.nullif(F.trim("account"), F.lit("")), F.concat(F.col("institution"), F.lit(":unknown")))
     account_id = F.sha2(F.concat_ws("|", "institution", account), 256)
     other = F.when(F.sha2("counterparty_account", 256) != F.sha2(account, 256), F.sha2("counterparty_account", 256))
     merchant = F.coalesce(F.nullif(t.normalize_merchant(F.col("counterparty_name")), F.lit("")), t.normalize_merchant(F.col("description")))
     made = rows.select(
-        "path", "row_number", "institution", account_id.alias("account_id"), account.alias("account_name"), "txn_date", "booking_date", F.col("stored").alias("amount"), F.lit("EUR").alias("currency"), F.when(F.col("stored") >= 0, "inflow").otherwise("outflow").alias("direction"),
+        "path", "row_number", wrong.alias("wrong"), "institution", account_id.alias("account_id"), account.alias("account_name"), "txn_date", "booking_date", F.col("stored").alias("amount"), F.lit("EUR").alias("currency"), F.when(F.col("stored") >= 0, "inflow").otherwise("outflow").alias("direction"),
         "counterparty_name", other.alias("counterparty_account_hash"), "description", merchant.alias("merchant"), "reference",
-        t.fingerprint(account_id, F.col("txn_date"), F.col("stored"), F.lit("EUR"), F.col("counterparty_name"), F.col("description"), F.col("reference")).alias("fingerprint"),
+        F.unhex(t.fingerprint(account_id, F.col("txn_date"), F.col("stored"), F.lit("EUR"), F.col("counterparty_name"), F.col("description"), F.col("reference"))).alias("fingerprint"),
         "role_hint", F.upper(F.coalesce("native_currency", "currency")).alias("native_currency"), F.coalesce("native_amount", "amount").alias("native_amount"), "source_amount", F.upper("source_currency").alias("source_currency"),
         "target_amount", F.upper("target_currency").alias("target_currency"), "exchange_rate", "opening_balance", "closing_balance", "resulting_balance", "raw",
     )
-    firsts = made.groupBy("fingerprint").agg(F.min(F.struct("path", "row_number")).alias("first"))
-    known = F.lit(False)
-    if transactions is not None:
-        seen = transactions.where("not is_duplicate").select("fingerprint", F.lit(True).alias("known")).distinct()
-        firsts, known = firsts.join(seen, "fingerprint", "left"), F.coalesce("known", F.lit(False))
-    made = made.join(firsts, "fingerprint").withColumn("is_duplicate", known | (F.col("path") > F.col("first.path")))
-    made = made.withColumn("duplicate_of", F.when(F.col("is_duplicate") & ~known, F.col("first"))).drop("first", "known")
+    with short_methods(files.sparkSession):
+        made = cut(made)
+    per_file = cut(made.groupBy("path").agg(F.count("*").alias("n_rows"), F.min(F.when(F.col("wrong").isNotNull(), F.struct("row_number", F.col("wrong").alias("why")))).alias("bad")))
+    error = F.when(F.col("bad").isNotNull(), F.substring(F.concat(F.lit("row "), F.col("bad.row_number"), F.lit(": "), F.col("bad.why")), 1, MAX_ERROR))
+    listed = states.join(per_file, "path", "left").withColumn("error", error)
+    status = F.when(F.col("status") != "pending", F.col("status")).when(F.col("error").isNotNull(), "failed").otherwise("imported")
+    listed = listed.select("path", "file_hash", status.alias("status"), "role_hint", F.when(status == "imported", F.coalesce("n_rows", F.lit(0))).alias("n_rows"), "error")
+    # Written, so that its size is known and a few failed files are broadcast.
+    made = made.join(cut(per_file.where("bad is not null").select("path")), "path", "left_anti").drop("wrong")
+
+    # Rows travel once, to what their fingerprint has in several files or earlier batches; that is found by fingerprints alone.
+    firsts = made.groupBy("fingerprint").agg(F.min(F.struct("path", "row_number")).alias("first"), F.max("path").alias("last_path"))
+    if transactions is None:
+        firsts = firsts.withColumn("known", F.lit(False))
+    else:
+        seen = transactions.where("not is_duplicate").select(F.unhex("fingerprint").alias("fingerprint"), F.lit(True).alias("known")).distinct()
+        firsts = firsts.join(seen, "fingerprint", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    several = firsts.where(F.col("known") | (F.col("last_path") > F.col("first.path"))).drop("last_path")
+    known, later = F.coalesce("known", F.lit(False)), F.coalesce(F.col("path") > F.col("first.path"), F.lit(False))
+    made = made.join(several, "fingerprint", "left").withColumn("is_duplicate", known | later)
+    made = made.withColumns({"duplicate_of": F.when(F.col("is_duplicate") & ~known, F.col("first")), "fingerprint": F.lower(F.hex("fingerprint"))}).drop("first", "known")
     made = cut(made)
     details = made.where((F.col("native_currency") != F.col("currency")) | (F.coalesce("source_currency", F.lit("")) != "") & (F.col("source_currency") != F.col("currency")))
     details = details.select("path", "row_number", "native_amount", "native_currency", "source_amount", "source_currency", "target_amount", "target_currency", "exchange_rate", F.col("amount").alias("converted_amount"))

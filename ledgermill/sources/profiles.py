@@ -164,6 +164,31 @@ def detect_profile(columns: list[str], requested: str | None = None) -> Profile:
     return PROFILES[-1]
 
 
+class _Asked(list):
+    """A list of columns that has every name, and keeps those it was asked for."""
+
+    def __contains__(self, name: object) -> bool:
+        self.append(name)
+        return True
+
+
+def asked(profile: Profile) -> list[str]:
+    """The columns that a profile reads, in whatever layouts they are."""
+    names = _Asked()
+    profile.make(names)
+    return sorted({*iter(names), *(x for need in profile.needs for x in need)})
+
+
+def canonical_maps(rows: DataFrame, profile: Profile, names: set[str]) -> DataFrame:
+    """As canonical, of rows whose cells are a map `raw` by normalised name, of these at most; so all layouts of a profile go together."""
+    needed = {x for need in profile.needs for x in need}
+    columns = [c for c in asked(profile) if c in names or c in needed]
+    # A row at a time through a generator, so that filters on cells don't go below what makes them, and columns are made once.
+    made = F.struct(F.col("raw").alias("__raw"), *[F.try_element_at("raw", F.lit(c)).alias(c) for c in columns])
+    wide = rows.select(*[c for c in rows.columns if c.startswith("__")], F.inline(F.array(made)))
+    return canonical(wide, profile).drop("raw").withColumnRenamed("__raw", "raw")
+
+
 def canonical(rows: DataFrame, profile: Profile) -> DataFrame:
     """The canonical columns of raw text columns (normalised names), with the raw row kept as a map; columns named __x are carried."""
     carried, columns = [c for c in rows.columns if c.startswith("__")], [c for c in rows.columns if not c.startswith("__")]
