@@ -252,12 +252,12 @@ def import_files(files: DataFrame, imported: DataFrame | None = None, accounts:
     contents, states = file_states(files, imported)
     pending = contents.join(states.where("status = 'pending'"), ["path", "file_hash"], "left_semi").select("path", "content")
     with short_methods(files.sparkSession):
-        rows = cut(parse(pending))
+        rows = parse(pending) if rates is None else cut(parse(pending))  # rates are looked up in rows that are read twice
     rows = in_euros(rows, rates)
     wrong = F.when(F.col("txn_date").isNull(), "no readable date").when(F.col("amount").isNull(), "no readable amount").when(F.col("stored").isNull(), F.concat(F.lit("no rate for "), F.col("currency")))
     account = F.coalesce(F.nullif(F.trim("account"), F.lit("")), F.concat(F.col("institution"), F.lit(":unknown")))
     account_id = F.sha2(F.concat_ws("|", "institution", account), 256)
-    other = F.when(F.sha2("counterparty_account", 256) != F.sha2(account, 256), F.sha2("counterparty_account", 256))
+    other = F.when(F.col("counterparty_account") != account, F.sha2("counterparty_account", 256))
     merchant = F.coalesce(F.nullif(t.normalize_merchant(F.col("counterparty_name")), F.lit("")), t.normalize_merchant(F.col("description")))
     made = rows.select(
         "path", "row_number", wrong.alias("wrong"), "institution", account_id.alias("account_id"), account.alias("account_name"), "txn_date", "booking_date", F.col("stored").alias("amount"), F.lit("EUR").alias("currency"), F.when(F.col("stored") >= 0, "inflow").otherwise("outflow").alias("direction"),
@@ -276,8 +276,21 @@ def import_files(files: DataFrame, imported: DataFrame | None = None, accounts:
     # Written, so that its size is known and a few failed files are broadcast.
     made = made.join(cut(per_file.where("bad is not null").select("path")), "path", "left_anti").drop("wrong")
 
-    # Rows travel once, to what their fingerprint has in several files or earlier batches; that is found by fingerprints alone.
-    firsts = made.groupBy("fingerprint").agg(F.min(F.struct("path", "row_number")).alias("first"), F.max("path").alias("last_path"))
+    details = made.where((F.col("native_currency") != F.col("currency")) | (F.coalesce("source_currency", F.lit("")) != "") & (F.col("source_currency") != F.col("currency")))
+    details = details.select("path", "row_number", "native_amount", "native_currency", "source_amount", "source_currency", "target_amount", "target_currency", "exchange_rate", F.col("amount").alias("converted_amount"))
+    kinds = ["opening_balance", "closing_balance", "resulting_balance"]
+    balances = made.unpivot(["path", "row_number", "account_id", "txn_date"], kinds, "balance_type", "balance").where("balance is not null")
+    kept = made.drop(*kinds, "native_amount", "source_amount", "source_currency", "target_amount", "target_currency", "exchange_rate")
+    return Imported(listed, with_duplicates(kept, transactions), details, balances, merge_accounts(made, accounts))
+
+
+def with_duplicates(rows: DataFrame, transactions: DataFrame | None = None) -> DataFrame:
+    """Rows with is_duplicate and duplicate_of, and their fingerprint as text; nothing is read before the result is.
+
+    Rows travel once, to what their fingerprint has in several files or earlier batches; that is found by fingerprints alone. No other
+    result of an import has a part in it.
+    """
+    firsts = rows.groupBy("fingerprint").agg(F.min(F.struct("path", "row_number")).alias("first"), F.max("path").alias("last_path"))
     if transactions is None:
         firsts = firsts.withColumn("known", F.lit(False))
     else:
@@ -285,14 +298,9 @@ def import_files(files: DataFrame, imported: DataFrame | None = None, accounts:
         firsts = firsts.join(seen, "fingerprint", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     several = firsts.where(F.col("known") | (F.col("last_path") > F.col("first.path"))).drop("last_path")
     known, later = F.coalesce("known", F.lit(False)), F.coalesce(F.col("path") > F.col("first.path"), F.lit(False))
-    made = made.join(several, "fingerprint", "left").withColumn("is_duplicate", known | later)
-    made = made.withColumns({"duplicate_of": F.when(F.col("is_duplicate") & ~known, F.col("first")), "fingerprint": F.lower(F.hex("fingerprint"))}).drop("first", "known")
-    made = cut(made)
-    details = made.where((F.col("native_currency") != F.col("currency")) | (F.coalesce("source_currency", F.lit("")) != "") & (F.col("source_currency") != F.col("currency")))
-    details = details.select("path", "row_number", "native_amount", "native_currency", "source_amount", "source_currency", "target_amount", "target_currency", "exchange_rate", F.col("amount").alias("converted_amount"))
-    kinds = ["opening_balance", "closing_balance", "resulting_balance"]
-    balances = made.unpivot(["path", "row_number", "account_id", "txn_date"], kinds, "balance_type", "balance").where("balance is not null")
-    return Imported(listed, made.drop(*kinds, "native_amount", "source_amount", "source_currency", "target_amount", "target_currency", "exchange_rate"), details, balances, merge_accounts(made, accounts))
+    rows = rows.join(several, "fingerprint", "left").withColumn("is_duplicate", known | later)
+    rows = rows.withColumns({"duplicate_of": F.when(F.col("is_duplicate") & ~known, F.col("first")), "fingerprint": F.lower(F.hex("fingerprint"))})
+    return rows.drop("first", "known")
 
 
 def merge_accounts(rows: DataFrame, accounts: DataFrame | None = None) -> DataFrame:

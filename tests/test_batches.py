@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgermill.functions import storage
 from ledgermill.sources import batches, ingest
 
 HEAD = "Date,Account,Counterparty,Amount,Currency,Description\n"
@@ -31,3 +32,16 @@ def test_batches_are_whole_and_once(spark, tmp_path):
     assert rows == {("a.csv", 1.0): False, ("b.csv", 2.0): False, ("c.csv", 1.0): True, ("c.csv", 3.0): False}
     assert {r["account_name"] for r in batches.read(spark, folder, "accounts").collect()} == {"A", "B", "C"}
     assert [r["position"] for r in batches.manifest(spark, folder).orderBy("position").collect()] == [1, 2]
+
+
+def test_files_balances_and_accounts_take_no_part_in_duplicates(spark, monkeypatch):
+    """Rows are written once, without what tells duplicates; only the transactions join by fingerprint."""
+    written = []
+    monkeypatch.setattr(ingest, "cut", lambda frame, by=None: written.append(frame.columns) or storage.cut(frame, by))
+    made = ingest.import_files(files(spark, ("a.csv", "2024-01-05,A,Shop,1.00,EUR,x\n"), ("b.csv", "2024-01-05,A,Shop,1.00,EUR,x\n2024-01-06,B,Shop,2.00,USD,y\n"), ("c.csv", "2024-01-05,A,Shop,1.00,EUR,x\n2024-01-06,A,Shop,3.00,EUR,z\n")))
+    assert sum("raw" in columns for columns in written) == 1 and not any("is_duplicate" in columns for columns in written)
+    plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString()
+    assert all("last_path" not in plan(frame) for frame in (made.files, made.amount_details, made.balances, made.accounts))
+    rows = {(r["path"], r["row_number"]): (r["is_duplicate"], r["duplicate_of"] and r["duplicate_of"]["path"]) for r in made.transactions.collect()}
+    assert rows == {("a.csv", 2): (False, None), ("c.csv", 2): (True, "a.csv"), ("c.csv", 3): (False, None)}
+    assert {r["path"]: r["error"] for r in made.files.collect()} == {"a.csv": None, "b.csv": "row 3: no rate for USD", "c.csv": None}
