@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +123,71 @@ def test_toxicity_models_against_counting(spark, monkeypatch):
         assert sums == pytest.approx([1, 1], abs=1e-9)
 
 
+def test_kneser_ney_against_plain_counting(spark, monkeypatch):
+    """The model that the query uses: continuations of words, documents of pairs, usual discounts, back-off by class and history; each history's probabilities sum to one."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(list("abcdefgh"), p=[0.3, 0.2, 0.2, 0.1, 0.05, 0.05, 0.05, 0.05], size=rng.integers(2, 9))) + (f" bad r{i}" if i % 3 == 0 else "") for i in range(120)]
+    toxic = [int(i % 3 == 0) for i in range(120)]
+    rows = spark.createDataFrame([(t, k, 0) for t, k in zip(texts, toxic)], "text string, toxic int, part int")
+    monkeypatch.setattr(toxicity, "training_rows", lambda *_: (rows, {0: 80, 1: 40}))
+    model = toxicity.fit(rows, rows)
+    pairs: dict = {}
+    for t, k in zip(texts, toxic):
+        for h, w in set(zip(["<s>", *t.split()], t.split())):
+            pairs.setdefault(h, {}).setdefault(w, [0, 0])[k] += 1
+    vocabulary = sorted({w for x in pairs.values() for w in x})
+    assert model.words == len(vocabulary)
+
+    def counts(history, which):
+        of = lambda c: (sum(c), *c)[which]
+        if history is not None:
+            return {w: of(c) for w, c in pairs.get(history, {}).items() if of(c)}
+        return {w: n for w in vocabulary if (n := sum(of(x[w]) > 0 for x in pairs.values() if w in x))}
+
+    def discount(order, which):
+        every = [n for h in (list(pairs) if order == 2 else [None]) for n in counts(h, which).values()]
+        return max(every.count(1) / max(every.count(1) + 2 * every.count(2), 1), 1e-3)
+
+    discounts = {(n, which): discount(n, which) for n in (1, 2) for which in (0, 1, 2)}
+
+    def probability(which, history, w):
+        p = 1 / (len(vocabulary) + 1)
+        for order, h in ((1, None), (2, history)):
+            for k in (0, which):
+                c, d = counts(h, k), discounts[order, k]
+                if c:
+                    total = sum(c.values())
+                    p = max(c.get(w, 0) - d, 0) / total + (1 - sum(max(n - d, 0) for n in c.values()) / total) * p
+        return p
+
+    for history in ("a", "h", "bad", "r3", "unseen"):
+        sums = np.zeros(2)
+        for w in [*vocabulary, "neverseen"]:
+            got = toxicity.probabilities(model, toxicity.expressions(pa.array([f"{history} {w}"]))[0])[1]
+            assert got == pytest.approx([probability(1, history, w), probability(2, history, w)], rel=1e-4)
+            sums += got
+        assert sums == pytest.approx([1, 1], abs=1e-4)
+
+
+def test_toxic_pairs_of_ordinary_words_and_rare_words_tell(spark):
+    """Word histories and words of few texts count: the classes have the same words, in other pairs, and one word in 2 of 40 toxic texts."""
+    rng = random.Random(3)
+    rows, marks = [], []
+    for i in range(400):
+        words = prose(rng, 20).split()
+        words[5:5] = ["green", "field"] if i % 2 else ["field", "green"]
+        rows.append((i, " ".join(words)))
+        marks.append((i, i % 2))
+    rows += [(1000 + i, f"{prose(rng, 10)} {'seldom' if i < 2 else ''}") for i in range(40)]
+    marks += [(1000 + i, 1) for i in range(40)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    said = toxicity.differences(model, pa.array(["the green field", "the field green"]))
+    assert said[0] > said[1]
+    rare = toxicity.differences(replace(model, weight=0.05), pa.array(["seldom", "ka"]))
+    learned = any(crc(1000 + i, 5) != 0 for i in range(2))
+    assert not learned or rare[0] >= rare[1]
+
+
 @pytest.mark.parametrize("operator", ["toxicity", "language", "pieces"])
 def test_columns_of_the_results_names_are_replaced(spark, operator):
     frame = spark.createDataFrame([(1, "some words of text", 9, "x", 7, "y")], "doc_id long, text string, score int, lang_pred string, ids int, round_trip string")
