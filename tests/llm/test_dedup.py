@@ -186,6 +186,45 @@ def test_lines_with_letters_changed_in_several_words(spark, words, edits_):
     assert got <= set(range(1, 200, 2)) and len(got) >= 90
 
 
+@pytest.mark.parametrize("tile", [4096, 16])
+def test_lines_of_a_large_block_make_no_rows_of_pairs(spark, monkeypatch, tile):
+    """Lines with one half in common, in groups of near copies, some just too far apart: links are fewer than lines, and groups are those of all pairs."""
+    monkeypatch.setattr(line_dedup, "TILE", tile)
+    rng = random.Random(6)
+    common, lines = prose(rng, 12), []
+    for _ in range(12):
+        own = f"{common} {prose(rng, 14)}"
+        for _ in range(8):
+            changed = own.split()
+            for at in rng.sample(range(12, 26), rng.randint(0, 3)):
+                changed[at] = rng.choice(["zu", "zuva", "zuvaxo"])
+            lines.append(" ".join(changed))
+    lines = sorted(set(lines))
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    numbered = line_dedup.numbered_lines(frame, "text", "doc_id")
+    signed = numbered.mapInArrow(line_dedup._signed, "doc_id long, text_hash long, line int, node binary, blocks array<bigint>")
+    of = {r["node"]: r["doc_id"] for r in signed.collect()}
+    found = [(of[r["a"]], of[r["b"]]) for r in line_dedup.linked_lines(numbered, signed.where("size(blocks) > 0").select("node", "blocks"), 0.9).collect()]
+    n = len(lines)
+    alike = {(a, b) for a in range(n) for b in range(a) if edits.distance(lines[a], lines[b]) <= int(0.1 * max(len(lines[a]), len(lines[b])) + 1e-9)}
+    assert {tuple(sorted(x, reverse=True)) for x in found} <= alike and groups_of(n, found) == groups_of(n, alike)
+    assert len(found) < n * (1 if tile > n else 8) and len(alike) > n
+
+
+def test_profiles_bound_distances_and_reach_keeps_small_ones(monkeypatch):
+    monkeypatch.setattr(edits, "FEW", 1)
+    rng = random.Random(9)
+    left = [prose(rng, rng.randint(3, 120)) for _ in range(400)]
+    right = [" ".join("qqq" + w if rng.random() < p else w for w in x.split()) for x, p in zip(left, np.linspace(0, 0.8, 400))]
+    exact = np.array([edits.distance(a, b) for a, b in zip(left, right)])
+    for q, width in line_dedup.PROFILES:
+        both = edits.profiles(left + right, q, width)
+        assert (edits.least_distances(both, np.arange(400), np.arange(400, 800), q) <= exact).all()
+    most = np.array([len(x) // 10 for x in right])
+    got = edits.distances(left, right, most)
+    assert (got >= exact).all() and (got[exact <= most] == exact[exact <= most]).all() and (exact > most).sum() > 50 < (exact <= most).sum()
+
+
 def test_lines_that_repeat_one_word_do_not_meet(spark):
     """A word that has most of a run doesn't make blocks of lines that share nothing else."""
     rows, hashes, first, _ = line_dedup._normal(pa.array([f"{x} die die die die {y} die die die die {z} {x}{y} {y}{z} {z}{x}" for x, y, z in (("alpha", "beta", "gamma"), ("one", "two", "three"))]))
