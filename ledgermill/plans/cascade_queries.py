@@ -24,7 +24,9 @@ PHRASES = (
 def bank_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)")
-    small = F.when(key % 5 == 0, (price / 1000).cast("decimal(18,2)")).otherwise(price)
+    # Halves of a cent go where the nearest double lies, as in the SQL, whose quotient is a double.
+    thousandth = (F.round(price.cast("double") / 1000 * 100) / 100).cast("decimal(18,2)")
+    small = F.when(key % 5 == 0, thousandth).otherwise(price)
     phrase = F.element_at(F.array(*[F.lit(x) for x in PHRASES]), (key % len(PHRASES) + 1).cast("int"))
     return o.select(
         key.alias("id"), F.col("o_custkey").alias("account_id"), F.element_at(F.array(*[F.lit(x) for x in ROLES]), (F.col("o_custkey") % len(ROLES) + 1).cast("int")).alias("account_role"), F.when(F.col("o_custkey") % 2 == 0, "checking").otherwise("generic").alias("institution"), F.lit("main").alias("account_name"),

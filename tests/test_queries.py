@@ -35,6 +35,18 @@ def test_rows_equal_sql(spark, con, sf_dir, name):
     pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-12)
 
 
+def test_thousandths_that_end_in_half_a_cent(spark, tmp_path):
+    """Prices whose thousandth lies halfway between two cents; the nearest double is now above and now below it."""
+    prices = [145.0, 155.0, 136285.0, 154265.0, 1005.0, 1015.0, 499995.0, 1255.0]
+    made = [(5 * i, i % 7 + 7 * (i % 3), "F" if i % 2 else "O", prices[i // 2 % len(prices)] + j, pd.Timestamp("1996-01-01"), "5-LOW") for j in (0, 10) for i in range(64 * (j // 10), 64 * (j // 10 + 1))]
+    orders = pd.DataFrame(made, columns=["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
+    spark.createDataFrame(orders).write.parquet(f"{tmp_path}/orders.parquet")
+    c = duckdb.connect()
+    c.register("orders", orders)
+    got, want = sorted_rows(registry.QUERIES["cascade_transfer_edges"](spark, str(tmp_path)).toPandas()), sorted_rows(c.sql(registry.ORACLE_SQL["cascade_transfer_edges"]).df())
+    assert len(want) and got.values.tolist() == want.values.tolist()
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_other_queries_run(spark, sf_dir, name):
     registry.QUERIES[name](spark, sf_dir).collect()
