@@ -233,6 +233,36 @@ def test_lines_that_repeat_one_word_do_not_meet(spark):
     assert len(rows) == 2 and len(shared) == 0
 
 
+def test_long_lines_have_all_their_runs_as_blocks():
+    rng = random.Random(8)
+    text = [prose(rng, n) for n in (13, 20, 21, 60, 400)]
+    text.append(" ".join([*text[3].split()[20:25], *prose(rng, 70).split()]))  # one run in common with the fourth
+    _, hashes, first, _ = line_dedup._normal(pa.array(text))
+    line, key = line_dedup.line_blocks(hashes, first)
+    assert np.bincount(line).tolist() == [len(x.split()) - 4 for x in text]
+    assert set(key[line == 3].tolist()) & set(key[line == 5].tolist())
+
+
+def test_packed_keys_give_the_blocks_of_several_nodes(monkeypatch):
+    monkeypatch.setattr(line_dedup, "PACKED", 300)
+    rng = np.random.default_rng(4)
+    high, low = rng.integers(0, 1 << 63, (2, 60)).astype(np.uint64)
+    keys = [(rng.integers(0, 150, rng.integers(0, 30)).astype(np.uint64) << np.uint64(55)) | np.uint64(1 << 30) for _ in range(60)]
+    batches = [pa.RecordBatch.from_arrays([grouping.node_ids(high[i : i + 7], low[i : i + 7]), pa.array([k.view(np.int64).tolist() for k in keys[i : i + 7]], pa.list_(pa.int64()))], ["node", "blocks"]) for i in range(0, 60, 7)]
+    for bits in (1, 6):
+        rows = sorted((r for b in line_dedup._packed(bits)(iter(batches)) for r in b.to_pylist()), key=lambda r: r["segment"])
+        held = [pa.RecordBatch.from_pylist(rows[i : i + 3], pa.schema([("segment", pa.int32()), ("steps", pa.binary()), ("tags", pa.binary())])) for i in range(0, len(rows), 3)]
+        got = {}
+        for r in (r for b in line_dedup._blocks_of_several(iter(held)) for r in b.to_pylist()):
+            got.setdefault((r["members"], r["least"], r["size"]), set()).add(r["tag"])
+        want = {}
+        for tag, own in zip(line_dedup._tags(high).tolist(), keys):
+            for k in own.tolist():
+                want.setdefault(k, set()).add(tag)
+        want = {frozenset(x) for x in want.values() if len(x) > 1}
+        assert {frozenset(x) for x in got.values()} == want and all(len(x) == n and min(x) == least for (_, least, n), x in got.items())
+
+
 def test_lines_odd_cases(docs, empty, texts):
     done = line_dedup.drop_repeated_lines(docs, counts=("n_lines", "n_removed"))
     assert done.columns == [*docs.columns, "n_lines", "n_removed"]
