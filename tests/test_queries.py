@@ -12,7 +12,10 @@ import duckdb
 import pandas as pd
 import pytest
 
+from ledgermill.functions import joins
+from ledgermill.operators import rules
 from ledgermill.plans import registry
+from ledgermill.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -52,6 +55,18 @@ def test_other_queries_run(spark, sf_dir, name):
     registry.QUERIES[name](spark, sf_dir).collect()
 
 
+def test_tables_that_grow_are_not_broadcast_by_their_files_size(spark, con, sf_dir, tmp_path, monkeypatch):
+    for module, name in ((tables, "MOST_CUSTOMERS"), (rules, "MOST_RULES"), (rules, "MOST_BROADCAST"), (joins, "FEW_ROWS")):
+        monkeypatch.setattr(module, name, 10, raising=False)
+    planned = lambda frame: frame._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in planned(tables.ledger_orders(spark, sf_dir))
+    spark.range(3000).selectExpr("concat('k', id) AS key", "id AS v").write.parquet(f"{tmp_path}/side")
+    rows = spark.range(3000).selectExpr("concat('k', id % 700) AS key", "id")
+    assert "SortMergeJoin" in planned(joins.join_spread(rows, spark.read.parquet(f"{tmp_path}/side"), "key"))
+    got, want = sorted_rows(registry.QUERIES["rules_many"](spark, sf_dir).toPandas()), sorted_rows(con.sql(registry.ORACLE_SQL["rules_many"]).df())
+    assert len(want) and got.values.tolist() == want.values.tolist()
+
+
 def test_entry(spark):
     import __spark_entry__
 
